@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import mixing, quality_rules
+from factloom.llm import decontaminate, language_id, mixing, quality_rules, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_mixing": mixing.op3_mixing,
+        "op5_simhash": simhash.op5_simhash,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_language_id": language_id.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_decontaminate": decontaminate.oracle(),
         "op3_mixing": mixing.oracle(),
         "op9_quality_rules": quality_rules.oracle(),
     }
