@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, language_id, mixing, quality_rules, simhash, token_files
+from factloom.llm import decontaminate, language_id, mixing, quality_rules, simhash, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_mixing": mixing.op3_mixing,
         "op5_simhash": simhash.op5_simhash,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op8_token_files": token_files.op8_token_files,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_language_id": language_id.op10_language_id,
