@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, language_id, mixing, quality_rules, simhash, token_files, toxicity
+from factloom.llm import decontaminate, html_extraction, language_id, mixing, quality_rules, simhash, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_mixing": mixing.op3_mixing,
+        "op4_html_extraction": html_extraction.op4_html_extraction,
         "op5_simhash": simhash.op5_simhash,
         "op6_toxicity": toxicity.op6_toxicity,
         "op8_token_files": token_files.op8_token_files,
