@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, html_extraction, language_id, mixing, quality_rules, simhash, token_files, toxicity
+from factloom.llm import decontaminate, html_extraction, language_id, mixing, quality_rules, simhash, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html_extraction": html_extraction.op4_html_extraction,
         "op5_simhash": simhash.op5_simhash,
         "op6_toxicity": toxicity.op6_toxicity,
+        "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_token_files": token_files.op8_token_files,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_language_id": language_id.op10_language_id,
