@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, html_extraction, language_id, mixing, quality_rules, simhash, suffix_dedup, token_files, toxicity
+from factloom.llm import decontaminate, html_extraction, language_id, license_scan, mixing, quality_rules, simhash, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": license_scan.op1_license_scan,
         "op2_decontaminate": decontaminate.op2_decontaminate,
         "op3_mixing": mixing.op3_mixing,
         "op4_html_extraction": html_extraction.op4_html_extraction,

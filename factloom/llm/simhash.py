@@ -171,6 +171,17 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Da
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that name their group: of each, the smallest id, and of its texts the one with the least hash. Rows equal in both stay once."""
+    name = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
+    found = groups(docs.select(name.alias("_n"), text), text=text, doc_id="_n").select(F.xxhash64("doc_id").alias("_k"), (F.col("doc_id") == F.col("component_id")).alias("first"))
+    found = Scratch(docs.sparkSession, "keep").save(found, "found")
+    kept = docs.withColumn("_k", F.xxhash64(name)).join(found.where("first").select("_k").distinct(), "_k", "left_semi")
+    if found.groupBy("_k").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_k"])
+    return kept.drop("_k")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
