@@ -2,10 +2,11 @@
 
 Learning counts the words of all labelled texts on the executors, turns them into n-gram counts and sums these by
 language; the top ranks of each language make its profile. The profiles (languages x ``profile_size`` ranks) are the
-only thing that reaches the driver. n-grams lie inside words padded with one blank on either side.
+only thing that reaches the driver. n-grams lie inside words padded with one blank on either side and are counted in
+65,536 hash buckets, so that a text's counts are one array; a bucket stands for its most frequent n-gram.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, as is every text when nothing was learned.
-Rows with a null language teach nothing. Ties of counts go by the n-gram's hash, ties of distance by the language's
+Rows with a null language teach nothing. Ties of counts go by the bucket, ties of distance by the language's
 name, so reruns agree. With a single learned language the score is 1. Repeated rows are judged each for itself.
 """
 
@@ -17,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,35 +29,81 @@ N_MAX = 4
 PROFILE_SIZE = 300
 UNKNOWN = "und"
 #: Words whose n-grams a Python worker remembers.
-CACHE = 200_000
+CACHE = 600_000
 #: Distinct words that a learning task holds before it passes their counts on.
 HELD = 400_000
-_KEY_BITS = 40
-
-
-def _keys(word: str, n_max: int) -> list[int]:
-    """Hashes of the padded word's n-grams, repeats included."""
-    w, h = f" {word} ", xxhash.xxh64_intdigest
-    return [h(w[i : i + n]) & ((1 << _KEY_BITS) - 1) for n in range(1, n_max + 1) for i in range(len(w) - n + 1) if n > 1 or w[i] != " "]
+BUCKETS = 1 << 16
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+
+
+def _grams(words: list[str], n_max: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' n-grams, word after word, and how many each word has. The lone blank is no n-gram."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    chars = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(size)
+    word = np.repeat(np.arange(len(words)), size)
+    at = np.arange(len(chars)) - (ends - size)[word]
+    count = [size - 2] + [np.maximum(size - n + 1, 0) for n in range(2, n_max + 1)]
+    total = sum(count)
+    base = np.cumsum(total) - total
+    out = np.empty(int(total.sum()), np.uint16)
+    hashed = np.zeros(len(chars), np.uint64)
+    for n in range(1, n_max + 1):
+        if n > 1:
+            hashed = hashed[:-1]
+        hashed = hashed + (chars[n - 1 :] + np.uint64(n)) * np.uint64(_MULTIPLIERS[n - 1])
+        mixed = (hashed ^ (hashed >> np.uint64(31))) * np.uint64(_MULTIPLIERS[-1])
+        here, place = word[: len(hashed)], at[: len(hashed)] - (n == 1)
+        fits = np.flatnonzero((place >= 0) & (place < count[n - 1][here]))
+        out[base[here[fits]] + place[fits]] = mixed[fits] >> np.uint64(48)
+        base = base + count[n - 1]
+    return out, total
+
+
+class _Words(dict):
+    """Numbers for words; the n-grams of new ones are worked out together."""
+
+    def __init__(self, n_max: int):
+        super().__init__()
+        self.n_max, self.new = n_max, []
+        self.flat, self.start, self.size = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def buckets(self, words: list[str]) -> np.ndarray:
+        """Of all n-grams of the words in a row, repeats included."""
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            new, self.new = self.new, []
+            flat, size = _grams(new, self.n_max)
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        n = self.size[codes]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.start[codes] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 def _letters(counts: Counter[str]) -> Counter[str]:
-    return Counter({w: n for w, n in counts.items() if any(map(str.isalpha, w))})
+    return Counter({w: n for w, n in counts.items() if w.isalpha() or any(map(str.isalpha, w))})
 
 
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", n_max: int = N_MAX, profile_size: int = PROFILE_SIZE) -> dict[str, list[int]]:
-    """Profiles: for each language its most frequent n-grams (as hashes), most frequent first."""
+    """Profiles: for each language its most frequent n-grams (as buckets), most frequent first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter[str]] = {}
 
         def grams() -> Iterator[pa.RecordBatch]:
             for name, words in held.items():
-                sums: Counter[int] = Counter()
-                for w, n in _letters(words).items():
-                    for k in _keys(w, n_max):
-                        sums[k] += n
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(sums), pa.string()), pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], ["lang", "gram", "n"])
+                words = _letters(words)
+                if words:
+                    flat, size = _grams(list(words), n_max)
+                    sums = np.bincount(flat, np.repeat(np.fromiter(words.values(), np.int64, len(words)), size), BUCKETS).astype(np.int64)
+                    used = np.flatnonzero(sums)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(sums[used])], ["lang", "gram", "n"])
             held.clear()
 
         for batch in batches:
@@ -82,41 +128,31 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", n_max: int
 class _Judge:
     def __init__(self, profiles: dict[str, list[int]], n_max: int, size: int):
         self.langs, self.n_max, self.size = sorted(profiles), n_max, size
-        self.known = np.array(sorted({k for p in profiles.values() for k in p}), np.int64)
-        self.ranks = np.full((len(self.known) + 1, len(self.langs)), -1, np.int64)
+        self.ranks = np.full((BUCKETS, len(self.langs)), -1, np.int32)
         for j, name in enumerate(self.langs):
-            self.ranks[np.searchsorted(self.known, profiles[name]), j] = np.arange(len(profiles[name]))
-        self.cache: dict[str, np.ndarray] = {}
-
-    def grams(self, word: str) -> np.ndarray:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            got = self.cache[word] = np.array(_keys(word, self.n_max), np.int64)
-        return got
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(WORDS.findall(text.lower())) if text and self.langs else None
-        if not counts or not any(any(map(str.isalpha, w)) for w in counts):
-            return UNKNOWN, 0.0
-        words = [w for w in counts if w.isalpha()] or list(_letters(counts))
-        parts = list(map(self.grams, words))
-        keys = np.concatenate(parts)
-        weights = np.repeat(np.fromiter((counts[w] for w in words), np.int64, len(words)), np.fromiter(map(len, parts), np.int64, len(parts)))
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        sums, keys = np.add.reduceat(weights[order], first), keys[first]
+            self.ranks[profiles[name], j] = np.arange(len(profiles[name]))
+        self.words = _Words(n_max)
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        found = [[w for w in WORDS.findall(t.lower()) if w.isalpha() or any(map(str.isalpha, w))] if t and self.langs else [] for t in texts]
+        if len(self.words) > CACHE:
+            self.words = _Words(self.n_max)
+        for words in found:  # numbers first, so that all new words of the texts are worked out at once
+            for _ in map(self.words.__getitem__, words):
+                pass
+        judged = [self.judge(self.words.buckets(words)) if words else (UNKNOWN, 0.0) for words in found]
+        return [x for x, _ in judged], [x for _, x in judged]
+
+    def judge(self, buckets: np.ndarray) -> tuple[str, float]:
+        sums = np.bincount(buckets, minlength=BUCKETS)
+        keys = np.flatnonzero(sums)
+        sums = sums[keys]
         if len(sums) > self.size:  # the best, with all that tie with the last of them
             good = np.flatnonzero(sums >= np.partition(sums, -self.size)[-self.size])
             sums, keys = sums[good], keys[good]
-        keys = keys[np.lexsort((keys, -sums))[: self.size]]
-        at = np.searchsorted(self.known, keys)
-        at[at == len(self.known)] = 0
-        at[self.known[at] != keys] = len(self.known)
-        ranks = self.ranks[at]
-        far = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(keys))[:, None])).sum(0)
+        keys = keys[np.argsort(-sums, kind="stable")[: self.size]]
+        ranks = self.ranks[keys]
+        far = np.where(ranks < 0, self.size, np.abs(ranks - np.arange(len(keys), dtype=np.int32)[:, None])).sum(0)
         best = int(np.argmin(far))
         if len(far) == 1:
             return self.langs[0], 1.0
@@ -132,9 +168,11 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], *, text: str = "te
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         j = _Judge(profiles, n_max, profile_size)
-        for b in batches:
-            found = [j(t) for t in b.column("_t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*(f.name for f in keep), "lang_pred", "score"])
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                b = batch.slice(k, 256)
+                names, scores = j(b.column("_t").to_pylist())
+                yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*(f.name for f in keep), "lang_pred", "score"])
 
     return given.select(*(f.name for f in keep), "_t").mapInArrow(judge, schema)
 
