@@ -67,7 +67,7 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_casefold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata
 

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "s01_captures"
+from factloom.plans import catalog, review
+
+FLAGSHIP = "proposal_states"
+PARTS = (review.R, catalog.R)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q for part in PARTS for name, q in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for part in PARTS for name, q in part.sql.items()}
