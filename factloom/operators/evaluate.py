@@ -20,7 +20,9 @@ def match_one_to_one(pred: DataFrame, exp: DataFrame, keys: Sequence[str], unmat
     """
 
     def ranked(df: DataFrame, name: str) -> DataFrame:
-        ok = reduce(lambda a, b: a & b, (F.col(k).isNotNull() & ~F.col(k).isin(*(unmatched or {}).get(k, ("\0",))) for k in keys))
+        ok = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+        for k, values in (unmatched or {}).items():
+            ok = ok & ~F.col(k).isin(*values)
         w = W.partitionBy(*keys)
         return df.where(ok).select(*keys, F.col(f"{name}_id"), F.row_number().over(w.orderBy("ord", f"{name}_id")).alias(f"r_{name}"))
 

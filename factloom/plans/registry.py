@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import catalog, review
+from factloom.plans import catalog, contest, review, web
 
 FLAGSHIP = "proposal_states"
-PARTS = (review.R, catalog.R)
+PARTS = (review.R, catalog.R, contest.R, web.R)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
