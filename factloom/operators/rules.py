@@ -155,11 +155,15 @@ def resource_operations(blocks: DataFrame, resource: str = "charge") -> DataFram
     }
     t = F.regexp_replace(F.trim("text"), r"\s+", " ")
     b = blocks.select("unit_id", "block_ord", t.alias("t"))
-    each = F.concat(*(F.transform(F.regexp_extract_all("t", F.lit(p), 0), lambda m, o=o: F.struct(F.lit(o).alias("operation"), m.alias("m"))) for o, p in patterns.items()))
+
+    def found(operation: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("t", F.lit(pattern), 0), lambda m: F.struct(F.lit(operation).alias("operation"), m.alias("m")))
+
+    each = F.concat(*(found(o, p) for o, p in patterns.items()))
     out = b.withColumn("x", F.explode(each)).select("unit_id", "block_ord", "t", "x.*")
     word = F.lower(F.regexp_extract("m", rf"(?i)(\d+|one|two)\s+{resource}$", 1))
     amount = F.when(word == "one", 1).when(word == "two", 2).otherwise(word.try_cast("int"))
-    before = F.trim(F.substring_index("t", F.col("m"), 1))
+    before = F.trim(F.expr("substring_index(t, m, 1)"))
     condition = F.nullif(F.trim(F.regexp_extract(before, r"(?i)(?:^|[.!?]\s*|\]\s*:?\s*)(When\b.*)$", 1)), F.lit(""))
     return out.select("unit_id", "block_ord", "operation", amount.cast("int").alias("amount"), condition.alias("condition"))
 
