@@ -80,6 +80,10 @@ class Index:
         self.template = np.array([e[1] for e in entries], np.int64)
         self.place = np.array([e[2] for e in entries], np.int64)
 
+    def band(self, template: int) -> int:
+        """Narrower than a template is long, so that a repeat right after it has a band of its own."""
+        return min(BAND, max(1, len(self.words[template]) // 4))
+
     def hits(self, ids: np.ndarray) -> np.ndarray:
         """Rows (template, place in the document, place in the template)."""
         h = _hash(ids)
@@ -95,7 +99,7 @@ class Index:
         out: list[tuple[int, int]] = []
         last = None
         for t, d in sorted((int(t), int(i - j)) for t, i, j in hits):
-            if last is None or t != last[0] or d > last[1] + BAND // 2:
+            if last is None or t != last[0] or d > last[1] + self.band(t):
                 out.append((t, d))
                 last = (t, d)
         return out
@@ -169,10 +173,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, text: str
 
 def _confirm(index: Index, template: int, rows: list[tuple[int, int]], words: dict[int, np.ndarray], texts: list[str], coverage: float) -> list[tuple]:
     """(row, from_char, to_char, license, coverage, matched) of the candidates that match; overlapping ones once."""
-    known, out = index.words[template], []
-    lo = np.array([max(0, d - BAND) for _, d in rows])
-    parts = [words[r][x : x + len(known) + 3 * BAND] for (r, _), x in zip(rows, lo.tolist(), strict=True)]
-    matched, start, end = align(known, parts, np.array([d for _, d in rows]) - lo)
+    known, out, band = index.words[template], [], index.band(template)
+    lo = np.array([max(0, d - band) for _, d in rows])
+    parts = [words[r][x : x + len(known) + 3 * band] for (r, _), x in zip(rows, lo.tolist(), strict=True)]
+    matched, start, end = align(known, parts, np.array([d for _, d in rows]) - lo, band)
     seen: dict[int, list[tuple[int, int]]] = {}
     for i in np.lexsort((start, -matched)).tolist():
         if matched[i] < coverage * len(known):
