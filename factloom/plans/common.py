@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.storage import table
+from factloom.operators.rules import propose
+from factloom.storage import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +64,11 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("fact_id"), F.col("lang").alias("record_type"), "text", F.col("source").alias("owner"))
 
 
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals of all facts, written once, as reviews and states both read them."""
+    return Scratch(spark, "proposals").save(propose(facts(spark, sf_dir), rules(spark)), "all")
+
+
 #: Proposals in SQL, for the queries built on them.
 PROPOSALS_SQL = f"""
 rules AS ({rules_sql()}),

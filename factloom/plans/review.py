@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import expr
-from factloom.operators import aggregate, ranked, resolve, rules, scoring  # noqa: F401
+from factloom.operators import aggregate, ranked, resolve, rules
 from factloom.plans import common
 from factloom.plans.common import PROPOSALS_SQL, Registry
 from factloom.storage import table
@@ -15,7 +15,7 @@ R = Registry()
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = rules.propose(common.facts(spark, sf_dir), common.rules(spark))
+    p = common.proposals(spark, sf_dir)
     return rules.with_states(p, common.decisions(spark, sf_dir, p))
 
 
@@ -35,7 +35,7 @@ def proposal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     count_if(state = 'proven') AS n_evidence, count_if(state = 'candidate') AS n_candidate, count_if(state = 'rejected') AS n_rejected, count_if(state = 'ambiguous') AS n_ambiguous FROM st GROUP BY fact_id)
   SELECT *, CASE WHEN n_evidence > 0 THEN 'proven' WHEN n_ambiguous > 0 THEN 'ambiguous' WHEN n_candidate > 0 THEN 'candidate' WHEN n_rejected > 0 THEN 'rejected' ELSE 'untagged' END AS state FROM g""")
 def materialize_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = rules.propose(common.facts(spark, sf_dir), common.rules(spark))
+    p = common.proposals(spark, sf_dir)
     m = rules.materialize(p, common.decisions(spark, sf_dir, p))
     return m.select("fact_id", F.concat_ws(",", "capabilities").alias("capabilities"), F.concat_ws(",", "dependencies").alias("dependencies"), F.size("evidence").cast("long").alias("n_evidence"), "n_candidate", "n_rejected", "n_ambiguous", "state")
 
@@ -112,7 +112,7 @@ def refill_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(f"""WITH {PROPOSALS_SQL}, j AS (SELECT proposal_id, state, CASE WHEN rule_id < 'r05' THEN 'proven' ELSE 'candidate' END AS want FROM st)
   SELECT 'open' AS error, proposal_id FROM st WHERE state = 'candidate' UNION ALL SELECT 'gold_mismatch', proposal_id FROM j WHERE state != want""")
 def handoff_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = rules.propose(common.facts(spark, sf_dir), common.rules(spark))
+    p = common.proposals(spark, sf_dir)
     gold = p.select("proposal_id", F.when(F.col("rule_id") < "r05", "proven").otherwise("candidate").alias("expected_state"))
     return rules.handoff_audit(p, common.decisions(spark, sf_dir, p), gold)
 
@@ -132,7 +132,7 @@ def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT proposal_id, concat_ws(',', CASE WHEN decision = '' THEN 'blank_decision' END, CASE WHEN decision = 'maybe' THEN 'decision_vocabulary' END, CASE WHEN v IS NOT NULL THEN 'value_vocabulary' END, CASE WHEN v IS NOT NULL THEN 'stray_correction' END) AS errors
   FROM r WHERE decision != 'approve' OR v IS NOT NULL""")
 def review_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = rules.propose(common.facts(spark, sf_dir), common.rules(spark))
+    p = common.proposals(spark, sf_dir)
     rows = p.select("proposal_id", "semantics", F.when(F.col("rule_id") == "r10", "").when(F.col("rule_id") == "r09", "maybe").otherwise("approve").alias("decision"), F.when(F.col("rule_id") == "r04", "license_x").alias("corrected_value"), F.lit(None).cast("string").alias("magnitude"))
     out = rules.validate_review(rows, p, {"decision": ("approve", "reject", "correct", "ambiguous"), "value": [r[5] for r in common.RULES]})
     return out.select("proposal_id", F.concat_ws(",", "errors").alias("errors"))
