@@ -256,7 +256,7 @@ def relation_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.relation_groups(li.where("l_linenumber <= 3"), li.where("l_quantity > 5"), ["l_orderkey"])
 
 
-@R.add("""SELECT conv_id AS run_id, count(*) AS calls, CAST(sum(length(text)) AS BIGINT) AS tokens, round(sum(CASE WHEN role = 'assistant' THEN length(text) * 0.5 END), 8) AS cost, sum(length(text)) > 1000 AS over_budget, round_even(1 - sum(length(text)) / 2000, 4) AS reduction FROM conversations GROUP BY 1""")
+@R.add("""SELECT conv_id AS run_id, count(*) AS calls, CAST(sum(length(text)) AS BIGINT) AS tokens, round(sum(CASE WHEN role = 'assistant' THEN length(text) * 0.5::DOUBLE END), 8) AS cost, sum(length(text)) > 1000 AS over_budget, round_even(1 - sum(length(text)) / 2000, 4) AS reduction FROM conversations GROUP BY 1""")
 def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL")
     n = F.length("text")

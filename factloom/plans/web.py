@@ -98,10 +98,10 @@ def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add("""WITH o AS (SELECT user_id AS run_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events), w AS (SELECT *, sum(n) OVER (PARTITION BY run_id ORDER BY ts) AS k FROM o)
-  SELECT run_id, min(ts) AS started, date_diff('microsecond', min(ts), max(ts)) / 1e6 AS latency_s, count(*) AS stages, date_diff('microsecond', min(ts), max(ts)) / 1e6 > 3600 AS breach FROM w GROUP BY run_id, k""")
+  SELECT run_id, epoch_us(min(ts)) AS started, date_diff('microsecond', min(ts), max(ts)) / 1e6 AS latency_s, count(*) AS stages, date_diff('microsecond', min(ts), max(ts)) / 1e6 > 3600 AS breach FROM w GROUP BY run_id, k""")
 def run_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return jobs.run_latency(e.select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts")), 3600, "6 hours").withColumn("started", F.col("started").cast("timestamp_ntz"))
+    return jobs.run_latency(e.select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts")), 3600, "6 hours").withColumn("started", F.unix_micros("started"))
 
 
 @R.add("SELECT conv_id AS run_id, turn AS call_number, length(text) AS tokens, CAST(sum(length(text)) OVER w AS BIGINT) AS used, CAST(greatest(0, 800 - sum(length(text)) OVER w) AS BIGINT) AS left, sum(length(text)) OVER w > 800 AS over FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)".replace(" AS left,", ' AS "left",').replace(" AS over ", ' AS "over" '))
