@@ -43,7 +43,9 @@ TOP = 3
 SPAN = 5
 DECAY = 0.7
 #: Strings that a Python worker remembers the score of.
-CACHE = 1_000_000
+CACHE = 150_000
+#: Strings scored at a time.
+CHUNK = 4_000
 LONGEST = 64  # a string is scored in overlapping parts of this many characters
 _STEPS = [(a, b) for a, b in combinations(range(1, SPAN), 2)]
 _SENTENCE = re.compile(r"[.!?\n]+\s*")
@@ -161,13 +163,13 @@ def _peaks(docs: DataFrame, machine: Machine, column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for b in batches:
+        for b in (batch.slice(k, 256) for batch in batches for k in range(0, len(batch), 256)):
             found = [set(strings(t)) for t in b.column("_text").to_pylist()]
             if len(known) > CACHE:
                 known.clear()
             new = sorted(set(chain.from_iterable(found)) - known.keys())
-            for i in range(0, len(new), 20_000):
-                known.update(zip(new[i : i + 20_000], machine(new[i : i + 20_000]).tolist(), strict=True))
+            for i in range(0, len(new), CHUNK):
+                known.update(zip(new[i : i + CHUNK], machine(new[i : i + CHUNK]).tolist(), strict=True))
             tops = np.full((len(found), TOP), machine.bias)
             for i, words in enumerate(found):
                 got = sorted(map(known.__getitem__, words), reverse=True)[:TOP]
