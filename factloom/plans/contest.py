@@ -23,20 +23,21 @@ _FACT_SQL = f"""f AS (SELECT n_regionkey AS request_id, l_suppkey AS owner, l_pa
   rs AS (SELECT request_id, owner, role, CAST(sum(score) AS INTEGER) AS score FROM fr GROUP BY 1, 2, 3)"""
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _facts(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """Of all parts with ``every``, else of those that the queries' SQL has."""
     li, s, n = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
     caps = F.when(F.col("l_returnflag") == "A", F.array(F.lit("direct_damage"), F.lit("shield"))).when(F.col("l_returnflag") == "N", F.array(F.lit("recover_mp"), F.lit("heal_hp"))).otherwise(F.array(F.lit("deploy_zone")))
-    j = li.where("l_partkey % 10 = 0").join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    j = (li if every else li.where("l_partkey % 10 = 0")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     return j.groupBy(F.col("n_regionkey").alias("request_id"), F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("fact_id")).agg(F.array_distinct(F.flatten(F.collect_list(caps))).alias("capabilities"), F.max(F.when(F.col("l_quantity") > 25, "weak").otherwise("blocked")).alias("matchup"))
 
 
-def _fact_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fact_roles(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
     counters = spark.createDataFrame([(1, "shield")], "request_id int, capability string")
-    return scoring.fact_roles(_facts(spark, sf_dir), scoring.role_map(spark), counters)
+    return scoring.fact_roles(_facts(spark, sf_dir, every), scoring.role_map(spark), counters)
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.role_scores(_fact_roles(spark, sf_dir))
+def _scores(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    return scoring.role_scores(_fact_roles(spark, sf_dir, every))
 
 
 @R.add(f"WITH {_FACT_SQL} SELECT request_id, owner, role, score FROM rs")
@@ -113,15 +114,16 @@ def item_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def allocate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders are line-ups, their lines owners; each line's part, and the two after it, are its options; odd parts have one copy."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("lineup_id"), F.col("l_linenumber").alias("owner")).agg(F.min("l_partkey").alias("l_partkey"))
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("lineup_id"), F.col("l_linenumber").alias("owner")).agg(F.min("l_partkey").alias("l_partkey"))
     o = li.withColumn("option", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select("lineup_id", "owner", "option", F.array(((F.col("l_partkey") + F.col("option")) % 7).cast("string"), F.lit("free")).alias("item_ids"))
     limits = spark.createDataFrame([(str(i), 1) for i in range(7)], "item_id string, limit int")
-    out = assemble.allocate(o, limits, owners=3, width=64)
+    owners = li.groupBy("lineup_id").count().agg(F.max("count")).first()[0] or 0  # one number
+    out = assemble.allocate(o, limits, owners=owners, width=3**owners)  # as wide as there are vectors, so that none is cut off
     return out.select("lineup_id", F.concat_ws(",", F.transform("options", lambda x: x["option"].cast("string"))).alias("options"), "exhausted")
 
 
 def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir).select("request_id", "role", F.col("owner").cast("string").alias("entity_id"), F.lit("p").alias("package_id"), "score")
+    return _scores(spark, sf_dir, every=True).select("request_id", "role", F.col("owner").cast("string").alias("entity_id"), F.lit("p").alias("package_id"), "score")
 
 
 def _lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
