@@ -1,14 +1,15 @@
 """License scans: an inverted index of winnowed template fingerprints picks candidates, banded alignment confirms them.
 
-Templates are split into words; hashes of five words in a row are winnowed (the least of every WINNOW neighbours) and
-indexed with their places; of a template shorter than that all are. Every five words of a document are looked up, so
-whatever winnowing keeps of a template is found. Hits on one template near one diagonal make a candidate; a local alignment
-in a band around it counts the matched words, with its span in the document. Matches that cover enough of
-their template are returned.
+Templates are split into words; hashes of a few words in a row are indexed with their places. How many words is chosen by
+the template's length, so that as many edits as the coverage allows, wherever they are, leave one such row of words whole
+(2 to 4 words at 0.8); all rows of a template are indexed, and all of a document looked up. Hits on one template near one
+diagonal make a candidate; a local alignment in a band around it counts the matched words, with its span in the document.
+Matches that cover enough of their template are returned, unless another license's match in the same place has as many
+words with fewer edits (CC BY in a CC BY-SA notice).
 
 The index is as large as the given templates; it travels with the job, and documents are scanned in one pass.
 
-Edge cases: null and empty texts, and texts of fewer than five words, match nothing (such templates are refused). A
+Edge cases: null and empty texts match nothing; templates of fewer than five words are refused. A
 template that comes twice in a document gives two rows. Repeated documents are scanned each for itself.
 """
 
@@ -25,8 +26,7 @@ from pyspark.sql import functions as F
 from factloom.storage import table
 
 WORD = re.compile(r"[^\W_]+")
-GRAM = 5
-WINNOW = 4
+SHORTEST = 5
 BAND = 8
 COVERAGE = 0.8
 
@@ -38,7 +38,8 @@ TEMPLATES: dict[str, str] = {
     "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
@@ -48,13 +49,19 @@ TEMPLATES: dict[str, str] = {
 }
 
 
-def _hash(ids: np.ndarray) -> np.ndarray:
-    """Of every GRAM ids in a row; rows with an unknown word (-1) get 0."""
-    n = len(ids) - GRAM + 1
+def gram_of(n: int, coverage: float = COVERAGE) -> int:
+    """Words in a row that stay whole somewhere in a template of n words after as many edits as the coverage allows."""
+    edits = int(n - coverage * n + 1e-9)
+    return max(1, -(-(n - edits) // (edits + 1)))
+
+
+def _hash(ids: np.ndarray, gram: int) -> np.ndarray:
+    """Of every ``gram`` ids in a row; rows with an unknown word (-1) get 0."""
+    n = len(ids) - gram + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out, known = np.zeros(n, np.uint64), np.ones(n, bool)
-    for k in range(GRAM):
+    for k in range(gram):
         part = ids[k : k + n]
         known &= part >= 0
         out = (out + (part + 2).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
@@ -63,22 +70,19 @@ def _hash(ids: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    def __init__(self, templates: Mapping[str, str]):
+    def __init__(self, templates: Mapping[str, str], coverage: float = COVERAGE):
         self.names, self.vocabulary = list(templates), {}
         self.words: list[np.ndarray] = []
-        entries = []
+        entries: dict[int, list[tuple[int, int, int]]] = {}
         for t, text in enumerate(templates.values()):
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in WORD.findall(text.lower())], np.int32)
-            if len(ids) < GRAM:
-                raise ValueError(f"template {self.names[t]} has fewer than {GRAM} words")
+            if len(ids) < SHORTEST:
+                raise ValueError(f"template {self.names[t]} has fewer than {SHORTEST} words")
             self.words.append(ids)
-            h = _hash(ids)
-            picked = {int(i + np.argmin(h[i : i + WINNOW])) for i in range(len(h) - WINNOW + 1)} if len(h) >= 2 * WINNOW else set(range(len(h)))
-            entries += [(int(h[i]), t, i) for i in sorted(picked)]
-        entries.sort()
-        self.hashes = np.array([e[0] for e in entries], np.uint64)
-        self.template = np.array([e[1] for e in entries], np.int64)
-        self.place = np.array([e[2] for e in entries], np.int64)
+            gram = gram_of(len(ids), coverage)
+            entries.setdefault(gram, []).extend((int(h), t, i) for i, h in enumerate(_hash(ids, gram)))
+        #: By length: hashes (sorted), their templates and places.
+        self.grams = {g: (np.array([e[0] for e in sorted(x)], np.uint64), np.array([e[1] for e in sorted(x)], np.int64), np.array([e[2] for e in sorted(x)], np.int64)) for g, x in entries.items()}
 
     def band(self, template: int) -> int:
         """Narrower than a template is long, so that a repeat right after it has a band of its own."""
@@ -86,12 +90,15 @@ class Index:
 
     def hits(self, ids: np.ndarray) -> np.ndarray:
         """Rows (template, place in the document, place in the template)."""
-        h = _hash(ids)
-        at = np.flatnonzero(h)
-        lo, hi = np.searchsorted(self.hashes, h[at]), np.searchsorted(self.hashes, h[at], side="right")
-        n = hi - lo
-        row = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        return np.stack([self.template[row], np.repeat(at, n), self.place[row]], 1)
+        out = [np.empty((0, 3), np.int64)]
+        for gram, (hashes, template, place) in self.grams.items():
+            h = _hash(ids, gram)
+            at = np.flatnonzero(h)
+            lo, hi = np.searchsorted(hashes, h[at]), np.searchsorted(hashes, h[at], side="right")
+            n = hi - lo
+            row = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            out.append(np.stack([template[row], np.repeat(at, n), place[row]], 1))
+        return np.concatenate(out)
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """(template, diagonal): hits in order of their diagonal, one candidate while it moves within the band."""
@@ -143,7 +150,7 @@ def align(template: np.ndarray, docs: list[np.ndarray], diagonals: np.ndarray, b
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, text: str = "text", doc_id: str = "doc_id", coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, n_matched, from_char, to_char), one row a match; to_char is excluded."""
-    index = Index(templates)
+    index = Index(templates, coverage)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +170,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, text: str
             for template, rows in sorted(found.items()):
                 for k in range(0, len(rows), 512):
                     out += _confirm(index, template, rows[k : k + 512], words, texts, coverage)
-            out.sort()
+            out = sorted(x[:6] for x in _best(out))
             cols = [pa.array([ids[r[0]] for r in out], batch.column(0).type), *(pa.array([r[i] for r in out], t) for i, t in ((3, pa.string()), (4, pa.float64()), (5, pa.int32()), (1, pa.int32()), (2, pa.int32())))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "license", "coverage", "n_matched", "from_char", "to_char"])
 
@@ -172,7 +179,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, text: str
 
 
 def _confirm(index: Index, template: int, rows: list[tuple[int, int]], words: dict[int, np.ndarray], texts: list[str], coverage: float) -> list[tuple]:
-    """(row, from_char, to_char, license, coverage, matched) of the candidates that match; overlapping ones once."""
+    """(row, from_char, to_char, license, coverage, matched, edits) of the candidates that match; overlapping ones once."""
     known, out, band = index.words[template], [], index.band(template)
     lo = np.array([max(0, d - band) for _, d in rows])
     parts = [words[r][x : x + len(known) + 3 * band] for (r, _), x in zip(rows, lo.tolist(), strict=True)]
@@ -187,9 +194,18 @@ def _confirm(index: Index, template: int, rows: list[tuple[int, int]], words: di
         seen.setdefault(r, []).append((x, y))
         places = [m.span() for m in WORD.finditer(texts[r].lower())] if len(texts[r].lower()) == len(texts[r]) else [m.span() for m in WORD.finditer(texts[r])]
         a, b = places[min(x, len(places) - 1)][0], places[min(y, len(places)) - 1][1]
-        out.append((r, a, b, index.names[template], int(matched[i]) / len(known), int(matched[i])))
+        out.append((r, a, b, index.names[template], int(matched[i]) / len(known), int(matched[i]), len(known) + y - x - 2 * int(matched[i])))
     return out
 
 
+def _best(found: list[tuple]) -> list[tuple]:
+    """Without the matches that overlap one of another license with as many words and fewer edits."""
+    by_row: dict[int, list[tuple]] = {}
+    for x in found:
+        by_row.setdefault(x[0], []).append(x)
+    worse = lambda x, y: x[3] != y[3] and y[1] < x[2] and x[1] < y[2] and y[5] >= x[5] and y[6] < x[6]
+    return [x for xs in by_row.values() for x in xs if not any(worse(x, y) for y in xs)]
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
