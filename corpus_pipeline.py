@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next
 stage's docs. All but the last return the columns of ``documents``; the last returns what the token files hold.
 
-- Language ID learns from the documents' own languages and rejects texts without a language (``und``).
+- Language ID learns from the documents' own languages and rejects texts that are too far from all of their profiles
+  (``language_id.FURTHEST``) or have no letter. When nothing was learned, all texts with a letter stay.
 - SimHash near-dedup keeps one document of each group, the one with the smallest id.
 - Decontamination drops documents with a benchmark window.
 - Mixing repeats or leaves out whole documents: a document cut by its source's budget stays if at least half of it is taken.
@@ -22,7 +23,10 @@ from factloom.storage import Scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.identify(docs, language_id.learn(docs))
+    profiles = language_id.learn(docs)
+    if not profiles:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language_id.identify(docs, profiles, furthest=language_id.FURTHEST)
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 
