@@ -10,7 +10,8 @@ may stand up to that many words off its place (proximity matches).
 The phrases travel to the segments in blocks of at most ``BLOCK`` words, one pass a block, so a benchmark of any size
 works. The index keeps the postings of terms that occur in the phrases; other words only count as places.
 
-Edge cases: a null text has no words and no hits; a null or empty item has no window. Repeated documents each keep
+Edge cases: a null text has no words and no hits; an item with a null or empty text has no window. An item without an id
+counts for hits and contamination, and is left out of the items found and their number. Repeated documents each keep
 their row. Two items with the same window both count. Ids may have any type that has a text form.
 """
 
@@ -44,9 +45,9 @@ def words(text: str | None) -> list[bytes]:
 class Phrases:
     """Distinct windows of the items as arrays of term numbers."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         self.terms: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], dict[str, None]] = {}
+        windows: dict[tuple[int, ...], dict[str | None, None]] = {}
         for name, text in items:
             t = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
             for i in range(max(1, len(t) - window + 1) if t else 0):
@@ -133,7 +134,7 @@ def find(index: DataFrame, phrases: Phrases, *, slop: int = 0, block: int = BLOC
     df = dict(index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts")).collect())  # one row a term of the phrases
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
     schema = f"segment long, doc_no int, doc_id {kind}, n_words long, spans array<struct<item:string,`from`:int,`to`:int>>"
-    blocks: list[list[tuple[list[tuple[int, int]], int, list[str]]]] = [[]]
+    blocks: list[list[tuple[list[tuple[int, int]], int, list[str | None]]]] = [[]]
     held = 0
     for w, names in zip(phrases.windows, phrases.items, strict=True):
         if any(t not in df for t in w):
@@ -196,7 +197,7 @@ def search(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: str
 
     The items are held by the driver, as one side of any such search has to be small enough to be a query.
     """
-    listed = [(r[0], r[1]) for r in items.select(F.col(item_id).cast("string"), F.col(item_text)).toLocalIterator() if r[0] is not None]
+    listed = [(r[0], r[1]) for r in items.select(F.col(item_id).cast("string"), F.col(item_text)).toLocalIterator()]
     phrases = Phrases(listed, window)
     index = build_index(docs, phrases.terms, Scratch(docs.sparkSession, "postings"), window + slop + 1, text=text, doc_id=doc_id)
     return find(index, phrases, slop=slop)
@@ -207,7 +208,7 @@ def digest(found: DataFrame) -> DataFrame:
     covered = F.expr("""
         aggregate(array_sort(transform(spans, s -> struct(s.`from` AS f, s.`to` AS t))), struct(cast(0 AS bigint) AS n, 0 AS last),
           (a, s) -> struct(a.n + greatest(0, s.t - greatest(s.f, a.last)) AS n, greatest(a.last, s.t) AS last), a -> a.n)""")
-    items = F.expr("array_sort(array_distinct(transform(spans, s -> s.item)))")
+    items = F.expr("array_sort(array_distinct(filter(transform(spans, s -> s.item), x -> x IS NOT NULL)))")
     return found.withColumns({"n_hit": covered, "items": items}).withColumns({"n_items": F.size("items").cast("long"), "contaminated": F.col("n_hit") > 0})
 
 
