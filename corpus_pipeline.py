@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, language_id, mixing, simhash, token_files
-from factloom.storage import Scratch, table
+from factloom.storage import Scratch, table, unused
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +35,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    found = decontaminate.digest(decontaminate.search(keyed, table(spark, sf_dir, "benchmark"), doc_id="_k"))
-    return keyed.join(found.where("contaminated").select(F.col("doc_id").alias("_k")), "_k", "left_anti").select(*docs.columns)
+    k = unused(docs, "k")
+    keyed = docs.withColumn(k, F.xxhash64("doc_id", "text"))
+    found = decontaminate.digest(decontaminate.search(keyed, table(spark, sf_dir, "benchmark"), doc_id=k))
+    return keyed.join(found.where("contaminated").select(F.col("doc_id").alias(k)), k, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text"))
-    taken = mixing.mix(keyed, doc_id="_k").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
-    copies = taken.where("taken > 0").select(F.col("doc_id").alias("_k"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_n")).where("_n > 0")
-    return keyed.join(copies, "_k").withColumn("_i", F.explode(F.sequence(F.lit(1), "_n"))).select(*docs.columns)
+    k, n = unused(docs, "k"), unused(docs, "n")
+    keyed = docs.withColumn(k, F.xxhash64("doc_id", "text"))
+    taken = mixing.mix(keyed, doc_id=k).groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
+    copies = taken.where("taken > 0").select(F.col("doc_id").alias(k), F.round(F.col("taken") / F.col("size")).cast("int").alias(n)).where(F.col(n) > 0)
+    return keyed.join(copies, k).select(*docs.columns, F.explode(F.sequence(F.lit(1), n)).alias(k)).drop(k)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
