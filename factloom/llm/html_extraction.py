@@ -1,7 +1,9 @@
 """HTML extraction by minimum-cut labelling of text blocks.
 
-A page's text falls into blocks at block-level tags. A linear classifier over a block's place (its ancestors' tags,
-classes, ids and roles), link share and length gives log-odds of being content; they become terminal capacities.
+A page's text falls into blocks at block-level tags; text in an inline element of its own part (such as an advert's span)
+is a block beside the one it stands in. A linear classifier over a block's place (its ancestors' tags, classes, ids and
+roles), link share and length gives log-odds of being content; they become terminal capacities. Its weights are set by hand,
+as there are no labelled pages to fit them on.
 Smoothness edges join blocks that follow each other, more strongly under one parent, and each block to the one before it
 under the same parent (DOM proximity). A maximum flow separates content from boilerplate.
 
@@ -9,6 +11,8 @@ Pages are independent, so this is one pass of Arrow batches without a shuffle.
 
 Edge cases: a null or empty page, or one without content, has the empty text. Markup that isn't closed runs to the end of
 its parent, an unclosed comment or script to the end of the page. Repeated pages keep a row each. Nothing is cut off.
+Open elements are found by name and depth, so that stray end tags and deep nesting take no walk over all ancestors.
+Columns of the pages called as the result's are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from factloom.storage import table
 
 # HTML element names by their part in a page, and words of class, id and role that tell a part.
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "title", "canvas", "audio", "video")
+RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "select", "title", "audio", "video")
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BAD_TAGS = frozenset("nav footer aside form button menu dialog fieldset label".split())
@@ -45,11 +49,14 @@ _OWNER = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved", re.I)
 
 
 class _Node:
-    __slots__ = ("bad", "good", "name", "parent")
+    __slots__ = ("aside", "bad", "block", "depth", "good", "name", "parent")
 
     def __init__(self, name: str, attributes: str, parent: _Node | None):
         self.name, self.parent = name, parent
+        self.depth = parent.depth + 1 if parent else 0
+        self.block: _Node | None = self if name in BLOCK else parent.block if parent else None
         self.bad, self.good = parent.bad if parent else False, parent.good if parent else False
+        self.aside: _Node | None = parent.aside if parent and name not in BLOCK else None  # the outermost inline element that is bad by itself
         words: set[str] = set()
         if attributes and name not in ("html", "body"):
             for m in _HINT.finditer(attributes):
@@ -58,6 +65,8 @@ class _Node:
                     if parts[0] not in ("has", "with", "no", "is", "not"):
                         words.update(parts)
         if name in BAD_TAGS or name == "header" and not self.good or words & BAD_WORDS:
+            if not self.bad and name not in BLOCK:
+                self.aside = self
             self.bad = True
         if name in GOOD_TAGS or words & GOOD_WORDS and not words & BAD_WORDS:
             self.good = True
@@ -75,7 +84,7 @@ class Block:
         n = len(self.text)
         share = min(1.0, self.links / n)
         z = -0.7 + 2.7 * min(1.0, n / 160) + (0.8 if _SENTENCE_END.search(self.text) else 0.0) + (0.5 if self.heading else 0.0)
-        z -= 4.5 * share if share > 0.4 else share
+        z -= share if share <= 0.4 else 2.0 * share if self.node.good else 4.5 * share  # an article's own lists may be links
         if self.node.good:
             z += 3.5
         elif _OWNER.search(self.text):
@@ -83,77 +92,104 @@ class Block:
         return z - 8.0 * self.node.bad
 
 
+class _Open:
+    """The stack of open elements, and for each name those of it."""
+
+    def __init__(self) -> None:
+        self.node = self.root = _Node("", "", None)
+        self.by_name: dict[str, list[_Node]] = {}
+
+    def push(self, name: str, attributes: str) -> None:
+        self.node = _Node(name, attributes, self.node)
+        self.by_name.setdefault(name, []).append(self.node)
+
+    def find(self, name: str, stops: tuple[str, ...] = ()) -> _Node | None:
+        """The innermost open element of a name, unless a stop is open inside it."""
+        depth = lambda x: self.by_name[x][-1].depth if self.by_name.get(x) else 0
+        if not depth(name) or any(depth(s) > depth(name) for s in stops):
+            return None
+        return self.by_name[name][-1]
+
+    def close(self, node: _Node) -> None:
+        while self.node.depth >= node.depth:
+            self.by_name[self.node.name].pop()
+            self.node = self.node.parent or self.root
+
+
+_P_STOPS = ("div", "article", "section", "main", "body", "td", "li", "aside", "nav", "footer", "header", "form", "blockquote", "button")
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
-    root = _Node("", "", None)
-    node, out = root, []
+    opened, out = _Open(), []
     held: list[str] = []
-    links = 0
-    in_link = 0
+    beside: list[tuple[_Node, list[str]]] = []  # texts of inline elements that are blocks of their own
+    links = in_link = 0
 
-    def close() -> None:
-        nonlocal links
-        text = " ".join(entities.unescape("".join(held)).split())
-        held.clear()
+    def block(parts: list[str], links: int, place: _Node, heading: bool = False) -> None:
+        text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            place, heading, at = node, False, node
-            while at is not None and at.name not in BLOCK:
-                at = at.parent
-            if at is not None:
-                place, heading = at, len(at.name) == 2 and at.name[0] == "h" and at.name[1] in "123456"
             out.append(Block(text, links, place, heading))
+
+    def close() -> None:
+        nonlocal links
+        place = opened.node.block or opened.node
+        block(held, links, place, len(place.name) == 2 and place.name[0] == "h" and place.name[1] in "123456")
+        for node, parts in beside:
+            block(parts, 0, node)
+        held.clear(), beside.clear()
         links = 0
 
     def text(x: str) -> None:
         nonlocal links
-        if x:
-            held.append(x)
-            if in_link:
-                links += len(" ".join(entities.unescape(x).split()))
-
-    def up_to(name: str, stops: tuple[str, ...]) -> _Node | None:
-        at: _Node | None = node
-        while at is not None and at.name != name:
-            if at.name in stops:
-                return None
-            at = at.parent
-        return at
-
-    last = 0
-    for m in _TOKEN.finditer(page):
+        if not x:
+            return
+        if (aside := opened.node.aside) is not None:
+            if not beside or beside[-1][0] is not aside:
+                beside.append((aside, []))
+            beside[-1][1].append(x)
+            return
+        held.append(x)
+        if in_link:
+            links += len(" ".join(entities.unescape(x).split()))
+
+    last, whole = 0, page.rfind(">") + 1  # no tag ends after it
+    for m in _TOKEN.finditer(page, 0, whole):
         text(page[last : m.start()])
         last = m.end()
         name = m[3] or m[6]
         if not name:
-            if m[1] and m[1].lower() in ("title", "iframe", "video", "audio", "object"):
+            if m[1] and m[1].lower() in ("title", "iframe", "video", "audio"):
                 close()
+            if last == whole and (m[1] and not re.search(rf"</{m[1]}\s*>\Z", m[0], re.I) or m[0].startswith("<!--") and not m[0].endswith("-->")):
+                last = len(page)  # unclosed: it runs to the end
             continue
         name, ends = name.lower(), m[2] or m[5]
         if name in BLOCK:
             close()
         elif name == "br":
-            held.append(" ")
+            text(" ")
         if name in VOID:
             continue
         if ends:
-            found = up_to(name, ())
+            found = opened.find(name)
             if found is not None:
-                node = found.parent or root
+                opened.close(found)
             if name == "a":
                 in_link = 0
             continue
-        if name in BLOCK and (p := up_to("p", ("div", "article", "section", "main", "body", "td", "li", "aside", "nav", "footer", "header", "form", "blockquote", "button"))) is not None:
-            node = p.parent or root
+        if name in BLOCK and (p := opened.find("p", _P_STOPS)) is not None:
+            opened.close(p)
         if name in CLOSES:
             for same in (name, CLOSES[name][0]):
-                if (x := up_to(same, CLOSES[name][1])) is not None:
-                    node = x.parent or root
-        node = _Node(name, m[4] or m[7] or "", node)
+                if (x := opened.find(same, CLOSES[name][1])) is not None:
+                    opened.close(x)
+        opened.push(name, m[4] or m[7] or "")
         if name == "a":
             in_link = 1
         elif name in BLOCK and name not in ("li",):
             in_link = 0
-    text(page[last:])
+    text(page[last:].partition("<!--")[0])
     close()
     return out
 

@@ -9,8 +9,8 @@ words with fewer edits (CC BY in a CC BY-SA notice).
 
 The index is as large as the given templates; it travels with the job, and documents are scanned in one pass.
 
-Edge cases: null and empty texts match nothing; templates of fewer than five words are refused. A
-template that comes twice in a document gives two rows. Repeated documents are scanned each for itself.
+Edge cases: null and empty texts match nothing; templates of fewer than five words are refused. Spans count characters of
+the text as given, also where its lower case is longer. A template that comes twice in a document gives two rows. Repeated documents are scanned each for itself.
 """
 
 from __future__ import annotations
@@ -49,6 +49,12 @@ TEMPLATES: dict[str, str] = {
 }
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-cased words, one for each match of WORD in the text as it is: lower-casing may lengthen a text and split its words."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
 def gram_of(n: int, coverage: float = COVERAGE) -> int:
     """Words in a row that stay whole somewhere in a template of n words after as many edits as the coverage allows."""
     edits = int(n - coverage * n + 1e-9)
@@ -75,7 +81,7 @@ class Index:
         self.words: list[np.ndarray] = []
         entries: dict[int, list[tuple[int, int, int]]] = {}
         for t, text in enumerate(templates.values()):
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in WORD.findall(text.lower())], np.int32)
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], np.int32)
             if len(ids) < SHORTEST:
                 raise ValueError(f"template {self.names[t]} has fewer than {SHORTEST} words")
             self.words.append(ids)
@@ -162,7 +168,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, text: str
             for row, t in enumerate(texts):
                 if not t:
                     continue
-                w = np.array([get(x, -1) for x in WORD.findall(t.lower())], np.int32)
+                w = np.array([get(x, -1) for x in words_of(t)], np.int32)
                 for template, diagonal in index.candidates(w):
                     found.setdefault(template, []).append((row, diagonal))
                     words[row] = w
@@ -192,7 +198,7 @@ def _confirm(index: Index, template: int, rows: list[tuple[int, int]], words: di
         if any(x < b and a < y for a, b in seen.get(r, ())):
             continue
         seen.setdefault(r, []).append((x, y))
-        places = [m.span() for m in WORD.finditer(texts[r].lower())] if len(texts[r].lower()) == len(texts[r]) else [m.span() for m in WORD.finditer(texts[r])]
+        places = [m.span() for m in WORD.finditer(texts[r])]
         a, b = places[min(x, len(places) - 1)][0], places[min(y, len(places)) - 1][1]
         out.append((r, a, b, index.names[template], int(matched[i]) / len(known), int(matched[i]), len(known) + y - x - 2 * int(matched[i])))
     return out

@@ -6,7 +6,7 @@ sum, and a row takes what its source's budget leaves after that prefix; whole ep
 
 Edge cases: a null or empty text has size 0 and takes nothing. A null source is a source of its own, the last. Repeated
 rows take each for itself (ordered by size; rows equal in both are interchangeable).
-An empty table gives an empty result. Other columns pass through.
+An empty table gives an empty result. Other columns are dropped.
 """
 
 from __future__ import annotations

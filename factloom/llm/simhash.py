@@ -7,7 +7,8 @@ share a variant, those that share one are verified on all 64 bits. Shuffling is
 emit once.
 
 A variant's fingerprints are joined into a spanning forest of verified links as they stream by in sorted order, so a
-dense group gives fewer links than it has members and never its pairs.
+dense group gives fewer links than it has members and never its pairs. A task passes its links on whenever it holds
+``HELD`` of them, and starts a new forest.
 
 Edge cases: a null text is empty; a text without words has fingerprint 0, which links like any other. Null ids belong
 to their group but never name it, unless no member has an id. Repeated rows each keep their row.
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.components import connected_components
-from factloom.storage import Scratch, table
+from factloom.storage import Scratch, table, unused
 
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
 _BLOCKS = ((0, 22), (22, 43), (43, 64))  # from bit, to bit
 _SMALL = 32
+HELD = 200_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -120,6 +122,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key -> links; the last key of a batch waits for the next one."""
     forest, keys, fps = _Forest(), np.empty(0, np.int64), np.empty(0, np.uint64)
 
+    def out() -> pa.RecordBatch:
+        links = np.array(forest.links, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
+
     def take(keys: np.ndarray, fps: np.ndarray) -> None:
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
         starts = np.flatnonzero(new)
@@ -146,10 +152,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if whole:
             take(keys[:whole], fps[:whole])
             keys, fps = keys[whole:], fps[whole:]
+            if len(forest.links) >= HELD or len(forest.parent) >= 4 * HELD:
+                yield out()
+                forest = _Forest()
     if len(keys):
         take(keys, fps)
-    links = np.array(forest.links, np.uint64).reshape(-1, 2).view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(links[:, 0].copy()), pa.array(links[:, 1].copy())], ["a", "b"])
+    yield out()
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
@@ -174,12 +182,13 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Da
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that name their group: of each, the smallest id, and of its texts the one with the least hash. Rows equal in both stay once."""
     name = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
-    found = groups(docs.select(name.alias("_n"), text), text=text, doc_id="_n").select(F.xxhash64("doc_id").alias("_k"), (F.col("doc_id") == F.col("component_id")).alias("first"))
+    k = unused(docs, "k")
+    found = groups(docs.select(name.alias("name"), F.col(text).alias("text")), doc_id="name").select(F.xxhash64("doc_id").alias(k), (F.col("doc_id") == F.col("component_id")).alias("first"))
     found = Scratch(docs.sparkSession, "keep").save(found, "found")
-    kept = docs.withColumn("_k", F.xxhash64(name)).join(found.where("first").select("_k").distinct(), "_k", "left_semi")
-    if found.groupBy("_k").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_k"])
-    return kept.drop("_k")
+    kept = docs.withColumn(k, F.xxhash64(name)).join(found.where("first").select(k).distinct(), k, "left_semi")
+    if found.groupBy(k).count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([k])
+    return kept.drop(k)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

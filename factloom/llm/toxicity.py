@@ -13,7 +13,8 @@ over subsequences, the trained machine folds into one weight for each subsequenc
 look-up. A document's score is a logistic function of its three highest strings, fitted on the same sample.
 
 Strings are the letters and digits of each blank-separated piece of a lower-cased text, between marks for their ends,
-and each run of single characters joined ("i d i o t"). Whole texts are scored.
+and each run of three or more pieces of one or two characters joined ("i d i o t", "mo ro n"). So the machine's examples are the words and
+joined runs of labelled sentences; an insult of several longer words, each of them usual, isn't seen. Whole texts are scored.
 
 Edge cases: null and empty texts have no strings and get the score of a text without evidence. Without labels of both
 classes every score is 0. Rows with a null label or text teach nothing. Repeated rows are scored each for itself.
@@ -46,6 +47,7 @@ DECAY = 0.7
 CACHE = 150_000
 #: Strings scored at a time.
 CHUNK = 4_000
+SHORT = 2  # pieces up to this long are joined with their neighbours of this kind
 LONGEST = 64  # a string is scored in overlapping parts of this many characters
 _STEPS = [(a, b) for a, b in combinations(range(1, SPAN), 2)]
 _SENTENCE = re.compile(r"[.!?\n]+\s*")
@@ -57,8 +59,8 @@ def strings(text: str | None) -> list[str]:
     out = [p for p in pieces if len(p) > 2]
     if len(pieces) - len(out) > 2:
         run: list[str] = []
-        for p in [*pieces, "  "]:
-            if len(p) == 1:
+        for p in [*pieces, "   "]:
+            if len(p) <= SHORT:
                 run.append(p)
             elif run:
                 if len(run) > 2:
