@@ -336,7 +336,7 @@ def normalize_review(reviews: DataFrame, alias_table: DataFrame, clear: str = "_
     out = reviews
     for name in sorted(set(names) & set(reviews.columns)):
         a = alias_table.where(F.col("column") == name).select(F.lower("alias").alias("_a"), F.col("value").alias("_v"))
-        out = out.join(F.broadcast(a), F.lower(F.trim(name)) == F.col("_a"), "left")
+        out = out.join(a, F.lower(F.trim(name)) == F.col("_a"), "left")
         out = out.withColumn(name, F.when(F.lower(F.trim(name)).isin("clear", "(clear)", clear), clear).otherwise(F.coalesce("_v", F.trim(name)))).drop("_a", "_v")
     return out
 

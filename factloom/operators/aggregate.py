@@ -90,11 +90,16 @@ def with_contract(metrics: DataFrame, contract: DataFrame) -> DataFrame:
 
 
 def coverage_funnel(rows: DataFrame, stages: Mapping[str, Column], entity: str = "entity", request: str = "request_id") -> DataFrame:
-    """(request_id, metric, value, unknown) in one pass: distinct entities that meet each stage, and those for which it is unknown (null)."""
-    aggs = []
+    """(request_id, metric, value, unknown): distinct entities that meet each stage, and those for which it is unknown (null).
+
+    Flags of each entity first, then their sums, so that rows are not multiplied by the stages. Rows without an entity count nowhere.
+    """
+    flags, sums = [], []
     for name, ok in stages.items():
-        aggs += [F.countDistinct(F.when(ok, F.col(entity))).alias(f"v_{name}"), F.countDistinct(F.when(ok.isNull(), F.col(entity))).alias(f"u_{name}")]
-    wide = rows.groupBy(request).agg(*aggs)
+        for kind, met in (("v", ok), ("u", ok.isNull())):
+            flags.append(F.max(F.when(met & F.col(entity).isNotNull(), 1).otherwise(0)).alias(f"{kind}_{name}"))
+            sums.append(F.sum(f"{kind}_{name}").alias(f"{kind}_{name}"))
+    wide = rows.groupBy(request, entity).agg(*flags).groupBy(request).agg(*sums)
     long = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"v_{n}").alias("value"), F.col(f"u_{n}").alias("unknown")) for n in stages)))
     return wide.select(request, long.alias("x")).select(request, "x.*")
 

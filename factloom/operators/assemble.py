@@ -71,32 +71,52 @@ def limit_violations(lineup_items: DataFrame, limits: DataFrame) -> DataFrame:
     return used.join(limits, "item_id").where(F.col("used") > F.col("limit")).select("lineup_id", "item_id", "used", "limit")
 
 
-def allocate(options: DataFrame, limits: DataFrame, owners: int = 6, width: int = 256) -> DataFrame:
+def allocate(options: DataFrame, limits: DataFrame, owners: int = 6, width: int = 256, search_on: bool = True) -> DataFrame:
     """options(lineup_id, owner, option, item_ids) -> (lineup_id, options, exhausted): the first feasible choice of one option an owner.
 
     Owners go in order of fewest options, then by id; each step adds every option that keeps all items within their limit
-    and keeps the ``width`` smallest option vectors of a line-up. ``exhausted`` tells that the width cut vectors off on the
-    way; ``options`` is null without a feasible vector.
+    and keeps the ``width`` smallest option vectors of a line-up, so that a vector found is the first one. Line-ups without
+    one whose vectors were cut off are searched again, sixteen times as wide, until they have one or none was cut off;
+    without ``search_on`` they are ``exhausted``, which leaves open whether there is one.
     """
+    scratch = Scratch(options.sparkSession, "allocate")
+    done, k = None, 0
+    while True:
+        found = scratch.save(_allocate(options, limits, owners, width), f"round{k}")
+        if not search_on:
+            return found
+        open_ = found.where("exhausted").select("lineup_id")
+        done = found.where("NOT exhausted") if done is None else done.unionByName(found.where("NOT exhausted"))
+        if open_.limit(1).count() == 0:
+            return done
+        options, width, k = options.join(open_, "lineup_id", "left_semi"), width * 16, k + 1
+
+
+def _allocate(options: DataFrame, limits: DataFrame, owners: int, width: int) -> DataFrame:
     n = options.groupBy("lineup_id", "owner").agg(F.count("*").alias("n"))
     at = n.withColumn("step", F.row_number().over(W.partitionBy("lineup_id").orderBy("n", "owner"))).drop("n")
     caps = limits.where("limit IS NOT NULL")
+    none = F.array().cast("array<struct<item_id:string,limit:int>>")
     items = options.select("lineup_id", "owner", "option", F.posexplode_outer("item_ids").alias("p", "item_id")).join(caps, "item_id", "left")
     o = items.groupBy("lineup_id", "owner", "option").agg(F.sort_array(F.collect_list(F.when(F.col("limit").isNotNull(), F.struct("item_id", "limit")))).alias("capped"))
     o = o.join(at, ["lineup_id", "owner"]).select("lineup_id", "owner", "option", "capped", F.col("step").alias("o_step"))
-    state = options.select("lineup_id").distinct().select("lineup_id", F.array().cast("array<struct<owner:string,option:int>>").alias("chosen"), F.array().cast("array<int>").alias("vector"), F.array().cast("array<struct<item_id:string,limit:int>>").alias("used"), F.lit(False).alias("cut"), F.lit(0).alias("done"))
+    # Of each line-up one row that isn't live stays to the end and tells whether vectors were cut off.
+    start = options.select("lineup_id").distinct().select("lineup_id", F.array().cast("array<struct<owner:string,option:int>>").alias("chosen"), F.array().cast("array<int>").alias("vector"), none.alias("used"), F.lit(False).alias("cut"), F.lit(0).alias("done"))
+    state = start.withColumn("live", F.explode(F.array(F.lit(False), F.lit(True))))
     for step in range(1, owners + 1):
-        j = state.join(o.where(F.col("o_step") == step), "lineup_id", "left")
-        used = F.concat("used", F.coalesce("capped", F.array().cast("array<struct<item_id:string,limit:int>>"))).cast("array<struct<item_id:string,limit:int>>")
+        j = state.join(o.where(F.col("o_step") == step).withColumn("live", F.lit(True)), ["lineup_id", "live"], "left")
+        used = F.concat("used", F.coalesce("capped", none)).cast("array<struct<item_id:string,limit:int>>")
         j = j.withColumn("now", used).where(F.forall("now", lambda x: F.size(F.filter("now", lambda y: y["item_id"] == x["item_id"])) <= x["limit"]))
         has = F.col("option").isNotNull()
-        j = j.select("lineup_id", F.when(has, F.concat("chosen", F.array(F.struct(F.col("owner").cast("string").alias("owner"), F.col("option").cast("int").alias("option"))))).otherwise(F.col("chosen")).alias("chosen"), F.when(has, F.concat("vector", F.array(F.col("option").cast("int")))).otherwise(F.col("vector")).alias("vector"), F.col("now").alias("used"), "cut", (F.col("done") + has.cast("int")).alias("done"))
+        picked = F.struct(F.col("owner").cast("string").alias("owner"), F.col("option").cast("int").alias("option"))
+        j = j.select("lineup_id", "live", F.when(has, F.concat("chosen", F.array(picked))).otherwise(F.col("chosen")).alias("chosen"), F.when(has, F.concat("vector", F.array(F.col("option").cast("int")))).otherwise(F.col("vector")).alias("vector"), F.col("now").alias("used"), "cut", (F.col("done") + has.cast("int")).alias("done"))
         w = W.partitionBy("lineup_id")
-        j = j.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy("vector")))
-        state = j.where(F.col("_r") <= width).withColumn("cut", F.col("cut") | (F.col("_n") > width)).drop("_n", "_r")
+        j = j.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy("live", "vector")))
+        state = j.where(F.col("_r") <= width + 1).withColumn("cut", F.col("cut") | (F.col("_n") > width + 1)).drop("_n", "_r")
     total = at.groupBy("lineup_id").agg(F.max("step").alias("total"))
-    best = state.join(total, "lineup_id").where("done = total").groupBy("lineup_id").agg(F.min(F.struct("vector", "chosen", "cut")).alias("b"))
-    return total.join(best, "lineup_id", "left").select("lineup_id", F.col("b.chosen").alias("options"), F.coalesce("b.cut", F.lit(False)).alias("exhausted"))
+    full = F.col("live") & (F.col("done") == F.col("total"))
+    best = state.join(total, "lineup_id").groupBy("lineup_id").agg(F.min(F.when(full, F.struct("vector", "chosen"))).alias("b"), F.max("cut").alias("cut"))
+    return best.select("lineup_id", F.col("b.chosen").alias("options"), (F.col("b").isNull() & F.col("cut")).alias("exhausted"))
 
 
 def beam(choices: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, width: int = 50, branching: int = 12) -> DataFrame:
@@ -113,7 +133,7 @@ def beam(choices: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES,
     state = pool.select("request_id").distinct().withColumn("archetype", F.explode(F.array(*map(F.lit, templates)))).select("*", F.array().cast(member).alias("picked"), F.lit(0).cast("long").alias("total"))
     for i in range(max(map(len, templates.values()))):
         role = steps.where(F.col("step") == i).select("archetype", "role")
-        j = state.join(F.broadcast(role), "archetype").join(pool, ["request_id", "role"])
+        j = state.join(role, "archetype").join(pool, ["request_id", "role"])
         e = F.col("entity_id").cast("string")
         j = j.where(~F.exists("picked", lambda p: p["entity_id"] == F.col("entity_id").cast("string")))
         grown = F.concat("picked", F.array(F.struct(e.alias("entity_id"), F.col("package_id").cast("string").alias("package_id"))))

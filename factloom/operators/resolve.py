@@ -55,28 +55,32 @@ def resolve_ranked(names: DataFrame, owners: DataFrame, exclude: DataFrame | Non
 
 
 def mentions(texts: DataFrame, names: DataFrame, min_token: int = 4) -> DataFrame:
-    """texts(text_id, text) x names(name) -> (text_id, name): the name, or one of its words of ``min_token`` letters, occurs; the longest name wins.
+    """texts(text_id, text) x names(name) -> (text_id, name): the lower-cased text contains the name, or one of the name's
+    blank-separated tokens of ``min_token`` characters or more; the longest name wins.
 
-    Words meet words in an equi-join. A whole name may be part of longer words: its longest word is looked for in the distinct
-    words of all texts by an equi-join on up to three characters, and the texts that have such a word are then verified.
+    Each needle is looked for by its longest word: an equi-join on up to three characters with the distinct words of all texts
+    finds the words that contain it, an equi-join on these the texts. A needle that is more than a word is then verified on the text.
     """
     split = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), 0))
     tokens = texts.select("text_id", F.explode(split("text")).alias("w"))
-    listed = names.select("name").distinct().where("name != ''").select("name", split("name").alias("words"))
-    known = listed.select("name", F.explode("words").alias("w"))
-    hits = tokens.join(known.where(F.length("w") >= min_token), "w").select("text_id", "name")
+    low = F.lower("name")
+    long = F.filter(F.split(low, " "), lambda t: F.length(t) >= min_token)
+    needles = names.select("name").distinct().where("name != ''").select("name", F.explode(F.array_union(F.array(low), long)).alias("needle"))
+    longest = F.element_at(F.array_sort(F.transform(split("needle"), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    needles = needles.withColumn("key", F.when(F.size(split("needle")) > 0, longest))
 
     size = F.least(F.length("w"), F.lit(3))
     grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda q: F.transform(F.sequence(F.lit(1), F.length("w") - q + 1), lambda i: F.substring("w", i, q)))))
     vocabulary = tokens.select("w").distinct().select("w", F.explode(grams).alias("gram"))
-    keys = known.groupBy("name").agg(F.max(F.struct(F.length("w"), "w"))["w"].alias("key")).withColumn("gram", F.substring("key", 1, 3))
-    holders = vocabulary.join(keys, "gram").where(F.col("w").contains(F.col("key"))).select("w", "name")
-    whole = F.lower("text").contains(F.lower("name"))
-    pairs = tokens.join(holders, "w").select(F.col("text_id").alias("_id"), "name").distinct()
-    verified = texts.join(pairs, F.col("text_id").eqNullSafe(F.col("_id"))).where(whole).select("text_id", "name")
-    marks = texts.join(listed.where(F.size("words") == 0).select("name"), whole).select("text_id", "name")  # names without a letter or digit
-
-    hits = hits.unionByName(verified).unionByName(marks).distinct()
+    keys = needles.where("key IS NOT NULL").withColumn("gram", F.substring("key", 1, 3))
+    holders = vocabulary.join(keys, "gram").where(F.col("w").contains(F.col("key"))).select("w", "name", "needle", "key")
+    inside = F.lower("text").contains(F.col("needle"))
+    pairs = tokens.join(holders, "w").select(F.col("text_id").alias("_id"), "name", "needle", "key").distinct()
+    single = pairs.where("needle = key").select(F.col("_id").alias("text_id"), "name")
+    verified = texts.join(pairs.where("needle != key"), F.col("text_id").eqNullSafe(F.col("_id"))).where(inside).select("text_id", "name")
+    marks = texts.join(needles.where("key IS NULL").select("name", "needle"), inside).select("text_id", "name")  # needles without a letter or digit, a handful
+
+    hits = single.unionByName(verified).unionByName(marks).distinct()
     best = W.partitionBy("text_id").orderBy(F.length("name").desc(), "name")
     return hits.withColumn("r", F.row_number().over(best)).where("r = 1").select("text_id", "name")
 

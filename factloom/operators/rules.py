@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from factloom.functions import expr
 from factloom.operators import reconcile, resolve, validate
 
 CLEAR = "__clear__"
+#: Rules that are compiled into one projection; all that people write by hand.
+COMPILED = 200
 SEMANTICS = ("kind", "value", "direction", "target")
 
 
@@ -20,15 +22,33 @@ def propose(facts: DataFrame, rules: DataFrame) -> DataFrame:
 
     facts(fact_id, record_type, text); rules(rule_id, record_types, pattern, negatives array, kind, value, direction, target,
     phase): the pattern matches the text and no negative does. ``matched`` is the match in phase "match", else the text.
-    The rule table is a small reference table, as wide as the rules people write.
+    Up to ``COMPILED`` rules become one projection of literal patterns, without a join; a larger table is joined.
     """
+    listed = rules.limit(COMPILED + 1).collect()
+    j = _compiled(facts, listed) if len(listed) <= COMPILED else _joined(facts, rules)
+    return j.select(proposal_id().alias("proposal_id"), F.col("fact_id").cast("string").alias("fact_id"), "record_type", "rule_id", *SEMANTICS, "matched", semantics().alias("semantics"))
+
+
+def _compiled(facts: DataFrame, listed: Sequence[Row]) -> DataFrame:
+    text, found = F.col("text"), []
+    for r in listed:
+        ok = F.col("record_type").isin(*r["record_types"]) & text.rlike(r["pattern"])
+        for n in r["negatives"] or ():
+            ok = ok & ~text.rlike(n)
+        matched = F.regexp_extract(text, r["pattern"], 0) if r["phase"] == "match" else text
+        found.append(F.when(ok, F.struct(*(F.lit(r[c]).cast("string").alias(c) for c in ("rule_id", *SEMANTICS)), matched.alias("matched"))))
+    each = F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<rule_id:string,kind:string,value:string,direction:string,target:string,matched:string>>")
+    return facts.select("fact_id", "record_type", F.explode(each).alias("x")).select("fact_id", "record_type", "x.*")
+
+
+def _joined(facts: DataFrame, rules: DataFrame) -> DataFrame:
     r = rules.withColumn("record_type", F.explode("record_types")).drop("record_types")
-    j = facts.join(F.broadcast(r), "record_type").where(F.expr("rlike(text, pattern)"))
+    j = facts.join(r, "record_type").where(F.expr("rlike(text, pattern)"))
     negatives = rules.select("rule_id", F.explode("negatives").alias("negative"))
-    hit = j.select("fact_id", "record_type", "rule_id", "text").join(F.broadcast(negatives), "rule_id").where(F.expr("rlike(text, negative)"))
+    hit = j.select("fact_id", "record_type", "rule_id", "text").join(negatives, "rule_id").where(F.expr("rlike(text, negative)"))
     j = j.join(hit.select("fact_id", "record_type", "rule_id").distinct(), ["fact_id", "record_type", "rule_id"], "left_anti")
     matched = F.when(F.col("phase") == "match", F.expr("regexp_extract(text, pattern, 0)")).otherwise(F.col("text"))
-    return j.select(proposal_id().alias("proposal_id"), F.col("fact_id").cast("string").alias("fact_id"), "record_type", "rule_id", *SEMANTICS, matched.alias("matched"), semantics().alias("semantics"))
+    return j.withColumn("matched", matched)
 
 
 def proposal_id() -> Column:

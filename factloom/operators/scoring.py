@@ -117,7 +117,7 @@ def fact_roles(facts: DataFrame, roles: DataFrame, counters: DataFrame | None =
     """facts(request_id, owner, fact_id, capabilities, matchup) -> (request_id, owner, fact_id, role, score): matched capabilities of a role,
     plus a bonus for primary damage that is weak or neutral against the target, and one for each required counter(request_id, capability)."""
     c = facts.select("request_id", "owner", "fact_id", "matchup", F.explode(F.array_distinct("capabilities")).alias("capability"))
-    out = c.join(F.broadcast(roles), "capability")
+    out = c.join(roles, "capability")
     if counters is not None:
         out = out.join(counters.select("request_id", "capability", F.lit(counter_bonus).alias("b")).distinct(), ["request_id", "capability"], "left")
         extra = F.when(F.col("role") == "boss_counter", F.coalesce("b", F.lit(0))).otherwise(0)
@@ -141,7 +141,7 @@ def role_struct(scores: DataFrame, roles: Sequence[str] = tuple(ROLE_CAPABILITIE
 
 def role_evidence(facts: DataFrame, roles: DataFrame) -> DataFrame:
     """(request_id, owner, role, fact_id, capability): what each score rests on."""
-    return facts.select("request_id", "owner", "fact_id", F.explode(F.array_distinct("capabilities")).alias("capability")).join(F.broadcast(roles), "capability").select("request_id", "owner", "role", "fact_id", "capability")
+    return facts.select("request_id", "owner", "fact_id", F.explode(F.array_distinct("capabilities")).alias("capability")).join(roles, "capability").select("request_id", "owner", "role", "fact_id", "capability")
 
 
 def slot_limit(points: Column | str, threshold: int = 80) -> Column:
@@ -157,7 +157,7 @@ def skill_packages(per_fact: DataFrame, families: DataFrame, profiles: DataFrame
     """
     f = per_fact.join(families, "fact_id")
     size = families.join(per_fact.select("request_id", "owner", "fact_id").distinct(), "fact_id").groupBy("request_id", "owner").agg(F.countDistinct("family_id").alias("n"))
-    own = f.join(F.broadcast(profiles), "role").groupBy("request_id", "owner", "profile", "family_id").agg((F.sum(F.col("score") * F.col("weight")) + F.max("bonus")).alias("s"))
+    own = f.join(profiles, "role").groupBy("request_id", "owner", "profile", "family_id").agg((F.sum(F.col("score") * F.col("weight")) + F.max("bonus")).alias("s"))
     every = families.join(per_fact.select("request_id", "owner", "fact_id").distinct(), "fact_id").select("request_id", "owner", "family_id", "bonus").distinct()
     listed = profiles.agg(F.sort_array(F.collect_set("profile")).alias("p"))  # one row: the handful of profiles
     every = every.crossJoin(F.broadcast(listed)).withColumn("profile", F.explode("p")).drop("p")

@@ -81,16 +81,16 @@ def resolve_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve_ranked(names, owners)
 
 
-@R.add("""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents), n AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM benchmark),
-  h AS (SELECT DISTINCT t.doc_id, 'item' || n.item_id AS name FROM t JOIN (SELECT item_id, max(w) AS w FROM n WHERE length(w) >= 12 GROUP BY 1) n USING (w))
+@R.add("""WITH n AS (SELECT DISTINCT unnest([regexp_extract(text, '^[^ ]+ [^ ]+'), regexp_extract(text, '[^ ]+ [^ ]+$'), CAST(item_id AS VARCHAR) || '% #']) AS name FROM benchmark),
+  k AS (SELECT name, lower(name) AS needle FROM n WHERE name != '' UNION SELECT name, t FROM (SELECT name, unnest(string_split(lower(name), ' ')) AS t FROM n) WHERE length(t) >= 4),
+  h AS (SELECT DISTINCT doc_id, name FROM documents JOIN k ON contains(lower(text), needle))
   SELECT doc_id AS text_id, name FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name) AS r FROM h) WHERE r = 1""")
 def mention_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and last two words of benchmark items as names."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    words = b.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("w")).where(F.length("w") >= 12)
-    names = words.groupBy("item_id").agg(F.max("w").alias("w")).select(F.concat(F.lit("item"), "item_id", F.lit(" "), "w").alias("name"))
-    # A label such as "item7" is no word of any text, so the rare word alone decides.
-    hits = resolve.mentions(d.select(F.col("doc_id").alias("text_id"), "text"), names, 12)
-    return hits.select("text_id", F.substring_index("name", " ", 1).alias("name"))
+    part = lambda p: F.regexp_extract("text", p, 0)
+    names = b.select(F.explode(F.array(part("^[^ ]+ [^ ]+"), part("[^ ]+ [^ ]+$"), F.concat("item_id", F.lit("% #")))).alias("name"))
+    return resolve.mentions(d.select(F.col("doc_id").alias("text_id"), "text"), names)
 
 
 @R.add("SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_linenumber) AS r FROM lineitem) WHERE r = 1")

@@ -17,27 +17,26 @@ R = Registry()
 _CAPS = "CASE l_returnflag WHEN 'A' THEN ['direct_damage', 'shield'] WHEN 'N' THEN ['recover_mp', 'heal_hp'] ELSE ['deploy_zone'] END"
 _ROLES_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{c}')" for r, cs in scoring.ROLE_CAPABILITIES.items() for c in cs) + ") AS t(role, capability))"
 _FACT_SQL = f"""f AS (SELECT n_regionkey AS request_id, l_suppkey AS owner, l_partkey AS fact_id, list_distinct(flatten(list({_CAPS}))) AS caps, max(CASE WHEN l_quantity > 25 THEN 'weak' ELSE 'blocked' END) AS m
-    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_partkey % 10 = 0 GROUP BY 1, 2, 3),
+    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2, 3),
   fr AS (SELECT request_id, owner, fact_id, role, CAST(count(*) + CASE WHEN role = 'primary_damage' AND max(m) = 'weak' THEN 2 ELSE 0 END + sum(CASE WHEN role = 'boss_counter' AND capability = 'shield' AND request_id = 1 THEN 2 ELSE 0 END) AS INTEGER) AS score
     FROM (SELECT request_id, owner, fact_id, m, unnest(caps) AS capability FROM f) JOIN {_ROLES_SQL} USING (capability) GROUP BY 1, 2, 3, 4),
   rs AS (SELECT request_id, owner, role, CAST(sum(score) AS INTEGER) AS score FROM fr GROUP BY 1, 2, 3)"""
 
 
-def _facts(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    """Of all parts with ``every``, else of those that the queries' SQL has."""
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, s, n = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
     caps = F.when(F.col("l_returnflag") == "A", F.array(F.lit("direct_damage"), F.lit("shield"))).when(F.col("l_returnflag") == "N", F.array(F.lit("recover_mp"), F.lit("heal_hp"))).otherwise(F.array(F.lit("deploy_zone")))
-    j = (li if every else li.where("l_partkey % 10 = 0")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    j = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     return j.groupBy(F.col("n_regionkey").alias("request_id"), F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("fact_id")).agg(F.array_distinct(F.flatten(F.collect_list(caps))).alias("capabilities"), F.max(F.when(F.col("l_quantity") > 25, "weak").otherwise("blocked")).alias("matchup"))
 
 
-def _fact_roles(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+def _fact_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     counters = spark.createDataFrame([(1, "shield")], "request_id int, capability string")
-    return scoring.fact_roles(_facts(spark, sf_dir, every), scoring.role_map(spark), counters)
+    return scoring.fact_roles(_facts(spark, sf_dir), scoring.role_map(spark), counters)
 
 
-def _scores(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    return scoring.role_scores(_fact_roles(spark, sf_dir, every))
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.role_scores(_fact_roles(spark, sf_dir))
 
 
 @R.add(f"WITH {_FACT_SQL} SELECT request_id, owner, role, score FROM rs")
@@ -111,39 +110,50 @@ def item_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.limit_violations(li.select(F.col("l_orderkey").alias("lineup_id"), F.col("l_partkey").alias("item_id")), p.select(F.col("p_partkey").alias("item_id"), (F.col("p_size") % 2).cast("int").alias("limit")))
 
 
-@R.add()
+@R.add("""WITH RECURSIVE li AS (SELECT l_orderkey AS k, l_linenumber AS owner, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY owner) AS step, count(*) OVER (PARTITION BY k) AS total FROM li),
+  v AS (SELECT k, step, total, [x] AS vec, [(p + x) % 7] AS used FROM o, (VALUES (1), (2), (3)) AS t(x) WHERE step = 1
+    UNION ALL SELECT v.k, o.step, o.total, list_append(vec, x), list_append(used, (p + x) % 7) FROM v JOIN o ON o.k = v.k AND o.step = v.step + 1, (VALUES (1), (2), (3)) AS t(x) WHERE NOT list_contains(used, (p + x) % 7))
+  SELECT k AS lineup_id, options, false AS exhausted FROM (SELECT DISTINCT k FROM li) LEFT JOIN (SELECT k, array_to_string(min(vec), ',') AS options FROM v WHERE step = total GROUP BY 1) USING (k)""")
 def allocate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders are line-ups, their lines owners; each line's part, and the two after it, are its options; odd parts have one copy."""
+    """Orders are line-ups, their lines owners; each line's part, and the two after it, are its options; each of seven items has one copy."""
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("lineup_id"), F.col("l_linenumber").alias("owner")).agg(F.min("l_partkey").alias("l_partkey"))
     o = li.withColumn("option", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select("lineup_id", "owner", "option", F.array(((F.col("l_partkey") + F.col("option")) % 7).cast("string"), F.lit("free")).alias("item_ids"))
     limits = spark.createDataFrame([(str(i), 1) for i in range(7)], "item_id string, limit int")
     owners = li.groupBy("lineup_id").count().agg(F.max("count")).first()[0] or 0  # one number
-    out = assemble.allocate(o, limits, owners=owners, width=3**owners)  # as wide as there are vectors, so that none is cut off
-    return out.select("lineup_id", F.concat_ws(",", F.transform("options", lambda x: x["option"].cast("string"))).alias("options"), "exhausted")
+    out = assemble.allocate(o, limits, owners=owners, width=256)
+    return out.select("lineup_id", F.array_join(F.transform("options", lambda x: x["option"].cast("string")), ",").alias("options"), "exhausted")
 
 
 def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, every=True).select("request_id", "role", F.col("owner").cast("string").alias("entity_id"), F.lit("p").alias("package_id"), "score")
+    return _scores(spark, sf_dir).select("request_id", "role", F.col("owner").cast("string").alias("entity_id"), F.lit("p").alias("package_id"), "score")
 
 
 def _lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = assemble.beam(_choices(spark, sf_dir), {"burst": ("primary_damage", "zone_setup", "recovery_protection", "boss_counter", "reserve_utility", "reserve_utility")}, 10, 5)
+    b = assemble.beam(_choices(spark, sf_dir), {"burst": _STEPS}, 10, 5)
     return b.withColumn("lineup_id", expr.stable_id("lineup", "request_id", "archetype", F.concat_ws(",", "members")))
 
 
-@R.add()
+_STEPS = ("primary_damage", "zone_setup", "recovery_protection", "boss_counter", "reserve_utility", "reserve_utility")
+_BEAM_SQL = f"""{_FACT_SQL}, pool AS (SELECT * FROM (SELECT request_id, role, CAST(owner AS VARCHAR) AS e, score, row_number() OVER (PARTITION BY request_id, role ORDER BY score DESC, CAST(owner AS VARCHAR)) AS r FROM rs) WHERE r <= 5),
+  s0 AS (SELECT DISTINCT request_id, CAST([] AS VARCHAR[]) AS m, CAST(0 AS BIGINT) AS score FROM pool), """ + ", ".join(
+    f"s{i + 1} AS (SELECT request_id, m, score FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, m) AS r FROM (SELECT s.request_id, list_append(m, e) AS m, s.score + p.score AS score FROM s{i} s JOIN pool p ON p.request_id = s.request_id AND role = '{role}' WHERE NOT list_contains(m, e))) WHERE r <= 10)"
+    for i, role in enumerate(_STEPS)
+)
+
+
+@R.add(f"WITH {_BEAM_SQL} SELECT request_id, 'burst' AS archetype, array_to_string(m, ',') AS members, score FROM s6")
 def beam_lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lineups(spark, sf_dir).select("request_id", "archetype", F.concat_ws(",", "members").alias("members"), "score")
 
 
 # Orders with their suppliers as line-ups, a closed form that SQL can follow.
 _LINE_SQL = """lu AS (SELECT n_regionkey AS request_id, o_orderkey AS lineup_id, o_orderpriority AS archetype, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS members, len(list(l_suppkey)) AS size
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 10 = 0 GROUP BY 1, 2, 3)"""
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3)"""
 
 
 def _orders_as_lineups(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li, c, n = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer", "nation"))
-    j = o.where("o_orderkey % 10 = 0").join(li, F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    j = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     g = j.groupBy(F.col("n_regionkey").alias("request_id"), F.col("o_orderkey").alias("lineup_id"), F.col("o_orderpriority").alias("archetype")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("x"))
     return g.select("request_id", "lineup_id", "archetype", F.transform("x", lambda y: y["l_suppkey"]).alias("members"))
 
@@ -187,11 +197,11 @@ def zero_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.zero_causes(o.select((F.col("o_custkey") % 10).alias("request_id"), F.concat_ws(":", cause, "o_orderkey").alias("reason")))
 
 
-@R.add("""WITH s AS (SELECT l_orderkey AS lineup_id, l_suppkey AS owner, l_linenumber AS pos, l_returnflag AS weapon, l_linestatus = 'O' AS gated, l_quantity > 20 AS awake, CASE WHEN l_partkey % 2 = 0 THEN 'A' END AS iw FROM lineitem WHERE l_orderkey % 5 = 0), n AS (SELECT lineup_id, count(*) AS n, count(DISTINCT owner) AS d FROM s GROUP BY 1)
+@R.add("""WITH s AS (SELECT l_orderkey AS lineup_id, l_suppkey AS owner, l_linenumber AS pos, l_returnflag AS weapon, l_linestatus = 'O' AS gated, l_quantity > 20 AS awake, CASE WHEN l_partkey % 2 = 0 THEN 'A' END AS iw FROM lineitem), n AS (SELECT lineup_id, count(*) AS n, count(DISTINCT owner) AS d FROM s GROUP BY 1)
   SELECT lineup_id, 'unknown_owner' AS error, CAST(owner AS VARCHAR) AS detail FROM s WHERE owner % 13 = 0 UNION ALL SELECT lineup_id, 'not_in_roster', CAST(owner AS VARCHAR) FROM s WHERE owner % 3 = 0 UNION ALL SELECT lineup_id, 'gated_skill', CAST(owner AS VARCHAR) FROM s WHERE gated AND NOT awake
   UNION ALL SELECT lineup_id, 'weapon_mismatch', CAST(owner AS VARCHAR) FROM s WHERE iw IS NOT NULL AND iw != weapon UNION ALL SELECT lineup_id, 'size', NULL FROM n WHERE n != 6 UNION ALL SELECT lineup_id, 'repeated_owner', NULL FROM n WHERE d < n""")
 def legality_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, s = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0"), table(spark, sf_dir, "supplier")
+    li, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     slots = li.select(F.col("l_orderkey").alias("lineup_id"), F.lit(1).alias("request_id"), F.col("l_linenumber").alias("pos"), F.col("l_suppkey").alias("owner"), F.col("l_returnflag").alias("weapon"), F.when(F.col("l_partkey") % 2 == 0, "A").alias("item_weapon"), (F.col("l_linestatus") == "O").alias("gated_used"), (F.col("l_quantity") > 20).alias("awakened"))
     return assemble.legality_errors(slots, s.where("s_suppkey % 3 != 0").select(F.lit(1).alias("request_id"), F.col("s_suppkey").alias("owner")), s.where("s_suppkey % 13 != 0").select(F.col("s_suppkey").alias("owner")))
 
@@ -236,19 +246,19 @@ def field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.field_accuracy(evaluate.match_one_to_one(p, e, ["s", "kind"]), p, e, ["q", "d"])
 
 
-_SPAN = "l_orderkey % 500 AS fact_id, l_suppkey % 5 AS block, CAST(l_quantity AS INTEGER) AS s0, CAST(l_quantity AS INTEGER) + 3 AS s1, l_returnflag AS label, l_linestatus AS operation"
+_SPAN = "l_orderkey // 8 AS fact_id, l_suppkey % 5 AS block, CAST(l_quantity AS INTEGER) AS s0, CAST(l_quantity AS INTEGER) + 3 AS s1, l_returnflag AS label, l_linestatus AS operation"
 
 
-@R.add(f"""WITH p AS (SELECT {_SPAN} FROM lineitem WHERE l_linenumber = 1), e AS (SELECT l_orderkey AS exp_id, {_SPAN} FROM lineitem WHERE l_linenumber = 2),
+@R.add(f"""WITH p AS (SELECT {_SPAN} FROM lineitem WHERE l_linenumber % 2 = 1), e AS (SELECT l_orderkey * 8 + l_linenumber AS exp_id, {_SPAN} FROM lineitem WHERE l_linenumber % 2 = 0),
   j AS (SELECT exp_id, coalesce(p.s0 < e.s1 AND e.s0 < p.s1, false) AS o, coalesce(p.label = e.label, false) AS l, coalesce(p.operation = e.operation, false) AS x FROM e LEFT JOIN p USING (fact_id, block)),
   g AS (SELECT exp_id, bool_or(o AND l AND x) AS a, bool_or(o AND l) AS b, bool_or(o) AS c, bool_or(l) AS d FROM j GROUP BY 1)
   SELECT exp_id, CASE WHEN a THEN 'anchor_differs' WHEN b THEN 'operation_mismatch' WHEN c THEN 'label_mismatch' WHEN d THEN 'elsewhere_in_block' ELSE 'absent' END AS reason FROM g""")
 def miss_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity").cast("int")
-    cols = ((F.col("l_orderkey") % 500).alias("fact_id"), (F.col("l_suppkey") % 5).alias("block"), q.alias("start"), (q + 3).alias("end"), F.col("l_returnflag").alias("label"), F.col("l_linestatus").alias("operation"))
-    exp = li.where("l_linenumber = 2").select(F.col("l_orderkey").alias("exp_id"), *cols)
-    return evaluate.diagnose_misses(li.where("l_linenumber = 1").select(*cols), exp, exp.select("exp_id").limit(0))
+    cols = (F.expr("l_orderkey div 8").alias("fact_id"), (F.col("l_suppkey") % 5).alias("block"), q.alias("start"), (q + 3).alias("end"), F.col("l_returnflag").alias("label"), F.col("l_linestatus").alias("operation"))
+    exp = li.where("l_linenumber % 2 = 0").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("exp_id"), *cols)
+    return evaluate.diagnose_misses(li.where("l_linenumber % 2 = 1").select(*cols), exp, exp.select("exp_id").limit(0))
 
 
 @R.add("""WITH p AS (SELECT l_orderkey AS k, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS t FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), e AS (SELECT l_orderkey AS k, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) AS t FROM lineitem WHERE l_quantity > 5 GROUP BY 1)
@@ -283,22 +293,22 @@ def variant_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.compare_variants(runs).drop("latency_delta")
 
 
-@R.add("""WITH c AS (SELECT o_orderkey AS case_id, o_orderstatus != 'F' AS feas, list_sort(list_distinct(list(l_suppkey))) AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 3 = 0 GROUP BY 1, 2), x AS (SELECT l_orderkey AS case_id, list_sort(list_distinct(list(l_suppkey))) AS m, max(l_quantity) > 30 AS legal FROM lineitem WHERE l_linenumber <= 4 AND l_orderkey % 2 = 0 GROUP BY 1),
+@R.add("""WITH c AS (SELECT o_orderkey AS case_id, o_orderstatus != 'F' AS feas, list_sort(list_distinct(list(l_suppkey))) AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2), x AS (SELECT l_orderkey AS case_id, list_sort(list_distinct(list(l_suppkey))) AS m, max(l_quantity) > 30 AS legal FROM lineitem GROUP BY 1 HAVING max(l_tax) > 0.05),
   g AS (SELECT case_id, feas, m, coalesce(legal, false) AS legal, coalesce(legal AND m = w, false) AS hit FROM c LEFT JOIN x USING (case_id)),
   k AS (SELECT case_id, concat_ws(',', CASE WHEN feas AND m IS NULL THEN 'no_candidate' END, CASE WHEN feas AND m IS NOT NULL AND NOT legal THEN 'no_legal_candidate' END, CASE WHEN feas AND legal AND NOT hit THEN 'witness_not_found' END, CASE WHEN NOT feas AND legal THEN 'unexpected_candidate' END) AS codes FROM g)
   SELECT case_id, codes = '' AS passed, codes FROM k""")
 def acceptance_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, li = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0"), table(spark, sf_dir, "lineitem")
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     cases = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderstatus") != "F", "feasible").otherwise("infeasible").alias("expected")).agg(F.collect_set("l_suppkey").alias("witness")).withColumn("certificate", F.lit(None).cast("string"))
-    cand = li.where("l_linenumber <= 4 AND l_orderkey % 2 = 0").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.collect_set("l_suppkey").alias("members"), (F.max("l_quantity") > 30).alias("legal"))
+    cand = li.groupBy(F.col("l_orderkey").alias("case_id")).agg(F.collect_set("l_suppkey").alias("members"), (F.max("l_quantity") > 30).alias("legal"), F.max("l_tax").alias("t")).where("t > 0.05").drop("t")
     return evaluate.acceptance(cases, cand).select("case_id", "passed", F.concat_ws(",", "codes").alias("codes"))
 
 
-@R.add("""WITH c AS (SELECT l_orderkey % 200 AS request_id, l_orderkey, list_sort(list_distinct(list(l_suppkey))) AS s FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1, 2), d AS (SELECT DISTINCT request_id, s FROM c),
+@R.add("""WITH c AS (SELECT l_orderkey // 10 AS request_id, l_orderkey, list_sort(list_distinct(list(l_suppkey))) AS s FROM lineitem GROUP BY 1, 2), d AS (SELECT DISTINCT request_id, s FROM c),
   j AS (SELECT a.request_id, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS j FROM d a JOIN d b ON a.request_id = b.request_id AND a.s < b.s)
   SELECT request_id, count(*) AS n, count(DISTINCT s) AS unique_sets, any_value(mj) AS mean_jaccard, any_value(xj) AS max_jaccard FROM c LEFT JOIN (SELECT request_id, round_even(avg(j), 3) AS mj, round_even(max(j), 3) AS xj FROM j GROUP BY 1) USING (request_id) GROUP BY 1""")
 def set_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").groupBy((F.col("l_orderkey") % 200).alias("request_id"), "l_orderkey").agg(F.collect_set("l_suppkey").alias("members"))
+    c = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey div 10").alias("request_id"), "l_orderkey").agg(F.collect_set("l_suppkey").alias("members"))
     return aggregate.set_diversity(c).select("request_id", "n", "unique_sets", "mean_jaccard", "max_jaccard")
 
 
@@ -317,12 +327,12 @@ def topk_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.topk_references(req, ref)
 
 
-@R.add("""WITH o AS (SELECT s_suppkey AS owner, 'w' || (s_suppkey % 5) AS weapon, 't' || (s_suppkey % 7) AS trait FROM supplier), i AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 2 = 0 THEN 't' || (p_partkey % 7) END AS trait, CASE WHEN p_partkey % 3 = 0 THEN 'w' || (p_partkey % 5) END AS wr FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0 OR p_partkey < 20)
-  SELECT owner, item_id FROM o JOIN i ON (i.trait IS NULL OR i.trait = o.trait) AND (wr IS NULL OR wr = weapon)""")
+@R.add("""WITH o AS (SELECT s_suppkey AS owner, 'w' || (s_suppkey % 5) AS weapon, 't' || (s_suppkey % 7) AS trait FROM supplier), i AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 2 = 0 THEN 't' || (p_partkey % 7) END AS trait, CASE WHEN p_partkey % 3 = 0 THEN 'w' || (p_partkey % 5) END AS wr, CASE WHEN p_partkey % 2 != 0 AND p_partkey % 3 != 0 AND p_size > 2 THEN 'w' || (p_partkey % 4) END AS wg FROM part)
+  SELECT owner, item_id FROM o JOIN i ON (i.trait IS NULL OR i.trait = o.trait) AND (wr IS NULL OR wr = weapon) AND (wg IS NULL OR wg = weapon)""")
 def compatible_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, p = F.col("s_suppkey"), F.col("p_partkey")
     owners = table(spark, sf_dir, "supplier").select(s.alias("owner"), F.concat(F.lit("w"), s % 5).alias("weapon"), F.array(F.concat(F.lit("t"), s % 7)).alias("traits"))
-    items = table(spark, sf_dir, "part").where("p_partkey % 2 = 0 OR p_partkey % 3 = 0 OR p_partkey < 20").select(p.alias("item_id"), F.when(p % 2 == 0, F.concat(F.lit("t"), p % 7)).alias("trait"), F.when(p % 3 == 0, F.concat(F.lit("w"), p % 5)).alias("weapon_req"), F.lit(None).cast(expr.STRINGS).alias("weapon_group"))
+    items = table(spark, sf_dir, "part").select(p.alias("item_id"), F.when(p % 2 == 0, F.concat(F.lit("t"), p % 7)).alias("trait"), F.when(p % 3 == 0, F.concat(F.lit("w"), p % 5)).alias("weapon_req"), F.when((p % 2 != 0) & (p % 3 != 0) & (F.col("p_size") > 2), F.array(F.concat(F.lit("w"), p % 4))).alias("weapon_group"))
     return resolve.compatible_items(owners, items)
 
 

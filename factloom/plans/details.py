@@ -116,17 +116,17 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.collect_citations(blank, o.where("o_orderstatus = 'O'").withColumn("label", F.lit("a")), o.where("o_orderstatus != 'O'").withColumn("label", F.lit("b")))
 
 
-@R.add("SELECT s_suppkey AS owner FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders WHERE o_custkey < 20) ON l_orderkey = o_orderkey WHERE r <= 2)")
+@R.add("SELECT s_suppkey AS owner FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) ON l_orderkey = o_orderkey WHERE r <= 2)")
 def referenced_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li, s = _t(spark, sf_dir, "orders", "lineitem", "supplier")
-    c = o.where("o_custkey < 20").join(li, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("request_id"), F.col("o_orderkey").alias("candidate_id"), F.col("o_totalprice").alias("score")).agg(F.collect_set("l_suppkey").alias("owner_ids"), F.collect_set("l_partkey").alias("fact_ids"))
+    c = o.join(li, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("request_id"), F.col("o_orderkey").alias("candidate_id"), F.col("o_totalprice").alias("score")).agg(F.collect_set("l_suppkey").alias("owner_ids"), F.collect_set("l_partkey").alias("fact_ids"))
     return resolve.project_referenced(c, s.select(F.col("s_suppkey").alias("owner")), s.select(F.col("s_suppkey").alias("fact_id")), 2)[0]
 
 
-@R.add("SELECT l_orderkey AS id, l_partkey IS NOT NULL AND p_partkey IS NOT NULL AS known, p_name AS label FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 10 WHERE l_linenumber = 1")
+@R.add("SELECT l_orderkey AS id, l_partkey IS NOT NULL AND p_partkey IS NOT NULL AS known, p_name AS label FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 10")
 def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p = _t(spark, sf_dir, "lineitem", "part")
-    ids = li.where("l_linenumber = 1").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("o"))
+    ids = li.select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("o"))
     out = resolve.resolve_display(ids, p.where("p_size > 10").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")))
     return out.select(F.col("o").alias("id"), "known", "label")
 
@@ -297,10 +297,10 @@ def affinity_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assemble.affinity_fidelity(said, stored, fields=["weak", "resist"])
 
 
-@R.add("""WITH s AS (SELECT l_orderkey AS o, l_linenumber AS p, l_returnflag AS f FROM lineitem WHERE l_orderkey % 20 = 0) SELECT DISTINCT o AS lineup_id, 'harmful:inflict_pain' AS warning FROM s WHERE f = 'R' UNION ALL SELECT o, 'alternative_zones' FROM s WHERE f = 'A' GROUP BY 1 HAVING count(DISTINCT p) > 1 UNION ALL SELECT o, 'idle_reserve' FROM s GROUP BY 1 HAVING max(p) < 4""")
+@R.add("""WITH s AS (SELECT l_orderkey AS o, l_linenumber AS p, l_returnflag AS f FROM lineitem) SELECT DISTINCT o AS lineup_id, 'harmful:inflict_pain' AS warning FROM s WHERE f = 'R' UNION ALL SELECT o, 'alternative_zones' FROM s WHERE f = 'A' GROUP BY 1 HAVING count(DISTINCT p) > 1 UNION ALL SELECT o, 'idle_reserve' FROM s GROUP BY 1 HAVING max(p) < 4""")
 def lineup_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cap = F.when(F.col("l_returnflag") == "R", "inflict_pain").when(F.col("l_returnflag") == "A", "deploy_zone").otherwise("guard")
-    s = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("lineup_id"), F.lit(1).alias("boss_id"), F.col("l_linenumber").alias("pos"), cap.alias("capability"))
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("lineup_id"), F.lit(1).alias("boss_id"), F.col("l_linenumber").alias("pos"), cap.alias("capability"))
     return assemble.warnings(s, spark.createDataFrame([(1, "inflict_pain")], "boss_id int, capability string"))
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import catalog, contest, details, review, web
+from factloom.plans import catalog, contest, details, evidence, review, web
 
 FLAGSHIP = "proposal_states"
-PARTS = (review.R, catalog.R, contest.R, web.R, details.R)
+PARTS = (review.R, catalog.R, contest.R, web.R, details.R, evidence.R)
 
 #: Columns that DuckDB's count_if makes wider than a long.
 LONGS = {

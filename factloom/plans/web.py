@@ -37,7 +37,12 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@R.add()
+_CLEAN = "trim(regexp_replace(replace(replace(replace(replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[\\s\\x01]+', ' ', 'g'))"
+
+
+@R.add(f"""WITH {_BLOCKS}, c AS (SELECT page_id, ord, starts_with(raw, chr(1) || '<h1>') AS h, {_CLEAN} AS t FROM b), a AS (SELECT page_id, min(ord) AS a0 FROM c WHERE h AND t != '' GROUP BY 1), s AS (SELECT a.page_id, a0, min(CASE WHEN h OR lower(t) = 'references' THEN ord END) AS stop FROM a LEFT JOIN c ON c.page_id = a.page_id AND ord > a0 GROUP BY 1, 2),
+  j AS (SELECT c.page_id, string_agg(t, chr(10) ORDER BY ord) AS t FROM s JOIN c ON c.page_id = s.page_id AND ord > a0 AND (stop IS NULL OR ord < stop) WHERE length(t) >= 20 AND regexp_matches(lower(t), 'th|en') GROUP BY 1)
+  SELECT page_id, 'body' AS section_id, substr(t, 1, 5000) AS text, length(t) > 5000 AS truncated FROM j""")
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of each page below its title's heading."""
     b = pages.page_blocks(table(spark, sf_dir, "pages"))
@@ -46,7 +51,13 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.section_text(s, ["th", "en"], 20, 5000, ["page_id", "section_id"])
 
 
-@R.add()
+_TOKENS = r"(?is)<a\b[^>]*>.*?</a>|<img\b[^>]*>|<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>|[^<]+"
+
+
+@R.add(f"""WITH k AS (SELECT page_id, unnest(l) AS raw, generate_subscripts(l, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '{_TOKENS}') AS l FROM pages)), r AS (SELECT *, lower(raw) AS x FROM k),
+  t AS (SELECT *, CASE WHEN regexp_matches(x, '^<a[ >]') THEN 'reference' WHEN starts_with(x, '<img') THEN 'icon' WHEN regexp_matches(x, '^<br[ />]') THEN 'line_break' WHEN NOT starts_with(x, '<') THEN 'text' END AS kind,
+    sum(CASE WHEN regexp_matches(x, '^<(ul|ol)[ >]') THEN 1 WHEN regexp_matches(x, '^</(ul|ol)') THEN -1 ELSE 0 END) OVER w AS depth, sum(CASE WHEN regexp_matches(x, '^<(h[1-6]|p|li|td|th|dt|dd|blockquote|figcaption|title)[ >]') THEN 1 ELSE 0 END) OVER w AS block FROM r WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
+  SELECT page_id AS unit_id, kind, count(*) AS n, CAST(max(greatest(0, depth)) AS BIGINT) AS depth, CAST(max(block) AS BIGINT) AS blocks FROM t WHERE kind IS NOT NULL AND block > 0 AND (kind = 'line_break' OR CASE WHEN kind = 'icon' THEN regexp_extract(raw, 'alt=\"([^\"]*)', 1) ELSE trim(replace(regexp_replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), '&nbsp;', ' ')) END != '') GROUP BY 1, 2""")
 def structural_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = pages.structural_blocks(table(spark, sf_dir, "pages"))
     return t.groupBy("unit_id", "kind").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.max("block_ord").alias("blocks"))
@@ -65,7 +76,12 @@ def reference_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refgraph.topology(table(spark, sf_dir, "region").select(F.col("r_name").alias("root")), _edges(spark, sf_dir))
 
 
-@R.add()
+@R.add("""WITH e AS (SELECT r_name AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON r_regionkey = n_regionkey UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier), r AS (SELECT src, dst, CASE WHEN dst = 's7' THEN 'unresolved' WHEN dst LIKE '%3' THEN 'excluded' END AS base FROM e),
+  a AS (SELECT src AS root, src, dst, base, 1 AS depth, 1 AS seen FROM r JOIN region ON r_name = src), a2 AS (SELECT *, CASE WHEN base IS NULL AND count(*) OVER w > 64 THEN 'frontier_exhausted' ELSE base END AS f FROM a WINDOW w AS (PARTITION BY root ORDER BY src, src || '>' || dst ROWS UNBOUNDED PRECEDING)),
+  a3 AS (SELECT *, CASE WHEN f IS NOT NULL THEN f WHEN seen + count(CASE WHEN f IS NULL THEN 1 END) OVER w > 8 THEN 'page_exhausted' ELSE 'resolved' END AS status FROM a2 WINDOW w AS (PARTITION BY root ORDER BY src, src || '>' || dst ROWS UNBOUNDED PRECEDING)),
+  b AS (SELECT a3.root, r.src, r.dst, r.base, 2 AS depth, 1 + (SELECT count(*) FROM a3 z WHERE z.root = a3.root AND z.status = 'resolved') AS seen FROM a3 JOIN r ON r.src = a3.dst WHERE a3.status = 'resolved'), b2 AS (SELECT *, CASE WHEN base IS NULL AND count(*) OVER w > 64 THEN 'frontier_exhausted' ELSE base END AS f FROM b WINDOW w AS (PARTITION BY root ORDER BY src, src || '>' || dst ROWS UNBOUNDED PRECEDING)),
+  b3 AS (SELECT *, CASE WHEN f IS NOT NULL THEN f WHEN seen + count(CASE WHEN f IS NULL THEN 1 END) OVER w > 8 THEN 'page_exhausted' ELSE 'resolved' END AS status FROM b2 WINDOW w AS (PARTITION BY root ORDER BY src, src || '>' || dst ROWS UNBOUNDED PRECEDING))
+  SELECT root, CAST(depth AS INTEGER) AS depth, status, count(*) AS n FROM (SELECT root, depth, status FROM a3 UNION ALL SELECT root, depth, status FROM b3) GROUP BY 1, 2, 3""")
 def bounded_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each region reaches over nations and suppliers within three levels, eight pages and 64 references."""
     e = _edges(spark, sf_dir)

@@ -94,7 +94,7 @@ def bounded_sections(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
 def labeled_fields(section_rows: DataFrame, label_map: DataFrame) -> DataFrame:
     """section_rows(section_id, ord, label, value), label_map(label, field) -> the first value of each field."""
     known = label_map.select(expr.folded("label").alias("_l"), "field")
-    j = section_rows.withColumn("_l", F.regexp_replace(expr.folded("label"), r"\s*:$", "")).join(F.broadcast(known), "_l")
+    j = section_rows.withColumn("_l", F.regexp_replace(expr.folded("label"), r"\s*:$", "")).join(known, "_l")
     return j.where("value IS NOT NULL AND trim(value) != ''").groupBy("section_id", "field").agg(F.min_by("value", "ord").alias("value"))
 
 

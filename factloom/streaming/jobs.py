@@ -2,58 +2,66 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from factloom.operators import reconcile
+from factloom.operators import ranked
 
 
-def start_incremental_parse(captures: DataFrame, parse: Callable[[DataFrame], DataFrame], store: str, key: list[str], checkpoint: str):
-    """Parses each micro-batch of captures and upserts the rows by key into versioned folders below ``store``.
+BUCKETS = 64
 
-    Batch n reads the newest folder below n and writes folder n, so that a batch run again gives the same folder.
+
+def start_incremental_parse(captures: DataFrame, parse: Callable[[DataFrame], DataFrame], store: str, key: Sequence[str], checkpoint: str, order: Sequence[str] = (), buckets: int = BUCKETS):
+    """Parses each micro-batch of captures and upserts the rows by key into a table in ``store``, the last writer wins.
+
+    The last of a key is the row greatest by the ``order`` columns, then the newer batch's, then the greatest by all columns.
+    The table is partitioned by a hash bucket of the key; a batch reads and rewrites the buckets that its keys fall in, so
+    its cost follows the batch. A batch that runs again leaves the same rows.
     """
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        fs = spark._jvm.org.apache.hadoop.fs.Path(store)
-        files = fs.getFileSystem(spark._jsc.hadoopConfiguration())
-        old = []
-        if files.exists(fs):
-            old = sorted(int(s.getPath().getName()[1:]) for s in files.listStatus(fs) if s.getPath().getName().startswith("v"))
-        old = [v for v in old if v < n]
         rows = parse(batch)
-        if old:
-            rows = reconcile.upsert(spark.read.parquet(f"{store}/v{old[-1]}"), rows, key)
-        else:
-            rows = rows.dropDuplicates(key)
-        rows.write.mode("overwrite").parquet(f"{store}/v{n}")
+        columns = rows.columns
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+        new = rows.withColumns({"_new": F.lit(1), "_bucket": bucket})
+        path = spark._jvm.org.apache.hadoop.fs.Path(store)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+            old = spark.read.schema(new.drop("_new").schema).parquet(store).where(F.col("_bucket").isin(touched)).withColumn("_new", F.lit(0))
+            new = new.unionByName(old)
+        latest = ranked.top(new, list(key), [*(F.desc_nulls_last(c) for c in order), F.desc("_new"), *(F.desc_nulls_last(c) for c in columns)])
+        latest.select(*columns, "_bucket").repartition("_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(store)
 
     return captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def track_targets(events: DataFrame) -> DataFrame:
-    """events(target_id, ts, state, error) -> one row an update: (target_id, state, attempts, last_error); an older event changes nothing but the attempts."""
+    """events(target_id, ts, state, error) -> one row an update: (target_id, state, attempts, last_error); an older event changes nothing but the attempts.
+
+    Events of one time count in the order of their state and error.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ts, name, attempts, error = state.get if state.exists else (0, None, 0, None)
+        ts, name, attempts, error_ts, error = state.get if state.exists else (None, None, 0, None, None)
         for f in frames:
-            for r in f.sort_values("us").itertuples():
-                attempts += int(r.state in ("cached", "failed"))
-                if isinstance(r.error, str):
-                    error = r.error
-                if name is None or r.us >= ts:
-                    ts, name = int(r.us), r.state
-        state.update((ts, name, attempts, error))
+            attempts += int(f["state"].isin(("cached", "failed")).sum())
+            last = f.sort_values(["us", "state"]).iloc[-1]
+            if ts is None or (int(last["us"]), last["state"]) >= (ts, name):
+                ts, name = int(last["us"]), last["state"]
+            failed = f[f["error"].notna()].sort_values(["us", "error"])
+            if len(failed) and (error_ts is None or (int(failed["us"].iloc[-1]), failed["error"].iloc[-1]) >= (error_ts, error)):
+                error_ts, error = int(failed["us"].iloc[-1]), failed["error"].iloc[-1]
+        state.update((ts, name, attempts, error_ts, error))
         yield pd.DataFrame({"target_id": [key[0]], "state": [name], "attempts": [attempts], "last_error": [error]})
 
     kind = events.schema["target_id"].dataType.simpleString()
     rows = events.select("target_id", F.unix_micros("ts").alias("us"), "state", "error")
-    return rows.groupBy("target_id").applyInPandasWithState(update, f"target_id {kind}, state string, attempts int, last_error string", "ts long, state string, attempts int, error string", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("target_id").applyInPandasWithState(update, f"target_id {kind}, state string, attempts int, last_error string", "ts long, state string, attempts int, error_ts long, error string", "update", GroupStateTimeout.NoTimeout)
 
 
 def run_latency(events: DataFrame, slo_seconds: float, gap: str = "30 minutes", watermark: str = "10 minutes") -> DataFrame:

@@ -1,5 +1,4 @@
 import random
-import re
 
 from factloom.operators import resolve
 
@@ -10,10 +9,9 @@ def test_mentions_equal_brute_force(spark):
     names = ["Al Be", "al", "Bo-Li", "dor", "Cy of Echo", "***", "ü", "zz top", "Echo"] + [" ".join(r.sample(parts, 2)) for _ in range(8)]
     texts = [(i, r.choice(["", "(", "pre"]) + r.choice([" ", "", "-"]).join(r.choice(parts) for _ in range(r.randint(1, 7)))) for i in range(60)]
     texts += [(100, "the bo-li one"), (101, "Xal bey"), (102, "rated ***!"), (103, None), (104, ""), (105, "nothing"), (None, "ZZ Top")]
-    words = lambda t: set(re.findall(r"[^\W_]+", t.lower()))
     want = []
     for i, t in texts:
-        fits = [n for n in names if t and (n.lower() in t.lower() or any(len(w) >= 4 and w in words(t) for w in words(n)))]
+        fits = [n for n in names if t and (n.lower() in t.lower() or any(len(w) >= 4 and w in t.lower() for w in n.lower().split(" ")))]
         if fits:
             want.append((i, min(fits, key=lambda n: (-len(n), n))))
     t = spark.createDataFrame(texts, "text_id long, text string")

@@ -95,6 +95,26 @@ def test_allocate_takes_the_first_feasible_vector(spark):
     assert out == {1: {"b": 1, "a": 2}, 2: None}
 
 
+def test_allocate_searches_on_where_vectors_were_cut(spark):
+    rows_ = [(k, o, i, [item]) for k in range(3) for o, items in (("a", "xy"), ("b", "xy"), ("c", "xyz"[: 2 + k % 2])) for i, item in enumerate(items)]
+    o = spark.createDataFrame(rows_, "lineup_id int, owner string, option int, item_ids array<string>")
+    caps = spark.createDataFrame([(x, 1) for x in "xyz"], "item_id string, limit int")
+    get = lambda **kw: {r["lineup_id"]: (r["options"] and [x["option"] for x in r["options"]], r["exhausted"]) for r in assemble.allocate(o, caps, 3, **kw).collect()}
+    assert get(width=1) == get(width=64) == {0: (None, False), 1: ([0, 1, 2], False), 2: (None, False)}
+    tight = spark.createDataFrame([(1, "a", 1, ["x"]), (1, "a", 2, ["y"]), (1, "b", 1, ["x"]), (1, "b", 2, ["x"])], "lineup_id int, owner string, option int, item_ids array<string>")
+    assert [(r["options"], r["exhausted"]) for r in assemble.allocate(tight, caps, 2, width=1, search_on=False).collect()] == [(None, True)]
+    assert [[x["option"] for x in r["options"]] for r in assemble.allocate(tight, caps, 2, width=1).collect()] == [[2, 1]]
+
+
+def test_rules_compiled_and_joined_agree(spark, monkeypatch):
+    facts = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("a", "red fox"), ("a", "red dog"), ("b", "Red fox"), ("c", "fox"), ("a", None), (None, "red")])], "fact_id int, record_type string, text string")
+    table = spark.createDataFrame([("r1", ["a", "b"], "(?i)red", ["dog"], "k", "v", "up", "t", "match"), ("r2", ["a"], "fox$", [], "k", "w", None, "t", "text"), ("r3", ["c", "a"], "o", ["cat", "red"], "k", "x", "up", "t", "match")], "rule_id string, record_types array<string>, pattern string, negatives array<string>, kind string, value string, direction string, target string, phase string")
+    one = sorted(map(tuple, rules.propose(facts, table).collect()), key=repr)
+    monkeypatch.setattr(rules, "COMPILED", 2)
+    assert one == sorted(map(tuple, rules.propose(facts, table).collect()), key=repr) and len(one) == 4
+    assert rules.propose(facts, table.limit(0)).count() == 0
+
+
 def test_beam_has_distinct_members_and_is_deterministic(spark):
     c = spark.createDataFrame([(1, r, e, "p", s) for r in ("x", "y") for e, s in (("a", 3), ("b", 2), ("c", 2))], "request_id int, role string, entity_id string, package_id string, score int")
     get = lambda: assemble.beam(c, {"t": ("x", "y", "x")}, 4, 3).select("members", "score").collect()

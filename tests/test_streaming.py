@@ -17,7 +17,18 @@ def test_incremental_parse_upserts(spark, tmp_path):
     jobs.start_incremental_parse(stream(), parse, store, ["k"], check).awaitTermination()
     spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string").write.parquet(str(src / "2"))
     jobs.start_incremental_parse(stream(), parse, store, ["k"], check).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(f"{store}/v1").collect())) == [(1, "A"), (2, "C"), (3, "D")]
+    assert sorted(map(tuple, spark.read.parquet(store).select("k", "v").collect())) == [(1, "A"), (2, "C"), (3, "D")]
+
+
+def test_the_last_writer_wins_within_and_between_batches(spark, tmp_path):
+    schema, src, store = "k int, t int, v string", tmp_path / "src", str(tmp_path / "store")
+    batches = [[(1, 1, "a"), (1, 3, "c"), (1, 2, "b"), (2, 5, "x")], [(1, 2, "late"), (2, 5, "again"), (None, 1, "n")], []]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).write.parquet(str(src / str(n)))
+        stream = spark.readStream.schema(schema).parquet(f"{src}/*")
+        jobs.start_incremental_parse(stream, lambda b: b, store, ["k"], str(tmp_path / "check"), order=["t"], buckets=3).awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(store).select("k", "v").collect()), key=repr)
+    assert got == [(1, "c"), (2, "again"), (None, "n")]
 
 
 def test_track_targets(spark, tmp_path):
