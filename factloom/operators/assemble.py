@@ -143,8 +143,13 @@ def beam(choices: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES,
 
 
 def sidekick_pairs(entities: DataFrame, n: int = 12) -> DataFrame:
-    """entities(request_id, sidekick, base, placement, score) -> the n best (main, sub) of different bases a request; each side's best n suffice."""
-    best = ranked.top(entities, ["request_id", "placement"], [F.desc("score"), "sidekick"], n + 1)
+    """entities(request_id, sidekick, base, placement, score) -> the n best (main, sub) of different bases a request.
+
+    The n best of each base, and of these the 2n best of a side, suffice: for any other one, n better ones of another base than
+    its partner's come first.
+    """
+    of_base = ranked.top(entities, ["request_id", "placement", "base"], [F.desc("score"), "sidekick"], n)
+    best = ranked.top(of_base, ["request_id", "placement"], [F.desc("score"), "sidekick"], 2 * n)
     side = lambda p: best.where(F.col("placement") == p).select("request_id", F.col("sidekick").alias(p), F.col("base").alias(f"b_{p}"), F.col("score").alias(f"s_{p}"))
     pairs = side("main").join(side("sub"), "request_id").where("b_main != b_sub").withColumn("score", F.col("s_main") + F.col("s_sub"))
     return ranked.top(pairs, ["request_id"], [F.desc("score"), "main", "sub"], n, "rank").select("request_id", "main", "sub", "score", "rank")
