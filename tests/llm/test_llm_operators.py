@@ -175,39 +175,88 @@ def test_simhash_links_in_dense_groups(spark):
     assert pairs([find(p) for p in signed]) == pairs(want)
 
 
-def test_suffix_dedup_equals_brute_force(docs, empty):
-    t = [(i, (x or "").encode()) for i, x in texts()]
-    n, seen = 400, Counter()
+def gone_bytes(t):
+    """Of (id, bytes) rows: (id, size, runs, bytes left)."""
+    n, seen = suffix_dedup.LENGTH, Counter()
     for _, b in t:
         seen.update(b[k : k + n] for k in range(len(b) - n + 1))
-    want = []
+    out = []
     for i, b in t:
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - n + 1):
             if seen[b[k : k + n]] > 1:
                 gone[k : k + n] = True
-        runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
-        want.append((i, len(b), runs, bytes(np.frombuffer(b, np.uint8)[~gone])))
-    got = [(r["doc_id"], r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in suffix_dedup.repeats(docs).collect()]
-    same(got, want)
+        out.append((i, len(b), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), bytes(np.frombuffer(b, np.uint8)[~gone])))
+    return out
+
+
+def shared_words(t):
+    """Words under runs of WORDS words that a row of another id or text has."""
+    n, owners, split = suffix_dedup.WORDS, {}, [(i, b, b.split()) for i, b in t]
+    for i, b, w in split:
+        for k in range(len(w) - n + 1):
+            owners.setdefault(tuple(w[k : k + n]), set()).add((i, b))
+    out = []
+    for i, _, w in split:
+        hit = set()
+        for k in range(len(w) - n + 1):
+            if len(owners[tuple(w[k : k + n])]) > 1:
+                hit |= set(range(k, k + n))
+        out.append((i, len(hit)))
+    return out
+
+
+def check_suffixes(spark, rows, limits=suffix_dedup.Limits()):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    t = [(i, (x or "").encode()) for i, x in rows]
+    got = suffix_dedup.repeats(df, limits=limits).collect()
+    same([(r["doc_id"], r["n_bytes"], len(r["spans"]), bytes(r["kept"])) for r in got], gone_bytes(t))
+    same([(r["doc_id"], sum(s["to"] - s["from"] for s in r["passages"])) for r in got], shared_words(t))
+
+
+def test_suffix_dedup_equals_brute_force(spark, empty):
+    check_suffixes(spark, texts())
     assert suffix_dedup.repeats(empty).count() == 0
 
 
+def edited_copies():
+    """Near copies with edits of their own, copies of some, a line with ever other words around it, and repeats within a text."""
+    r, base, line = random.Random(9), words(21, 400, 900).split(), words(22, 45, 900)
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randrange(1, 9)):
+            w[r.randrange(len(w))] = f"edit{r.randrange(40)}"
+        rows.append((i, " ".join(w[: r.choice([400, 400, 250])])))
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 40, 3)] + [(5, rows[5][1])]
+    rows += [(2000 + i, f"{words(100 + i, 12, 10**6)} {line} {words(300 + i, 12, 10**6)}") for i in range(120)]
+    rows += [(3000, f"{line} {words(31, 30)} {line} {words(31, 30)}"), (3001, "ab " * 200), (3002, "ab " * 90 + "c"), (3003, " ".join(words(40, 55))), (3004, "x  " + words(41, 70) + "\n\t y"), (3005, words(41, 70))]
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{}, {"sorted": 40}, {"sorted": 5, "held": 500}, {"sorted": 40, "heavy": 8, "heavy_all": 20}, {"sorted": 4, "heavy": 8, "heavy_all": 20, "range": 64}], ids=["sorted", "split", "split twice", "heavy", "heavy twice"])
+def test_anchors_of_many_contexts_are_split(spark, limits):
+    check_suffixes(spark, edited_copies(), suffix_dedup.Limits(**limits))
+
+
 def test_suffix_sort_orders_and_verifies():
-    r = random.Random(3)
-    shared = bytes(r.randrange(97, 99) for _ in range(suffix_dedup.K))
-    tail = lambda: bytes(r.randrange(97, 99) for _ in range(r.randrange(0, suffix_dedup.REACH)))
-    left = [tail()[:6] for _ in range(60)]
-    texts_ = [x + shared + tail()[:9] for x in left]
-    group = np.sort(np.array([i % 3 for i in range(60)]))
-    c = suffix_dedup._Contexts(texts_, np.array(list(map(len, left))), suffix_dedup._BASES[0])
-    for right in (True, False):
-        order = c.sort(group, right)
-        side = [x[len(l) + suffix_dedup.K :] if right else l[::-1] for x, l in zip(texts_, left, strict=True)]
-        for g in range(3):
-            at = np.flatnonzero(group == g)
-            assert [side[i] for i in order[at]] == sorted(side[i] for i in at)
-        assert c.neighbours(group, order, right) is not None
+    for unit in suffix_dedup.UNITS:
+        r = random.Random(3)
+        width = 1 if unit is suffix_dedup.BYTES else 8
+        symbols = lambda n: b"".join(r.randrange(97, 99).to_bytes(width, "little") for _ in range(n))  # noqa: B023, E731
+        shared = symbols(unit.k)
+        left = [symbols(r.randrange(0, 7)) for _ in range(60)]
+        texts_ = [x + shared + symbols(r.randrange(0, 10)) for x in left]
+        group = np.sort(np.array([i % 3 for i in range(60)]))
+        c = suffix_dedup._Contexts(texts_, np.array(list(map(len, left))) // width, suffix_dedup._BASES[0], unit)
+        cells = lambda x: [x[i : i + width] for i in range(0, len(x), width)]  # noqa: B023, E731
+        for right in (True, False):
+            order = c.sort(group, right)
+            side = [cells(x[len(l) + unit.k * width :]) if right else cells(l)[::-1] for x, l in zip(texts_, left, strict=True)]
+            for g in range(3):
+                at = np.flatnonzero(group == g)
+                assert [side[i] for i in order[at]] == sorted(side[i] for i in at)
+            assert c.neighbours(group, order, right) is not None
 
 
 def test_token_files_round_trip(spark, docs, empty, tmp_path):
