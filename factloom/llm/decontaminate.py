@@ -1,14 +1,15 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is a table of segments; one row holds a slice of the documents with, for each term, the sorted positions of
-its postings (a position counts words through the segment, with a gap between documents that no phrase can bridge).
-Segments are written once to the shared folder, by the tasks that read the documents, without a shuffle. Which terms
-are rare is known from the sums over all segments. A search takes each phrase's postings from its rarest term on and
-intersects them with those of the next rarest, offsets adjusted; what is left are exact matches. With a slop, a term
-may stand up to that many words off its place (proximity matches).
+The index is a table of segments; one row holds a slice of the documents with, for each of its terms, the sorted positions of
+its postings (a position counts words through the segment, with a gap between documents that no phrase can bridge), as
+differences. All words of all documents are in it, as 64-bit hashes, so that it serves any benchmark. Segments are written
+once to the shared folder, by the tasks that read the documents, without a shuffle.
 
-The phrases travel to the segments in blocks of at most ``BLOCK`` words, one pass a block, so a benchmark of any size
-works. The index keeps the postings of terms that occur in the phrases; other words only count as places.
+Phrases are a table too: the distinct windows of the items. Which of their terms are rare is known from the sums over all
+segments. A search takes each phrase's postings from its rarest term on and intersects them with those of the next rarest,
+offsets adjusted; what is left are exact matches. With a slop, a term may stand up to that many words off its place
+(proximity matches). Up to ``BLOCK`` words of phrases are sent to all segments, which take those whose rarest term they have;
+beyond that, phrases meet the segments that have their rarest term in a join.
 
 Edge cases: a null text has no words and no hits; an item with a null or empty text has no window. An item without an id
 counts for hits and contamination, and is left out of the items found and their number. Repeated documents each keep
@@ -19,10 +20,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +33,12 @@ from factloom.storage import Scratch, table
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
-#: Words of phrases that one pass broadcasts; 8 bytes a word.
-BLOCK = 1_000_000
+#: Words of phrases that are broadcast and pass through the driver, some 50 bytes each.
+BLOCK = 500_000
 #: Words of documents in a segment, about; a longer document is a segment of its own.
 SEGMENT = 1_000_000
+#: Words whose hash a Python worker remembers.
+CACHE = 1_000_000
 
 
 def words(text: str | None) -> list[bytes]:
@@ -42,165 +46,227 @@ def words(text: str | None) -> list[bytes]:
     return WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
 
 
-class Phrases:
-    """Distinct windows of the items as arrays of term numbers."""
+class _Terms(dict):
+    """Words -> places in ``hashes``."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        self.terms: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], dict[str | None, None]] = {}
-        for name, text in items:
-            t = [self.terms.setdefault(w, len(self.terms)) for w in words(text)]
-            for i in range(max(1, len(t) - window + 1) if t else 0):
-                windows.setdefault(tuple(t[i : i + window]), {})[name] = None
-        self.windows = list(windows)
-        self.items = [list(x) for x in windows.values()]
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes: list[int] = []
 
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        return n
 
-def build_index(docs: DataFrame, terms: dict[bytes, int], scratch: Scratch, gap: int, *, text: str = "text", doc_id: str = "doc_id", segment: int = SEGMENT) -> DataFrame:
-    """Segments: (segment, doc_ids, n_words, starts, terms, counts, postings); the last five are arrays, postings as int32 bytes by term."""
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Each text's words as hashes."""
+        if len(self) > CACHE:
+            self.clear(), self.hashes.clear()
+        codes = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in map(words, texts)]
+        hashes = np.array(self.hashes, np.uint64).view(np.int64)
+        return [hashes[c] for c in codes]
+
+
+def build_index(docs: DataFrame, scratch: Scratch, gap: int = WINDOW + 1, *, text: str = "text", doc_id: str = "doc_id", segment: int = SEGMENT) -> DataFrame:
+    """Segments: (segment, doc_ids, n_words, starts, terms, counts, postings); all but the first are arrays, postings int32 bytes.
+
+    ``gap``: at least the words of the longest phrase and the slop to be searched for, and one.
+    """
     kind = docs.schema[doc_id].dataType
-    known = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, part, made = known.value.get, TaskContext.get().partitionId(), 0
+        known, part, made, held_words = _Terms(), TaskContext.get().partitionId(), 0, 0
         ids: list[pa.Scalar] = []
         sizes: list[int] = []
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal made
+            nonlocal made, held_words
             n = np.array(sizes, np.int64)
             starts = np.concatenate(([0], np.cumsum(n + gap)[:-1]))
             at = np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             term = np.concatenate(held)
-            hit = np.flatnonzero(term >= 0)
-            hit = hit[np.argsort(term[hit], kind="stable")]
-            found, counts = np.unique(term[hit], return_counts=True)
+            order = np.argsort(term, kind="stable")
+            term, at = term[order], at[order]
+            first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, np.int64)
+            step = np.diff(at, prepend=0)
+            step[first] = at[first]
             list_of = lambda x, t: pa.array([x], pa.list_(t))
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | made]), pa.array([ids], pa.list_(id_type)), list_of(n, pa.int64()), list_of(starts, pa.int64()), list_of(found, pa.int32()), list_of(counts, pa.int64()), pa.array([at[hit].astype("<i4").tobytes()], pa.binary())],
+                [pa.array([part << 32 | made]), pa.array([ids], pa.list_(id_type)), list_of(n, pa.int64()), list_of(starts, pa.int64()), list_of(term[first], pa.int64()), list_of(np.diff(np.append(first, len(term))), pa.int64()), pa.array([step.astype("<i4").tobytes()], pa.binary())],
                 ["segment", "doc_ids", "n_words", "starts", "terms", "counts", "postings"],
             )
-            made += 1
+            made, held_words = made + 1, 0
             ids.clear(), sizes.clear(), held.clear()
             return out
 
-        for b in batches:
+        for b in (batch.slice(k, 500) for batch in batches for k in range(0, len(batch), 500)):
             id_type = b.column(0).type
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = words(t)
-                ids.append(i), sizes.append(len(w)), held.append(np.fromiter(map(get, w, _minus()), np.int32, len(w)))
-                if sum(sizes) >= segment or len(sizes) >= 50_000:
+            for i, t in zip(b.column(0).to_pylist(), known(b.column(1).to_pylist()), strict=True):
+                ids.append(i), sizes.append(len(t)), held.append(t)
+                held_words += len(t)
+                if held_words >= segment or len(sizes) >= 50_000:
                     yield flush()
         if ids:
             yield flush()
 
-    schema = f"segment long, doc_ids array<{kind.simpleString()}>, n_words array<long>, starts array<long>, terms array<int>, counts array<long>, postings binary"
+    schema = f"segment long, doc_ids array<{kind.simpleString()}>, n_words array<long>, starts array<long>, terms array<long>, counts array<long>, postings binary"
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
     return scratch.save(rows, "index")
 
 
-def _minus() -> Iterator[int]:
-    while True:
-        yield -1
-
-
-def _intersect(plan: list[tuple[int, int]], lists: dict[int, np.ndarray], slop: int) -> np.ndarray:
-    """Places of a phrase. plan: (term, offset), the rarest term first."""
-    if any(t not in lists for t, _ in plan):
-        return np.empty(0, np.int64)
-    term, offset = plan[0]
-    at = lists[term] - offset
-    for term, offset in plan[1:]:
-        if not len(at):
-            break
-        have = lists[term]
-        if slop:
-            k = np.searchsorted(have, at + offset - slop)
-            at = at[(k < len(have)) & (have[np.minimum(k, len(have) - 1)] <= at + offset + slop)]
-        else:
-            k = np.searchsorted(have, at + offset)
-            k[k == len(have)] = 0
-            at = at[have[k] == at + offset]
-    return at
-
-
-def find(index: DataFrame, phrases: Phrases, *, slop: int = 0, block: int = BLOCK) -> DataFrame:
+def phrases(items: DataFrame, window: int = WINDOW, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(terms, names): the distinct windows of the items as hashes, and the items that have them; a name may be null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Terms()
+        for b in batches:
+            names, found = [], []
+            for name, t in zip(b.column(0).to_pylist(), known(b.column(1).to_pylist()), strict=True):
+                for i in range(max(1, len(t) - window + 1) if len(t) else 0):
+                    names.append(name), found.append(t[i : i + window])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["name", "terms"])
+
+    each = items.select(F.col(item_id).cast("string"), F.col(text)).mapInArrow(run, "name string, terms array<long>")
+    nameless = F.when(F.max(F.col("name").isNull()), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    return each.groupBy("terms").agg(F.concat(F.collect_set("name"), nameless).alias("names"))
+
+
+class _Segment(NamedTuple):
+    number: int
+    starts: np.ndarray
+    n_words: np.ndarray
+    terms: np.ndarray
+    ends: np.ndarray
+    postings: np.ndarray
+
+    @classmethod
+    def of(cls, row: pa.RecordBatch) -> _Segment:
+        flat = {c: row.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("starts", "n_words", "terms", "counts")}
+        return cls(row.column("segment")[0].as_py(), flat["starts"], flat["n_words"], flat["terms"], np.cumsum(flat["counts"]), np.frombuffer(row.column("postings")[0].as_py(), "<i4"))
+
+    def places(self, term: int) -> np.ndarray:
+        k = int(np.searchsorted(self.terms, term))
+        if k == len(self.terms) or self.terms[k] != term:
+            return np.empty(0, np.int64)
+        return np.cumsum(self.postings[self.ends[k - 1] if k else 0 : self.ends[k]], dtype=np.int64)
+
+    def has(self, terms: np.ndarray) -> np.ndarray:
+        if not len(self.terms):
+            return np.zeros(len(terms), bool)
+        return self.terms[np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)] == terms
+
+    def search(self, plan: list[tuple[int, int]], slop: int, known: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document number, from, to) of a phrase's places. plan: (term, offset), the rarest term first; ``known`` keeps the lists decoded."""
+        lists = []
+        for term, offset in plan:
+            if (have := known.get(term)) is None:
+                have = known[term] = self.places(term)
+            if not len(have):
+                return (np.empty(0, np.int64),) * 3
+            lists.append((have, offset))
+        at = lists[0][0] - lists[0][1]
+        for have, offset in lists[1:]:
+            k = np.minimum(np.searchsorted(have, at + offset - slop), len(have) - 1)
+            at = at[np.abs(have[k] - at - offset) <= slop]
+            if not len(at):
+                break
+        at = np.unique(at)
+        d = np.maximum(np.searchsorted(self.starts, at, side="right") - 1, 0)
+        return d, np.maximum(at - self.starts[d], 0), np.minimum(at - self.starts[d] + len(plan), self.n_words[d])
+
+
+_SPAN = "struct<item:string,`from`:int,`to`:int>"
+
+
+def find(index: DataFrame, windows: DataFrame, *, slop: int = 0, block: int = BLOCK) -> DataFrame:
     """Every document of the index as (segment, doc_no, doc_id, n_words, spans); a span is (item, from, to) in words of the document, to excluded.
 
     A span of a proximity match reaches over the phrase's own length from where its rarest term places it.
     """
     spark = index.sparkSession
-    df = dict(index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts")).collect())  # one row a term of the phrases
-    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    schema = f"segment long, doc_no int, doc_id {kind}, n_words long, spans array<struct<item:string,`from`:int,`to`:int>>"
-    blocks: list[list[tuple[list[tuple[int, int]], int, list[str | None]]]] = [[]]
-    held = 0
-    for w, names in zip(phrases.windows, phrases.items, strict=True):
-        if any(t not in df for t in w):
-            continue
-        if held > block:
-            blocks.append([])
-            held = 0
-        held += len(w) + len(names)
-        blocks[-1].append((sorted(((t, i) for i, t in enumerate(w)), key=lambda x: (df[x[0]], x[1])), len(w), names))
-
-    def one(plans: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(plans)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for row in range(len(b)):
-                    yield _search(b.slice(row, 1), sent.value, slop)
-
-        return index.mapInArrow(run, schema)
-
-    found = one(blocks[0])
-    for plans in blocks[1:]:
-        found = found.unionByName(one(plans))
-    if len(blocks) > 1:
-        found = found.groupBy("segment", "doc_no").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return found
-
-
-def _search(row: pa.RecordBatch, plans: list, slop: int) -> pa.RecordBatch:
-    ids = row.column("doc_ids").flatten()
-    flat = {c: row.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("n_words", "starts", "terms", "counts")}
-    places = np.frombuffer(row.column("postings")[0].as_py(), "<i4").astype(np.int64)
-    lists = dict(zip(flat["terms"].tolist(), np.split(places, np.cumsum(flat["counts"])[:-1]), strict=True)) if len(flat["terms"]) else {}
-    doc, begin, end, item = [], [], [], []
-    for plan, n, names in plans:
-        at = _intersect(plan, lists, slop)
-        if not len(at):
-            continue
-        at = np.unique(at)
-        d = np.searchsorted(flat["starts"], at, side="right") - 1
-        d = np.maximum(d, 0)
-        lo = np.maximum(at - flat["starts"][d], 0)
-        hi = np.minimum(at - flat["starts"][d] + n, flat["n_words"][d])
-        for name in names:
-            doc.append(d), begin.append(lo), end.append(hi), item.append([name] * len(at))
-    n = len(ids)
-    if doc:
-        d = np.concatenate(doc)
-        order = np.argsort(d, kind="stable")
-        offsets = np.searchsorted(d[order], np.arange(n + 1))
-        values = [pa.array(list(chain.from_iterable(item)), pa.string()).take(pa.array(order)), pa.array(np.concatenate(begin)[order].astype(np.int32)), pa.array(np.concatenate(end)[order].astype(np.int32))]
-    else:
-        offsets, values = np.zeros(n + 1, np.int64), [pa.array([], pa.string()), pa.array([], pa.int32()), pa.array([], pa.int32())]
-    spans = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays(values, ["item", "from", "to"]))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, row.column("segment")[0].as_py())), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(flat["n_words"]), spans], ["segment", "doc_no", "doc_id", "n_words", "spans"])
+    scratch = Scratch(spark, "phrases")
+    windows = scratch.save(windows, "windows")
+    each = windows.select("terms", "names", F.posexplode("terms").alias("at", "term"))
+    wanted = each.select("term").distinct()
+    counts = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.counts").alias("n"))
+    counts = counts.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    plan = F.array_sort(F.collect_list(F.struct("n", "at", "term"))).alias("plan")
+    plans = each.join(counts, "term").groupBy("terms").agg(plan, F.first("names").alias("names")).where(F.size("plan") == F.size("terms"))
+    plans = scratch.save(plans.select(F.transform("plan", lambda x: F.struct(x["term"].alias("term"), x["at"].alias("at"))).alias("plan"), "names"), "plans")
+    held = plans.agg(F.sum(F.size("plan") + F.size("names"))).first()[0] or 0  # one number
+    docs = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("doc_no", "x")).select("segment", "doc_no", F.col("x.doc_ids").alias("doc_id"), F.col("x.n_words").alias("n_words"))
+    hits = _sent(index, plans, slop) if held <= block else _met(index, plans, slop)
+    hits = scratch.save(hits, "hits").groupBy("segment", "doc_no").agg(F.collect_list(F.struct("item", "from", "to")).alias("spans"))
+    none = F.array().cast(f"array<{_SPAN}>")
+    return docs.join(hits, ["segment", "doc_no"], "left").withColumn("spans", F.coalesce("spans", none))
+
+
+_HIT = "segment long, doc_no int, item string, `from` int, `to` int"
+
+
+def _hits(segment: _Segment, plans: Iterator[tuple[list[tuple[int, int]], list[str | None]]], slop: int) -> pa.RecordBatch:
+    known: dict[int, np.ndarray] = {}
+    doc, begin, end, item = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+    for plan, names in plans:
+        d, lo, hi = segment.search(plan, slop, known)
+        for name in names if len(d) else ():
+            doc.append(d), begin.append(lo), end.append(hi)
+            item += [name] * len(d)
+    d, lo, hi = (np.concatenate(x).astype(np.int32) for x in (doc, begin, end))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(d), segment.number, np.int64)), pa.array(d), pa.array(item, pa.string()), pa.array(lo), pa.array(hi)], ["segment", "doc_no", "item", "from", "to"])
+
+
+def _pairs(plan: list[dict]) -> list[tuple[int, int]]:
+    return [(x["term"], x["at"]) for x in plan]
+
+
+def _sent(index: DataFrame, plans: DataFrame, slop: int) -> DataFrame:
+    """Hits of a few phrases, which all tasks are sent."""
+    listed = [([(x["term"], x["at"]) for x in r["plan"]], r["names"]) for r in plans.collect()]  # at most a block of words
+    sent = index.sparkSession.sparkContext.broadcast(listed)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = sent.value
+        rarest = np.array([plan[0][0] for plan, _ in listed], np.int64)
+        for b in batches:
+            for row in range(len(b)):
+                segment = _Segment.of(b.slice(row, 1))
+                yield _hits(segment, (listed[k] for k in np.flatnonzero(segment.has(rarest)).tolist()), slop)
 
-def search(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """Index ``docs`` and find the windows of all ``items``; see ``find`` for the result.
+    return index.select("segment", "n_words", "starts", "terms", "counts", "postings").mapInArrow(run, _HIT)
 
-    The items are held by the driver, as one side of any such search has to be small enough to be a query.
-    """
-    listed = [(r[0], r[1]) for r in items.select(F.col(item_id).cast("string"), F.col(item_text)).toLocalIterator()]
-    phrases = Phrases(listed, window)
-    index = build_index(docs, phrases.terms, Scratch(docs.sparkSession, "postings"), window + slop + 1, text=text, doc_id=doc_id)
-    return find(index, phrases, slop=slop)
+
+def _met(index: DataFrame, plans: DataFrame, slop: int) -> DataFrame:
+    """Hits of many phrases: segments meet the phrases whose rarest term they have."""
+    holders = index.select("segment", F.explode("terms").alias("rarest"))
+    asked = plans.withColumn("rarest", F.col("plan")[0]["term"]).join(holders, "rarest").select("segment", F.lit(1).alias("kind"), "plan", "names")
+    held = index.select("segment", F.lit(0).alias("kind"), "n_words", "starts", "terms", "counts", "postings")
+    both = held.unionByName(asked, allowMissingColumns=True).repartition("segment").sortWithinPartitions("segment", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = None
+        for b in batches:
+            kind = b.column("kind").to_numpy()
+            edges = [*np.flatnonzero(kind == 0).tolist(), len(b)]
+            if segment is not None and edges[0]:
+                yield _hits(segment, _listed(b.slice(0, edges[0])), slop)
+            for x, y in zip(edges, edges[1:], strict=False):
+                segment = _Segment.of(b.slice(x, 1))
+                if y > x + 1:
+                    yield _hits(segment, _listed(b.slice(x + 1, y - x - 1)), slop)
+
+    return both.mapInArrow(run, _HIT)
+
+
+def _listed(b: pa.RecordBatch) -> Iterator[tuple[list[tuple[int, int]], list[str | None]]]:
+    return zip(map(_pairs, b.column("plan").to_pylist()), b.column("names").to_pylist(), strict=True)
+
+
+def search(docs: DataFrame, items: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
+    """Index ``docs`` and find the windows of all ``items``; see ``find`` for the result."""
+    index = build_index(docs, Scratch(docs.sparkSession, "postings"), window + slop + 1, text=text, doc_id=doc_id)
+    return find(index, phrases(items, window, item_id=item_id, text=item_text), slop=slop)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -53,14 +53,14 @@ def bench(spark):
     return spark.createDataFrame([(1, " ".join(base[10:40])), (2, " ".join(base[50:54])), (3, None), (4, ""), (5, "TIE tie"), (6, "never seen words here at all in any of the given documents")], "item_id long, text string")
 
 
-def test_decontamination_equals_brute_force(spark, docs, empty):
-    items = [tuple(r) for r in bench(spark).collect()]
+def contaminated(items):
+    """(id, words, words hit, items found) of texts(); null names count for hits only."""
     token = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
     windows = {}
     for i, t in items:
         w = token(t)
         for k in range(max(1, len(w) - 9) if w else 0):
-            windows.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+            windows.setdefault(tuple(w[k : k + 10]), set()).add(i)
     want = []
     for i, t in texts():
         w, hit, names = token(t), set(), set()
@@ -69,13 +69,19 @@ def test_decontamination_equals_brute_force(spark, docs, empty):
                 if tuple(w[k : k + len(g)]) == g:
                     hit |= set(range(k, k + len(g)))
                     names |= ids
-        want.append((i, len(w), len(hit), sorted(names)))
-    for block in (decontaminate.BLOCK, 15):  # one pass, and several
-        listed = [(str(i), t) for i, t in items]
-        p = decontaminate.Phrases(listed, 10)
-        index = decontaminate.build_index(docs, p.terms, decontaminate.Scratch(spark, "t"), 11, segment=100)
-        got = decontaminate.digest(decontaminate.find(index, p, block=block)).select("doc_id", "n_words", "n_hit", "items")
-        same(got.collect(), want)
+        want.append((i, len(w), len(hit), sorted(str(x) for x in names if x is not None)))
+    return want
+
+
+def test_decontamination_equals_brute_force(spark, docs, empty):
+    index = decontaminate.build_index(docs, decontaminate.Scratch(spark, "t"), segment=100)
+    more = spark.createDataFrame([(9, "漢字 \xa0X"), (None, words(3, 40)), (None, "tie tie tie"), (12, "Tie tie tie"), (9, words(2, 60, 5000))], "item_id long, text string")
+    for items in (bench(spark), more):  # two benchmarks over one index
+        want = contaminated([tuple(r) for r in items.collect()])
+        assert sum(r[2] > 0 for r in want) > 3
+        for block in (decontaminate.BLOCK, 15):  # phrases sent to all segments, and met by them
+            got = decontaminate.digest(decontaminate.find(index, decontaminate.phrases(items), block=block)).select("doc_id", "n_words", "n_hit", "items")
+            same(got.collect(), want)
     assert decontaminate.digest(decontaminate.search(empty, bench(spark))).count() == 0
     assert decontaminate.digest(decontaminate.search(docs, bench(spark).limit(0))).where("contaminated").count() == 0
 
