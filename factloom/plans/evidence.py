@@ -90,16 +90,23 @@ def affinity_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as pages: a paragraph, and a list with a link and an inner list with an icon and a line break for every line."""
+    """Orders as pages: a paragraph, a list with a link and an inner list with an icon and a line break for every line, and a table of the lines."""
     part = F.concat(F.lit("<li>L"), "l_linenumber", F.lit(' <a href="/p'), "l_partkey", F.lit('">'), _flag(), F.lit('</a><ol><li><img src=x alt="'), "l_linestatus", F.lit('"><br></li></ol></li>'))
-    return _joined(_lines(spark, sf_dir), "l_orderkey", "n", part, "<script>var a = '<p>';</script><p>All  <b>lines</b></p><ul>", "</ul>")
+    row = F.concat(F.lit("<tr><th>"), "l_linenumber", F.lit("</th><td>q"), _q(), F.lit("</td></tr>"))
+    lines = _lines(spark, sf_dir)
+    lists = _joined(lines, "l_orderkey", "n", part, "<script>var a = '<p>';</script><p>All  <b>lines</b></p><ul>", "</ul><table>")
+    return lists.join(_joined(lines, "l_orderkey", "n", row, "", "</table>").withColumnRenamed("html", "rows"), "page_id").select("page_id", F.concat("html", "rows").alias("html"))
 
 
-@R.add(f"""WITH {_LINES}, t AS (SELECT DISTINCT l_orderkey AS unit_id, 1 AS block_ord, 1 AS tok_ord, 'text' AS kind, 0 AS depth, 'All' AS text, NULL AS href FROM li UNION ALL SELECT DISTINCT l_orderkey, 1, 2, 'text', 0, 'lines', NULL FROM li UNION ALL SELECT l_orderkey, 2 * n, 1, 'text', 1, 'L' || l_linenumber, NULL FROM li
-    UNION ALL SELECT l_orderkey, 2 * n, 2, 'reference', 1, l_returnflag, '/p' || l_partkey FROM li UNION ALL SELECT l_orderkey, 2 * n + 1, 1, 'icon', 2, l_linestatus, NULL FROM li UNION ALL SELECT l_orderkey, 2 * n + 1, 2, 'line_break', 2, '', NULL FROM li) SELECT * FROM t""")
+@R.add(f"""WITH {_LINES}, m AS (SELECT *, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INTEGER) AS k FROM li),
+  t AS (SELECT DISTINCT l_orderkey AS unit_id, 1 AS block_ord, 1 AS tok_ord, 'text' AS kind, 0 AS depth, 'All' AS text, NULL AS href, 'p' AS block_tag, NULL AS parent_block, NULL AS row, NULL AS col FROM li UNION ALL SELECT DISTINCT l_orderkey, 1, 2, 'text', 0, 'lines', NULL, 'p', NULL, NULL, NULL FROM li
+    UNION ALL SELECT l_orderkey, 2 * n, 1, 'text', 1, 'L' || l_linenumber, NULL, 'li', NULL, NULL, NULL FROM li UNION ALL SELECT l_orderkey, 2 * n, 2, 'reference', 1, l_returnflag, '/p' || l_partkey, 'li', NULL, NULL, NULL FROM li
+    UNION ALL SELECT l_orderkey, 2 * n + 1, 1, 'icon', 2, l_linestatus, NULL, 'li', 2 * n, NULL, NULL FROM li UNION ALL SELECT l_orderkey, 2 * n + 1, 2, 'line_break', 2, '', NULL, 'li', 2 * n, NULL, NULL FROM li
+    UNION ALL SELECT l_orderkey, 2 * k + 2 * n, 1, 'text', 0, CAST(l_linenumber AS VARCHAR), NULL, 'th', NULL, n, 1 FROM m UNION ALL SELECT l_orderkey, 2 * k + 2 * n + 1, 1, 'text', 0, 'q' || q, NULL, 'td', NULL, n, 2 FROM m) SELECT * FROM t""")
 def structural_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = pages.structural_blocks(_nested(spark, sf_dir))
-    return t.select("unit_id", F.col("block_ord").cast("int").alias("block_ord"), "tok_ord", "kind", F.col("depth").cast("int").alias("depth"), "text", "href")
+    number = lambda c: F.col(c).cast("int").alias(c)
+    return t.select("unit_id", number("block_ord"), "tok_ord", "kind", number("depth"), "text", "href", "block_tag", number("parent_block"), number("row"), number("col"))
 
 
 @R.add(f"""WITH {_LINES} SELECT l_orderkey AS page_id, n AS row_no, 'active' AS record_type, 'N' || l_partkey || CASE WHEN q > 40 THEN ' (Stellar Awakened)' ELSE '' END AS name, q AS mp, NULL AS level, q > 40 AS gated FROM li

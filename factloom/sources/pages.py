@@ -115,23 +115,36 @@ def affinity_observations(titles: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def structural_blocks(pages: DataFrame) -> DataFrame:
-    """Tokens (unit_id, block_ord, tok_ord, kind, depth, text, href) of list items, paragraphs, headings and cells.
+    """Tokens (unit_id, block_ord, tok_ord, kind, depth, text, href, block_tag, parent_block, row, col) of list items, paragraphs, headings and cells.
 
-    A page is a unit; kinds are text, reference (an anchor), icon (an image's alt) and line_break; depth is the number of open lists.
+    A page is a unit; kinds are text, reference (an anchor), icon (an image's alt) and line_break; depth is the number of open
+    lists. ``parent_block`` is the list item around the block, so that ancestors follow from parents; row and col are a table cell's
+    place in the page's rows, from 1, and null elsewhere.
     """
     tokens = F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*>.*?</a>|<img\b[^>]*>|<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>|[^<]+"), 0))
     t = pages.select(F.col("page_id").alias("unit_id"), tokens.alias("pos", "raw"))
     low = F.lower("raw")
-    opens, shut = low.rlike(r"^<(ul|ol)[\s>]"), low.rlike(r"^</(ul|ol)\s*>")
-    block = low.rlike(rf"^<(?:{'|'.join(BLOCK_TAGS)})[\s>]")
+    starts = lambda *tags: low.rlike(rf"^<(?:{'|'.join(tags)})[\s>]")
+    opens, shut = starts("ul", "ol"), low.rlike(r"^</(ul|ol)\s*>")
+    block = starts(*BLOCK_TAGS)
     kind = F.when(low.rlike(r"^<a\b"), "reference").when(low.rlike(r"^<img\b"), "icon").when(low.rlike(r"^<br\b"), "line_break").when(~low.startswith("<"), "text")
     w = W.partitionBy("unit_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    t = t.withColumns({"depth": F.sum(F.when(opens, 1).when(shut, -1).otherwise(0)).over(w), "block_ord": F.sum(block.cast("int")).over(w), "kind": kind})
+    count = lambda c: F.sum(c.cast("int")).over(w)
+    t = t.withColumns({"depth": F.sum(F.when(opens, 1).when(shut, -1).otherwise(0)).over(w), "block_ord": count(block), "kind": kind, "_rows": count(starts("tr")), "_cells": count(starts("td", "th"))})
+    t = t.withColumns({"block_tag": F.last(F.when(block, F.regexp_extract(low, r"^<([a-z0-9]+)", 1)), True).over(w), "_before": F.coalesce(F.last(F.when(starts("tr"), F.col("_cells")), True).over(w), F.lit(0))})
+    # List items and the tokens that stand in them meet by the depth of the item.
+    item = starts("li")
+    within = F.col("depth") - F.when(F.col("block_tag") == "li", 1).otherwise(0)
+    level = lambda d, is_item: F.struct(d.alias("level"), F.lit(is_item).alias("item"))
+    t = t.select("*", F.explode(F.array_compact(F.array(F.when(item, level(F.col("depth"), True)), F.when(F.col("kind").isNotNull(), level(within, False))))).alias("x"))
+    at_level = W.partitionBy("unit_id", "x.level").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    t = t.withColumn("parent_block", F.when(F.col("x.level") > 0, F.last(F.when(F.col("x.item"), F.col("block_ord")), True).over(at_level))).where("NOT x.item")
     text = F.when(F.col("kind") == "icon", F.regexp_extract("raw", r"(?i)alt\s*=\s*[\"']([^\"']*)", 1)).when(F.col("kind") == "line_break", "").otherwise(plain("raw"))
-    t = t.withColumn("text", text).where("kind IS NOT NULL AND block_ord > 0 AND (text != '' OR kind = 'line_break')")
+    t = t.withColumn("text", text).where("block_ord > 0 AND (text != '' OR kind = 'line_break')")
     href = F.nullif(F.regexp_extract("raw", r"(?i)^<a\b[^>]*href\s*=\s*[\"']([^\"']*)", 1), F.lit(""))
-    at = F.row_number().over(W.partitionBy("unit_id", "block_ord").orderBy("pos"))
-    return t.select("unit_id", "block_ord", at.alias("tok_ord"), "kind", F.greatest(F.lit(0), "depth").alias("depth"), "text", href.alias("href"))
+    tok = F.row_number().over(W.partitionBy("unit_id", "block_ord").orderBy("pos"))
+    cell = lambda c: F.when(F.col("block_tag").isin("td", "th"), c)
+    return t.select("unit_id", "block_ord", tok.alias("tok_ord"), "kind", F.greatest(F.lit(0), "depth").alias("depth"), "text", href.alias("href"), "block_tag", "parent_block", cell(F.col("_rows")).alias("row"), cell(F.col("_cells") - F.col("_before")).alias("col"))
 
 
 def skill_rows(pages: DataFrame, specs: Mapping[str, Sequence[Field]], row: str = "tr") -> DataFrame:
