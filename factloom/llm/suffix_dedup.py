@@ -15,14 +15,14 @@ words that another document has too are found in the same way, with words for by
    search over prefix polynomial hashes, and neighbours' extensions are then verified on the symbols (another multiplier,
    should they ever differ). The strings of two contexts are equal where both extensions are long enough, which the
    sorted orders and neighbours' extensions tell for each offset without comparing pairs.
-4. An anchor with more than ``Limits.sorted`` different contexts, or with so many that it shows within a task, is split: a
+4. An anchor with more than ``Limits.largest`` different contexts, or with 1 / ``HEAVY_KEYS`` of all, is split: a
    string's offset to the anchor falls into one of a few ranges, and contexts with equal strings at offsets of a range
    have what all of its strings contain in common. So a context goes, cut to the range, to one key a range, where equal
-   ones combine again; what is still too large is split into single offsets, where equal strings are equal contexts.
+   ones combine again; what is still too large is split again, down to single offsets, where equal strings are equal contexts.
 5. Spans meet their documents again, are merged, and the other bytes kept.
 
 Equal contexts are known by 127 bits of hash (anchor and context); extensions of different ones are compared on the symbols.
-Memory: a task holds ``Limits.sorted`` contexts and one anchor's at most as many again. Texts are shuffled compressed.
+Memory: a task holds ``Limits.sorted`` contexts, or ``Limits.largest`` of one anchor. Texts are shuffled compressed.
 
 Edge cases: a null text is empty, shorter texts lose nothing. Rows equal in id and text count as copies of each other for
 bytes, and as one document for passages. Removed bytes may split a character; kept bytes are bytes. Other columns are dropped.
@@ -43,18 +43,19 @@ from factloom.storage import Scratch, table
 
 LENGTH = 400
 WORDS = 51
-CHUNK = 1 << 21  # bytes of documents hashed at a time
-HEAVY_KEYS = 100_000  # heavy anchors have at least this share of all contexts, so that there are no more of them
+CHUNK = 1 << 20  # bytes of documents hashed at a time
+HEAVY_KEYS = 1_000  # heavy anchors have at least this share of all contexts, so that there are no more of them
 
 
 class Limits(NamedTuple):
     """How much tasks hold and when anchors are split; they change no result."""
 
-    held: int = 400_000  # anchors that a task combines at a time
-    sorted: int = 8_000  # contexts sorted at a time, and the most of one anchor that are
+    held: int = 250_000  # anchors that a task combines at a time
+    sorted: int = 6_000  # contexts sorted at a time
+    largest: int = 12_000  # and the most of one anchor that are, some 100 MB
     heavy: int = 32  # different contexts of an anchor, among those combined at a time, that make it a candidate for splitting
-    heavy_all: int = 1_000  # and the least sum of these counts over all tasks
-    range: int = 16  # offsets of a range
+    heavy_all: int = 500  # and the least sum of these counts over all tasks
+    parts: int = 4  # ranges of offsets that an anchor, and then each of its ranges, is split into
 
 
 class Unit(NamedTuple):
@@ -278,7 +279,7 @@ def _decide(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.Re
         before, carried = int(ga[-1]), int(many[-1])
         if after == ga[-1]:
             runs, many = runs[:-1], many[:-1]
-        large = begin[runs[many > limits.sorted]]
+        large = begin[runs[many > limits.largest]]
         rows = np.concatenate((spans, ship, large))
         kind = np.repeat(np.array([0, 1, 3], np.int32), [len(spans), len(ship), len(large)])
         return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(y[rows]) for y in (a, c, key, pos, lo, hi)), pa.array(np.where(new, total, 0)[rows])], _NAMES)
@@ -307,8 +308,8 @@ def _symbols(text: bytes) -> np.ndarray:
 _LOCAL = _Hasher()
 
 
-def _split(key: int, text: bytes, wanted: list[dict], width: int) -> tuple[np.ndarray, ...]:
-    """One document's contexts, cut to ranges of ``width`` offsets: (key, pos, a, c, lo, hi, n)."""
+def _split(key: int, text: bytes, wanted: list[dict], parts: int) -> tuple[np.ndarray, ...]:
+    """One document's contexts, cut to each of so many ranges of offsets: (key, pos, a, c, lo, hi, n)."""
     found = []
     for unit in UNITS:
         mine = [w for w in wanted if w["a"] & 1 == unit.number]
@@ -317,7 +318,8 @@ def _split(key: int, text: bytes, wanted: list[dict], width: int) -> tuple[np.nd
         hasher = _LOCAL
         prefix = hasher(_TABLE[np.frombuffer(text, np.uint8)] if unit is BYTES else _symbols(text))
         pos, lo, hi, n = (np.array([w[x] for w in mine], np.int64) for x in ("pos", "lo", "hi", "n"))
-        least, most = np.maximum(0, pos + unit.length - hi), np.minimum(unit.reach, pos - lo)  # offsets of strings in the document
+        least, most = np.maximum(0, pos + unit.length - hi), np.minimum(unit.reach, pos - lo)  # offsets of the context's strings
+        width = max(1, -(-(unit.reach + 1) // parts))
         for d0 in range(0, unit.reach + 1, width):
             d1 = min(d0 + width, unit.reach + 1) - 1
             x, y = np.maximum(least, d0), np.minimum(most, d1)
@@ -338,7 +340,7 @@ class _Contexts:
         joined = b"".join(texts)
         raw = np.frombuffer(joined, np.uint8 if unit is BYTES else np.uint64)
         self.n = np.fromiter(map(len, texts), np.int64, len(texts)) // raw.itemsize
-        self.buf = np.concatenate((raw.astype(np.int64) if unit is BYTES else raw.view(np.int64), np.zeros(1, np.int64)))
+        self.buf = np.concatenate((raw if unit is BYTES else raw.view(np.int64), np.zeros(1, np.uint8 if unit is BYTES else np.int64)))
         self.off = np.cumsum(self.n) - self.n
         self.left = left
         up, self.down = _powers(base, unit.length + unit.reach + 2)
@@ -365,7 +367,7 @@ class _Contexts:
     def symbol(self, i: np.ndarray, t: np.ndarray, right: bool) -> np.ndarray:
         """The symbol after t of them, the least number at the end."""
         at = self.off[i] + (self.left[i] + self.unit.k + t if right else self.left[i] - 1 - t)
-        return np.where(t < self.room(i, right), self.buf[np.clip(at, 0, len(self.buf) - 1)], np.iinfo(np.int64).min)
+        return np.where(t < self.room(i, right), self.buf[np.clip(at, 0, len(self.buf) - 1)].astype(np.int64), np.iinfo(np.int64).min)
 
     def before(self, i: np.ndarray, j: np.ndarray, right: bool, equal: np.ndarray) -> np.ndarray:
         t = self.common(i, j, right)
@@ -545,13 +547,13 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", limi
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(parts, types, strict=True)], [*names, "context"])
 
-    def split(width: int):
+    def split(parts: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             expand = zstandard.ZstdDecompressor().decompress
             held, count = [], 0
             for b in batches:
                 for key, packed, wanted in zip(*(b.column(c).to_pylist() for c in ("key", "text", "wanted")), strict=True):
-                    held.append(_split(key, expand(packed), wanted, width))
+                    held.append(_split(key, expand(packed), wanted, parts))
                     count += len(held[-1][0])
                     if count >= limits.held:
                         yield _combined(*map(np.concatenate, zip(*held, strict=True)), heavy=limits.heavy)
@@ -607,13 +609,13 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", limi
     small, large, any_large = parted(decided)
     spans = [spans_of(found), spans_of(decided), compare(small, "compared")]
     large = large.unionByName(contexts.join(F.broadcast(heavy), "a", "left_semi")) if any_heavy else large
-    for width in (limits.range, 1):
-        if not (any_large or any_heavy):
-            break
-        pieces = scratch.save(with_text(large).mapInArrow(split(width), _SCHEMA), f"pieces{width}")
-        decided = decide(pieces.where("kind = 1"), f"decided{width}")
+    parts = 1
+    while any_large or any_heavy:  # ends where ranges are single offsets
+        parts *= limits.parts
+        pieces = scratch.save(with_text(large).mapInArrow(split(parts), _SCHEMA), f"pieces{parts}")
+        decided = decide(pieces.where("kind = 1"), f"decided{parts}")
         small, large, any_large = parted(decided)
-        spans += [spans_of(pieces), spans_of(decided), compare(small, f"compared{width}")]
+        spans += [spans_of(pieces), spans_of(decided), compare(small, f"compared{parts}")]
         any_heavy = False
     every = spans[0]
     for more in spans[1:]:

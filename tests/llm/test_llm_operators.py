@@ -240,7 +240,7 @@ def edited_copies():
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"sorted": 40}, {"sorted": 5, "held": 500}, {"sorted": 40, "heavy": 8, "heavy_all": 20}, {"sorted": 4, "heavy": 8, "heavy_all": 20, "range": 64}], ids=["sorted", "split", "split twice", "heavy", "heavy twice"])
+@pytest.mark.parametrize("limits", [{}, {"sorted": 30, "largest": 40}, {"sorted": 5, "largest": 3, "held": 500}, {"heavy": 8, "heavy_all": 20}, {"largest": 4, "heavy": 8, "heavy_all": 20, "parts": 3}], ids=["sorted", "split", "split often", "heavy", "heavy and split often"])
 def test_anchors_of_many_contexts_are_split(spark, limits):
     check_suffixes(spark, edited_copies(), suffix_dedup.Limits(**limits))
 
