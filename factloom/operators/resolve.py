@@ -75,14 +75,13 @@ def mentions(texts: DataFrame, names: DataFrame, min_token: int = 4) -> DataFram
     keys = needles.where("key IS NOT NULL").withColumn("gram", F.substring("key", 1, 3))
     holders = vocabulary.join(keys, "gram").where(F.col("w").contains(F.col("key"))).select("w", "name", "needle", "key")
     inside = F.lower("text").contains(F.col("needle"))
-    pairs = tokens.join(holders, "w").select(F.col("text_id").alias("_id"), "name", "needle", "key").distinct()
-    single = pairs.where("needle = key").select(F.col("_id").alias("text_id"), "name")
-    verified = texts.join(pairs.where("needle != key"), F.col("text_id").eqNullSafe(F.col("_id"))).where(inside).select("text_id", "name")
+    single = tokens.join(holders.where("needle = key").select("w", "name").distinct(), "w").select("text_id", "name")
+    pairs = tokens.join(holders.where("needle != key").select("w", "name", "needle"), "w").select(F.col("text_id").alias("_id"), "name", "needle").distinct()
+    verified = texts.join(pairs, F.col("text_id").eqNullSafe(F.col("_id"))).where(inside).select("text_id", "name")
     marks = texts.join(needles.where("key IS NULL").select("name", "needle"), inside).select("text_id", "name")  # needles without a letter or digit, a handful
 
-    hits = single.unionByName(verified).unionByName(marks).distinct()
-    best = W.partitionBy("text_id").orderBy(F.length("name").desc(), "name")
-    return hits.withColumn("r", F.row_number().over(best)).where("r = 1").select("text_id", "name")
+    hits = single.unionByName(verified).unionByName(marks)
+    return hits.groupBy("text_id").agg(F.min(F.struct((-F.length("name")).alias("l"), "name"))["name"].alias("name"))
 
 
 def compatible_items(owners: DataFrame, items: DataFrame) -> DataFrame:
