@@ -34,9 +34,9 @@ UNKNOWN = "und"
 #: pieces of 3 to 400 of their words 0.64; random letters 0.78 at least from 10 words on, Hungarian and Finnish 0.76 to 0.78.
 FURTHEST = 0.74
 #: Words whose n-grams a Python worker remembers.
-CACHE = 400_000
+CACHE = 600_000
 #: Distinct words that a learning task holds before it passes their counts on.
-HELD = 150_000
+HELD = 400_000
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
