@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontaminate, html_extraction, language_id, license_scan, mixing, quality_rules, simhash, suffix_dedup, token_files, toxicity
+from factloom.llm import byte_bpe, decontaminate, html_extraction, language_id, license_scan, mixing, quality_rules, simhash, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": token_files.op8_token_files,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_language_id": language_id.op10_language_id,
+        "op13_byte_bpe": byte_bpe.op13_byte_bpe,
     }
 
 
