@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import byte_bpe, conversation_repair, decontaminate, html_extraction, language_id, license_scan, mixing, quality_rules, simhash, suffix_dedup, token_files, toxicity
+from factloom.llm import byte_bpe, conversation_repair, decontaminate, html_extraction, language_id, license_scan, mixing, quality_rules, ranked_search, simhash, suffix_dedup, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": token_files.op8_token_files,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_language_id": language_id.op10_language_id,
+        "op11_ranked_search": ranked_search.op11_ranked_search,
         "op12_conversation_repair": conversation_repair.op12_conversation_repair,
         "op13_byte_bpe": byte_bpe.op13_byte_bpe,
     }
@@ -31,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_decontaminate": decontaminate.oracle(),
         "op3_mixing": mixing.oracle(),
         "op9_quality_rules": quality_rules.oracle(),
+        "op11_ranked_search": ranked_search.oracle(),
         "op12_conversation_repair": conversation_repair.oracle(),
     }
