@@ -39,11 +39,11 @@ from factloom.llm import token_files
 from factloom.storage import Scratch, table
 
 #: Characters of texts in a segment, about.
-SEGMENT = 32_000_000
+SEGMENT = 12_000_000
 #: Rows by which a segment sends its distinct words.
 SHARDS = 1024
-#: Words whose ids a task remembers; more are encoded again.
-CACHE = 2_000_000
+#: Words of a shard whose ids a task remembers; more are encoded again.
+CACHE = 500_000
 #: Rows of a token-byte table that is sent to all tasks.
 VOCABULARY = 1_000_000
 #: Pre-tokens, or ids, of a text that are gathered at once.
@@ -161,11 +161,12 @@ def encode(docs: DataFrame, ranks: str, *, text: str = "text", doc_id: str = "do
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(sent.value, pattern)
         known: dict[bytes, list[int]] = {}
-        for b in batches:
+        last = None
+        for b in (batch.slice(k, 1000) for batch in batches for k in range(0, len(batch), 1000)):
             sizes, ids = [], []
-            for blob in b.column(2).to_pylist():
-                if len(known) > CACHE:
-                    known.clear()
+            for shard, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if shard != last or len(known) > CACHE:  # a word has one shard
+                    known, last = {}, shard
                 got = []
                 for w in blob.split(_END)[:-1]:
                     if (x := known.get(w)) is None:
@@ -198,7 +199,7 @@ def encode(docs: DataFrame, ranks: str, *, text: str = "text", doc_id: str = "do
                 for k, m in enumerate(n.tolist()):
                     out.append(b"".join(_taken(flat, starts, sizes, places[x : min(x + STEP, at + m)]) for x in range(at, at + m, STEP)))
                     at, held = at + m, held + len(out[-1])
-                    if held > 16_000_000 or k == len(n) - 1:
+                    if held > 4_000_000 or k == len(n) - 1:
                         yield pa.RecordBatch.from_arrays([names.slice(done, len(out)), pa.array([len(x) // 4 for x in out]), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
                         done, out, held = k + 1, [], 0
 
@@ -220,7 +221,7 @@ def token_table(spark: SparkSession, ranks: str) -> DataFrame:
 
 
 def decode(tokens: DataFrame, vocabulary: DataFrame, *, most: int = VOCABULARY) -> DataFrame:
-    """tokens(doc_id, n_tokens, ids) with ``decoded``: the bytes of their ids' tokens. An id that the vocabulary(id, token) doesn't have is an error."""
+    """tokens(ids, and others) with ``decoded``, the bytes of their ids' tokens, in place of the ids. An id that the vocabulary(id, token) doesn't have is an error."""
     held = vocabulary.select("id", "token").limit(most + 1).collect()  # a bounded table
     if len(held) > most:
         return _joined(tokens, vocabulary)
@@ -245,25 +246,26 @@ def decode(tokens: DataFrame, vocabulary: DataFrame, *, most: int = VOCABULARY)
                 part = b.slice(k, 256)
                 ids = [np.frombuffer(x, "<u4") for x in part.column("ids").to_pylist()]
                 decoded = [b"".join(spell(x[i : i + STEP]) for i in range(0, len(x), STEP)) for x in ids]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(decoded, pa.binary())], [*others, "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
+    others = [c for c in tokens.columns if c != "ids"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema if f.name != "ids")
     return tokens.mapInArrow(run, f"{schema}, decoded binary")
 
 
 def _joined(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Decoding by a join on the id, for vocabularies too large to send."""
     row = Scratch(tokens.sparkSession, "decode").save(tokens.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    each = row.where("n_tokens > 0").select("_row", F.posexplode(F.regexp_extract_all(F.hex("ids"), F.lit(".{8}"), 0)).alias("at", "hex"))
+    each = row.select("_row", F.posexplode(F.regexp_extract_all(F.hex("ids"), F.lit(".{8}"), 0)).alias("at", "hex"))
     swapped = F.concat(*(F.substring("hex", k, 2) for k in (7, 5, 3, 1)))
     each = each.select("_row", "at", F.conv(swapped, 16, 10).cast("long").alias("id")).join(vocabulary, "id", "left")
     known = F.when(F.col("token").isNull(), F.raise_error(F.lit("an id that the vocabulary doesn't have")).cast("string")).otherwise(F.hex("token"))
     spelled = each.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", known.alias("hex")))).alias("x"))
     spelled = spelled.select("_row", F.unhex(F.array_join(F.transform("x", lambda y: y["hex"]), "")).alias("decoded"))
-    return row.join(spelled, "_row", "left").withColumn("decoded", F.coalesce("decoded", F.lit(b""))).drop("_row")
+    return row.join(spelled, "_row", "left").withColumn("decoded", F.coalesce("decoded", F.lit(b""))).drop("_row", "ids")
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = encode(table(spark, sf_dir, "documents"), ranks_file())
-    out = decode(tokens, token_table(spark, ranks_file()))
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = decode(tokens.withColumn("ids_sha256", F.sha2("ids", 256)), token_table(spark, ranks_file()))
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
