@@ -3,7 +3,10 @@
 A page's text falls into blocks at block-level tags; text in an inline element of its own part (such as an advert's span)
 is a block beside the one it stands in. A linear classifier over a block's place (its ancestors' tags, classes, ids and
 roles), link share and length gives log-odds of being content; they become terminal capacities. Its weights are set by hand,
-as there are no labelled pages to fit them on.
+as there are no labelled pages to fit them on. What an element is called counts against what it holds: one with half of the page's
+prose or more that is, or has inside it, an article, a main part or the page's heading is no boilerplate, whatever its classes say,
+nor is what stands around the page's longest article, if that has a quarter of the prose (forms around whole pages, layouts named after their sidebar). Classes that tell a state or a taxonomy ("comments-open",
+"category-legal") and attributes of other names ("data-id") say nothing of a part.
 Smoothness edges join blocks that follow each other, more strongly under one parent, and each block to the one before it
 under the same parent (DOM proximity). A maximum flow separates content from boilerplate.
 
@@ -32,7 +35,7 @@ from factloom.storage import table
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "select", "title", "audio", "video")
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BAD_TAGS = frozenset("nav footer aside form button menu dialog fieldset label".split())
+BAD_TAGS = frozenset("nav footer aside form button menu dialog fieldset".split())
 GOOD_TAGS = frozenset("article main".split())
 BAD_WORDS = frozenset(
     "ad ads advert advertisement advertising adsense banner promo promotion sponsor sponsored outbrain taboola menu nav navbar navigation breadcrumb breadcrumbs sidebar widget footer header masthead toolbar "
@@ -40,36 +43,53 @@ BAD_WORDS = frozenset(
     "newsletter subscribe subscription signup login search pagination pager copyright legal disclaimer skip tags complementary contentinfo toc login form".split()
 )
 GOOD_WORDS = frozenset("article content main story entry post articlebody body text".split())
+#: First parts of class names that tell a state or a taxonomy, and last ones that tell a state.
+NO_PART = frozenset("has with no is not category cat tag term type status format author".split())
+STATES = frozenset("open opened closed enabled disabled".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table")), "option": ("option", ("select",))}
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([a-z][a-z0-9:-]*)([^>]*)>", re.I | re.S)
-_HINT = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_HINTS = frozenset(("class", "id", "role", "itemprop"))
 _SENTENCE_END = re.compile(r"[.!?…。]['\"»”)]*$")
 _OWNER = re.compile(r"©|\(c\)\s*\d{4}|all rights reserved", re.I)
 
 
 class _Node:
-    __slots__ = ("aside", "bad", "block", "depth", "good", "name", "parent")
+    """An element. ``called`` and ``fine``: whether its name or its classes call it boilerplate, or content; ``bad`` and ``good`` are decided when the page is read."""
+
+    __slots__ = ("aside", "bad", "block", "called", "depth", "fine", "good", "holds", "name", "parent", "prose")
 
     def __init__(self, name: str, attributes: str, parent: _Node | None):
         self.name, self.parent = name, parent
         self.depth = parent.depth + 1 if parent else 0
         self.block: _Node | None = self if name in BLOCK else parent.block if parent else None
-        self.bad, self.good = parent.bad if parent else False, parent.good if parent else False
-        self.aside: _Node | None = parent.aside if parent and name not in BLOCK else None  # the outermost inline element that is bad by itself
-        words: set[str] = set()
-        if attributes and name not in ("html", "body"):
-            for m in _HINT.finditer(attributes):
-                for token in (m[1] or m[2] or m[3] or "").lower().split():
-                    parts = re.split(r"[-_]+", token)
-                    if parts[0] not in ("has", "with", "no", "is", "not"):
-                        words.update(parts)
-        if name in BAD_TAGS or name == "header" and not self.good or words & BAD_WORDS:
-            if not self.bad and name not in BLOCK:
+        self.aside: _Node | None = parent.aside if parent and name not in BLOCK else None  # the outermost inline element that is called boilerplate
+        self.bad = self.good = False
+        self.prose, self.holds = 0.0, name in GOOD_TAGS or name == "h1"
+        words, good_token = _words(attributes) if attributes and name not in ("html", "body") else (set(), False)
+        self.called = name in BAD_TAGS or bool(words & BAD_WORDS)
+        self.fine = name in GOOD_TAGS or good_token
+        if self.called:
+            self.holds = False
+            if name not in BLOCK and self.aside is None:
                 self.aside = self
-            self.bad = True
-        if name in GOOD_TAGS or words & GOOD_WORDS and not words & BAD_WORDS:
-            self.good = True
+
+
+def _words(attributes: str) -> tuple[set[str], bool]:
+    """The parts of an element's class names, ids and roles that may tell its part in the page, and whether one of the names speaks for content alone."""
+    words: set[str] = set()
+    good = False
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() not in _HINTS:
+            continue
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = re.split(r"[-_]+", token)
+            if parts[0] in NO_PART and len(parts) > 1 or parts[-1] in STATES:
+                continue
+            words.update(parts)
+            good = good or not GOOD_WORDS.isdisjoint(parts) and BAD_WORDS.isdisjoint(parts)
+    return words, good
 
 
 class Block:
@@ -80,6 +100,11 @@ class Block:
     def __init__(self, text: str, links: int, node: _Node, heading: bool):
         self.text, self.links, self.node, self.heading = text, links, node, heading
 
+    def prose(self) -> float:
+        """Characters, those of what is no sentence or is mostly links at a tenth."""
+        n = len(self.text)
+        return n if self.links <= 0.4 * n and (n >= 80 or _SENTENCE_END.search(self.text)) else 0.1 * n
+
     def log_odds(self) -> float:
         n = len(self.text)
         share = min(1.0, self.links / n)
@@ -97,10 +122,12 @@ class _Open:
 
     def __init__(self) -> None:
         self.node = self.root = _Node("", "", None)
+        self.nodes = [self.root]  # parents before their children
         self.by_name: dict[str, list[_Node]] = {}
 
     def push(self, name: str, attributes: str) -> None:
         self.node = _Node(name, attributes, self.node)
+        self.nodes.append(self.node)
         self.by_name.setdefault(name, []).append(self.node)
 
     def find(self, name: str, stops: tuple[str, ...] = ()) -> _Node | None:
@@ -115,6 +142,28 @@ class _Open:
             self.by_name[self.node.name].pop()
             self.node = self.node.parent or self.root
 
+    def decide(self, found: list[Block]) -> None:
+        """Sets ``bad`` and ``good`` of all elements, by what they are called and how much of the page's prose they hold."""
+        for b in found:
+            b.node.prose += b.prose()
+        for x in reversed(self.nodes[1:]):
+            x.parent.prose += x.prose
+            x.parent.holds |= x.holds
+        most = 0.5 * self.root.prose
+        parts = [x for x in self.nodes if x.name in GOOD_TAGS and not x.called]
+        longest = max((x.prose for x in parts), default=0.0)
+        around: set[int] = set()
+        if longest >= 0.5 * most > 0:
+            x = [x for x in parts if x.prose >= 0.8 * longest][-1]  # the innermost
+            while x is not None:
+                around.add(id(x))
+                x = x.parent
+        for x in self.nodes[1:]:
+            over = x.parent
+            bad = x.called and id(x) not in around and not (x.prose >= most > 0 and (x.fine or x.holds))
+            x.bad = over.bad or bad or x.name == "header" and not over.good
+            x.good = over.good or x.fine and (not bad or x.name in GOOD_TAGS)
+
 
 _P_STOPS = ("div", "article", "section", "main", "body", "td", "li", "aside", "nav", "footer", "header", "form", "blockquote", "button")
 
@@ -191,6 +240,7 @@ def blocks(page: str) -> list[Block]:
             in_link = 0
     text(page[last:].partition("<!--")[0])
     close()
+    opened.decide(out)
     return out
 
 
