@@ -1,13 +1,15 @@
 """License scans: an inverted index of winnowed template fingerprints picks candidates, banded alignment confirms them.
 
-Templates are split into words; hashes of a few words in a row are indexed with their places. How many words is chosen by
-the template's length, so that as many edits as the coverage allows, wherever they are, leave one such row of words whole
-(2 to 4 words at 0.8); all rows of a template are indexed, and all of a document looked up. Hits on one template near one
+Templates are split into words. As many edits as the coverage allows, wherever they are, leave some row of words whole (2 to 4
+words at 0.8, by the template's length). Fingerprints are hashes of a few words in a row, and of each ``window`` of them next to each other the
+least is kept, in templates and documents alike; word count and window fill the row that stays whole, so one kept
+fingerprint of it is in both. Rows of two words have a window of one: of them every fingerprint is kept. Hits on one template near one
 diagonal make a candidate; a local alignment in a band around it counts the matched words, with its span in the document.
 Matches that cover enough of their template are returned, unless another license's match in the same place has as many
 words with fewer edits (CC BY in a CC BY-SA notice).
 
-The index is as large as the given templates; it travels with the job, and documents are scanned in one pass.
+The index is as large as the given templates; it travels with the job, and documents are scanned in one pass,
+in time that grows with their length.
 
 Edge cases: null and empty texts match nothing; templates of fewer than five words are refused. Spans count characters of
 the text as given, also where its lower case is longer. A template that comes twice in a document gives two rows. Repeated documents are scanned each for itself.
@@ -16,6 +18,7 @@ the text as given, also where its lower case is longer. A template that comes tw
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -61,6 +64,22 @@ def gram_of(n: int, coverage: float = COVERAGE) -> int:
     return max(1, -(-(n - edits) // (edits + 1)))
 
 
+def window_of(n: int, coverage: float = COVERAGE) -> tuple[int, int]:
+    """(words of a fingerprint, fingerprints of a window) for a template of n words: together they span what stays whole."""
+    whole = gram_of(n, coverage)
+    return (whole - 1, 2) if whole > 2 else (whole, 1)
+
+
+def _kept(h: np.ndarray, window: int) -> np.ndarray:
+    """Places of the least hash of every window, the last of equal ones; 0 is no hash."""
+    if window == 1 or len(h) < window:
+        return np.flatnonzero(h)
+    by = np.where(h > 0, h, np.uint64(2**64 - 1))
+    wide = np.lib.stride_tricks.sliding_window_view(by, window)[:, ::-1]
+    at = np.unique(np.arange(len(wide)) + window - 1 - wide.argmin(1))
+    return at[h[at] > 0]
+
+
 def _hash(ids: np.ndarray, gram: int) -> np.ndarray:
     """Of every ``gram`` ids in a row; rows with an unknown word (-1) get 0."""
     n = len(ids) - gram + 1
@@ -79,15 +98,16 @@ class Index:
     def __init__(self, templates: Mapping[str, str], coverage: float = COVERAGE):
         self.names, self.vocabulary = list(templates), {}
         self.words: list[np.ndarray] = []
-        entries: dict[int, list[tuple[int, int, int]]] = {}
+        entries: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for t, text in enumerate(templates.values()):
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], np.int32)
             if len(ids) < SHORTEST:
                 raise ValueError(f"template {self.names[t]} has fewer than {SHORTEST} words")
             self.words.append(ids)
-            gram = gram_of(len(ids), coverage)
-            entries.setdefault(gram, []).extend((int(h), t, i) for i, h in enumerate(_hash(ids, gram)))
-        #: By length: hashes (sorted), their templates and places.
+            gram, window = window_of(len(ids), coverage)
+            h = _hash(ids, gram)
+            entries.setdefault((gram, window), []).extend((int(h[i]), t, i) for i in _kept(h, window).tolist())
+        #: By length and window: hashes (sorted), their templates and places.
         self.grams = {g: (np.array([e[0] for e in sorted(x)], np.uint64), np.array([e[1] for e in sorted(x)], np.int64), np.array([e[2] for e in sorted(x)], np.int64)) for g, x in entries.items()}
 
     def band(self, template: int) -> int:
@@ -97,9 +117,9 @@ class Index:
     def hits(self, ids: np.ndarray) -> np.ndarray:
         """Rows (template, place in the document, place in the template)."""
         out = [np.empty((0, 3), np.int64)]
-        for gram, (hashes, template, place) in self.grams.items():
+        for (gram, window), (hashes, template, place) in self.grams.items():
             h = _hash(ids, gram)
-            at = np.flatnonzero(h)
+            at = _kept(h, window)
             lo, hi = np.searchsorted(hashes, h[at]), np.searchsorted(hashes, h[at], side="right")
             n = hi - lo
             row = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
@@ -111,7 +131,7 @@ class Index:
         hits = self.hits(ids)
         out: list[tuple[int, int]] = []
         last = None
-        for t, d in sorted((int(t), int(i - j)) for t, i, j in hits):
+        for t, d in np.unique(np.stack([hits[:, 0], hits[:, 1] - hits[:, 2]], 1), axis=0).tolist():
             if last is None or t != last[0] or d > last[1] + self.band(t):
                 out.append((t, d))
                 last = (t, d)
@@ -172,10 +192,11 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, text: str
                 for template, diagonal in index.candidates(w):
                     found.setdefault(template, []).append((row, diagonal))
                     words[row] = w
-            out = []
+            out, places = [], {}
             for template, rows in sorted(found.items()):
-                for k in range(0, len(rows), 512):
-                    out += _confirm(index, template, rows[k : k + 512], words, texts, coverage)
+                for row in {r for r, _ in rows} - places.keys():
+                    places[row] = np.array([m.span() for m in WORD.finditer(texts[row])])
+                out += _confirm(index, template, rows, words, places, coverage)
             out = sorted(x[:6] for x in _best(out))
             cols = [pa.array([ids[r[0]] for r in out], batch.column(0).type), *(pa.array([r[i] for r in out], t) for i, t in ((3, pa.string()), (4, pa.float64()), (5, pa.int32()), (1, pa.int32()), (2, pa.int32())))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "license", "coverage", "n_matched", "from_char", "to_char"])
@@ -184,33 +205,45 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, *, text: str
     return rows.mapInArrow(run, f"doc_id {kind}, license string, coverage double, n_matched int, from_char int, to_char int")
 
 
-def _confirm(index: Index, template: int, rows: list[tuple[int, int]], words: dict[int, np.ndarray], texts: list[str], coverage: float) -> list[tuple]:
-    """(row, from_char, to_char, license, coverage, matched, edits) of the candidates that match; overlapping ones once."""
+def _confirm(index: Index, template: int, rows: list[tuple[int, int]], words: dict[int, np.ndarray], places: dict[int, np.ndarray], coverage: float) -> list[tuple]:
+    """(row, from_char, to_char, license, coverage, matched, edits) of the candidates that match; of overlapping ones the best, then the first."""
     known, out, band = index.words[template], [], index.band(template)
-    lo = np.array([max(0, d - band) for _, d in rows])
-    parts = [words[r][x : x + len(known) + 3 * band] for (r, _), x in zip(rows, lo.tolist(), strict=True)]
-    matched, start, end = align(known, parts, np.array([d for _, d in rows]) - lo, band)
-    seen: dict[int, list[tuple[int, int]]] = {}
-    for i in np.lexsort((start, -matched)).tolist():
-        if matched[i] < coverage * len(known):
-            continue
-        r, x, y = rows[i][0], int(start[i] + lo[i]), int(end[i] + lo[i])
-        if any(x < b and a < y for a, b in seen.get(r, ())):
+    spans: list[tuple[int, int, int, int]] = []
+    for k in range(0, len(rows), 512):
+        some = rows[k : k + 512]
+        lo = np.array([max(0, d - band) for _, d in some])
+        parts = [words[r][x : x + len(known) + 3 * band] for (r, _), x in zip(some, lo.tolist(), strict=True)]
+        matched, start, end = align(known, parts, np.array([d for _, d in some]) - lo, band)
+        good = np.flatnonzero(matched >= coverage * len(known)).tolist()
+        spans += [(-int(matched[i]), some[i][0], int(start[i] + lo[i]), int(end[i] + lo[i])) for i in good]
+    taken: dict[int, list[tuple[int, int]]] = {}
+    for less, r, x, y in sorted(spans):
+        mine = taken.setdefault(r, [])  # apart from each other, in order
+        at = bisect_left(mine, (x, y))
+        if at and mine[at - 1][1] > x or at < len(mine) and mine[at][0] < y:
             continue
-        seen.setdefault(r, []).append((x, y))
-        places = [m.span() for m in WORD.finditer(texts[r])]
-        a, b = places[min(x, len(places) - 1)][0], places[min(y, len(places)) - 1][1]
-        out.append((r, a, b, index.names[template], int(matched[i]) / len(known), int(matched[i]), len(known) + y - x - 2 * int(matched[i])))
+        mine.insert(at, (x, y))
+        here = places[r]
+        out.append((r, int(here[min(x, len(here) - 1)][0]), int(here[min(y, len(here)) - 1][1]), index.names[template], -less / len(known), -less, len(known) + y - x + 2 * less))
     return out
 
 
 def _best(found: list[tuple]) -> list[tuple]:
-    """Without the matches that overlap one of another license with as many words and fewer edits."""
-    by_row: dict[int, list[tuple]] = {}
-    for x in found:
-        by_row.setdefault(x[0], []).append(x)
+    """Without the matches that overlap one of another license with as many words and fewer edits. Those of one license are apart, so few are open at a place."""
     worse = lambda x, y: x[3] != y[3] and y[1] < x[2] and x[1] < y[2] and y[5] >= x[5] and y[6] < x[6]
-    return [x for xs in by_row.values() for x in xs if not any(worse(x, y) for y in xs)]
+    opened: list[int] = []
+    lost: set[int] = set()
+    order = sorted(range(len(found)), key=lambda i: found[i][:3])
+    for i in order:
+        x = found[i]
+        opened = [j for j in opened if found[j][0] == x[0] and found[j][2] > x[1]]
+        for j in opened:
+            if worse(x, found[j]):
+                lost.add(i)
+            if worse(found[j], x):
+                lost.add(j)
+        opened.append(i)
+    return [found[i] for i in order if i not in lost]
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

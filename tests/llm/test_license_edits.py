@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -37,3 +38,26 @@ def test_seeds_lose_nothing_against_alignment_on_every_diagonal():
             whole = L.align(known, [doc] * len(every), every, band)[0].max()
             seeds = [d for x, d in index.candidates(doc) if x == t]
             assert whole < need or seeds and L.align(known, [doc] * len(seeds), np.array(seeds), band)[0].max() >= need
+
+
+def test_windows_leave_a_fingerprint():
+    """Whatever rows the edits break, one kept fingerprint of a template is kept in the document too."""
+    r = random.Random(4)
+    for n in (5, 9, 14, 24, 60, 130):
+        index = L.Index({"t": " ".join(f"w{k}" for k in range(n))})
+        for _ in range(60):
+            words = [f"w{k}" for k in range(n)]
+            for k in r.sample(range(n), int(n - L.COVERAGE * n + 1e-9)):
+                words[k] = r.choice(["other", f"w{r.randrange(n)}"])
+            text = ["before", *words, "after"]
+            assert 1 in [d for _, d in index.candidates(np.array([index.vocabulary.get(w, -1) for w in text]))] or index.hits(np.array([index.vocabulary.get(w, -1) for w in text])).size
+
+
+def test_long_text_takes_time_in_proportion(spark):
+    """A megabyte of one notice after the other: every one is found, in seconds."""
+    notice = L.TEMPLATES["MIT-notice"] + " "
+    n = 1_000_000 // len(notice)
+    began = time.time()
+    rows = L.scan(spark.createDataFrame([(1, notice * n)], "doc_id int, text string")).collect()
+    assert time.time() - began < 60
+    assert sorted((r["from_char"], r["to_char"]) for r in rows if r["license"] == "MIT-notice") == [(k * len(notice), (k + 1) * len(notice) - 2) for k in range(n)]
