@@ -109,6 +109,50 @@ def structural_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("unit_id", number("block_ord"), "tok_ord", "kind", number("depth"), "text", "href", "block_tag", number("parent_block"), number("row"), number("col"))
 
 
+@R.add(f"""WITH {_LINES}, k AS (SELECT *, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INTEGER) AS k FROM li),
+  t AS (SELECT l_orderkey AS unit_id, n AS block_ord, 1 AS tok_ord, 'L' || l_partkey AS text, n AS depth, n AS d, k FROM k UNION ALL SELECT l_orderkey, n, 2, 'T' || l_partkey, n, n, k FROM k WHERE n < k
+    UNION ALL SELECT DISTINCT l_orderkey, 0, 1, 'before', 0, 0, k FROM k UNION ALL SELECT DISTINCT l_orderkey, 0, 2, 'after &', 0, 0, k FROM k)
+  SELECT unit_id, block_ord, tok_ord, text, depth, CASE WHEN d > 1 THEN d - 1 END AS parent_block, array_to_string(list_transform(range(1, d + 1), lambda i: CASE WHEN i % 2 = 1 THEN 'unordered_list[0]' ELSE 'ordered_list[1]' END), ' ') AS ancestry FROM t""")
+def nested_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lists in lists, a line an item of the line before's inner list, with text of the item after that list; list items and lists aren't all closed."""
+    lines = _lines(spark, sf_dir)
+    last = F.col("n") == F.count("*").over(W.partitionBy("l_orderkey"))
+    lines = lines.withColumns({"last": last, "down": F.when(F.col("n") % 2 == 1, "<ul><li>").otherwise("<ol><li></li><li>"), "up": F.when(F.col("n") % 2 == 1, "</li></ul>").otherwise("</ol>")})
+    opened = _joined(lines, "l_orderkey", "n", F.concat("down", F.lit("<b>L"), "l_partkey", F.lit("</b>")), "<div>before", "")
+    closed = _joined(lines.withColumn("back", -F.col("n")), "l_orderkey", "back", F.concat(F.when(~F.col("last"), F.concat(F.lit("<i>T"), "l_partkey", F.lit("</i>"))).otherwise(""), F.col("up")), "", "</div>after &#38;").withColumnRenamed("html", "rest")
+    t = pages.structural_blocks(opened.join(closed, "page_id").select("page_id", F.concat("html", "rest").alias("html")))
+    # Empty list items count as blocks: those of ordered lists come before the item with the line.
+    order = F.dense_rank().over(W.partitionBy("unit_id").orderBy("block_ord")) - 1
+    place = lambda c: (F.col(c) - F.floor(F.col(c) / 3)).cast("int")
+    return t.select("unit_id", order.alias("block_ord"), "tok_ord", "text", "depth", place("parent_block").alias("parent_block"), F.concat_ws(" ", "ancestry").alias("ancestry"))
+
+
+@R.add(f"""WITH {_LINES} SELECT l_orderkey AS page_id, n AS line, 'k' || CAST(ceil(n / 2) AS INTEGER) AS kind, 'n' || l_partkey || ' in' || l_linenumber || ' end' AS name, q FROM li WHERE n < 7
+  UNION ALL SELECT l_orderkey, n, NULL, 'in' || l_linenumber, NULL FROM li WHERE n < 7""")
+def table_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as two tables of at most six lines, the second with its columns turned round: cells over two rows, an inner table in a cell, rows and cells that aren't closed."""
+    lines = _lines(spark, sf_dir).where("n < 7")
+    inner = F.concat(F.lit("<td>n"), "l_partkey", F.lit(" <table><tr><td>in"), "l_linenumber", F.lit("</td></tr></table> end"))
+    kind = F.when(F.col("n") % 2 == 1, F.concat(F.lit("<td rowspan=2>k"), F.ceil(F.col("n") / 2).cast("int"))).otherwise("")
+    number = F.concat(F.lit("<td>"), _q())
+    first = _joined(lines.where("n < 5"), "l_orderkey", "n", F.concat(F.lit("<tr>"), kind, inner, number), "<table><tr><th>Kind<th>Name<th>Qty", "</table>")
+    second = _joined(lines.where("n > 4"), "l_orderkey", "n", F.concat(F.lit("<tr>"), number, kind, inner), "<table><tr><th>Qty<th>Kind<th>Name", "</table>").withColumnRenamed("html", "more")
+    both = first.join(second, "page_id", "left").select("page_id", F.concat("html", F.coalesce("more", F.lit(""))).alias("html"))
+    out = pages.extract_rows(both, [pages.Field("kind", header="kind"), pages.Field("name", header="name"), pages.Field("any", position=0), pages.Field("q", header=["quantity", "qty"], type="int")])
+    line = F.row_number().over(W.partitionBy("page_id", F.col("kind").isNull()).orderBy("row_no"))
+    return out.select("page_id", line.alias("line"), "kind", F.when(F.col("kind").isNull(), F.col("any")).otherwise(F.col("name")).alias("name"), "q")
+
+
+@R.add(f"""WITH {_LINES} SELECT l_orderkey AS page_id, n - 1 AS entry_no, CASE WHEN q > 5 THEN 'Skill ' || l_partkey ELSE '' END AS title, CASE WHEN l_returnflag != 'A' THEN 'Hits for ' || q || ' — twice' ELSE '' END AS description, 'Order ' || CASE WHEN n % 3 = 0 THEN 'special' ELSE 'lines' END AS section,
+  CASE WHEN q <= 5 THEN 'missing_title' WHEN l_returnflag = 'A' THEN 'missing_description' END AS reason FROM li""")
+def grid_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as grids of entries, some without a title or a description, every third in an article with a title of its own."""
+    title = F.when(_q() > 5, F.concat(F.lit("<div class='skill-name'><a href=x>Skill "), "l_partkey", F.lit("</a></div>"))).otherwise("")
+    text = F.when(_flag() != "A", F.concat(F.lit('<div class="x skill-description">Hits for '), _q(), F.lit(" &mdash; <b>twice</b></div>"))).otherwise("")
+    entry = F.concat(F.when(F.col("n") % 3 == 0, '<article title="Order  special">').otherwise(""), F.lit('<div class="grid entry">'), title, text, F.lit("</div>"), F.when(F.col("n") % 3 == 0, "</article>").otherwise(""))
+    return pages.grid_units(_joined(_lines(spark, sf_dir), "l_orderkey", "n", entry, "<h2>Order lines</h2>", ""), "entry", "skill-name", "skill-description")
+
+
 @R.add(f"""WITH {_LINES} SELECT l_orderkey AS page_id, n AS row_no, 'active' AS record_type, 'N' || l_partkey || CASE WHEN q > 40 THEN ' (Stellar Awakened)' ELSE '' END AS name, q AS mp, NULL AS level, q > 40 AS gated FROM li
   UNION ALL SELECT l_orderkey, n, 'passive', 'N' || l_partkey || CASE WHEN q > 40 THEN ' (Stellar Awakened)' ELSE '' END, NULL, l_linenumber, q > 40 FROM li""")
 def skill_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

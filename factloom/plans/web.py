@@ -57,10 +57,10 @@ _TOKENS = r"(?is)<a\b[^>]*>.*?</a>|<img\b[^>]*>|<(?:script|style)\b.*?</(?:scrip
 @R.add(f"""WITH k AS (SELECT page_id, unnest(l) AS raw, generate_subscripts(l, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '{_TOKENS}') AS l FROM pages)), r AS (SELECT *, lower(raw) AS x FROM k),
   t AS (SELECT *, CASE WHEN regexp_matches(x, '^<a[ >]') THEN 'reference' WHEN starts_with(x, '<img') THEN 'icon' WHEN regexp_matches(x, '^<br[ />]') THEN 'line_break' WHEN NOT starts_with(x, '<') THEN 'text' END AS kind,
     sum(CASE WHEN regexp_matches(x, '^<(ul|ol)[ >]') THEN 1 WHEN regexp_matches(x, '^</(ul|ol)') THEN -1 ELSE 0 END) OVER w AS depth, sum(CASE WHEN regexp_matches(x, '^<(h[1-6]|p|li|td|th|dt|dd|blockquote|figcaption|title)[ >]') THEN 1 ELSE 0 END) OVER w AS block FROM r WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
-  SELECT page_id AS unit_id, kind, count(*) AS n, CAST(max(greatest(0, depth)) AS BIGINT) AS depth, CAST(max(block) AS BIGINT) AS blocks FROM t WHERE kind IS NOT NULL AND block > 0 AND (kind = 'line_break' OR CASE WHEN kind = 'icon' THEN regexp_extract(raw, 'alt=\"([^\"]*)', 1) ELSE trim(replace(regexp_replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), '&nbsp;', ' ')) END != '') GROUP BY 1, 2""")
+  SELECT page_id AS unit_id, kind, count(*) AS n, CAST(max(greatest(0, depth)) AS BIGINT) AS depth, CAST(max(block) AS BIGINT) AS blocks FROM t WHERE kind IS NOT NULL AND (kind = 'line_break' OR CASE WHEN kind = 'icon' THEN regexp_extract(raw, 'alt=\"([^\"]*)', 1) ELSE trim(replace(regexp_replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), '&nbsp;', ' ')) END != '') GROUP BY 1, 2""")
 def structural_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = pages.structural_blocks(table(spark, sf_dir, "pages"))
-    return t.groupBy("unit_id", "kind").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.max("block_ord").alias("blocks"))
+    return t.groupBy("unit_id", "kind").agg(F.count("*").alias("n"), F.max("depth").cast("long").alias("depth"), F.max("block_ord").cast("long").alias("blocks"))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Pages as tables: captures, row entries, sections and blocks. Markup is split by patterns in Spark; malformed rows go to diagnostics."""
+"""Pages as tables: captures, row entries, sections and blocks. Row entries and tokens come from the nodes of ``markup``; malformed rows go to diagnostics."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import expr
-
-BLOCK_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th", "dt", "dd", "blockquote", "figcaption", "title")
+from factloom.sources import markup
+from factloom.sources.markup import BLOCK_TAGS
 
 
 def read_captures(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -24,43 +25,76 @@ def read_captures(spark: SparkSession, path: str, format: str = "parquet") -> Da
 
 
 class Field(NamedTuple):
-    """A field of a row entry: a data attribute, else the cell under a header, else the cell at a position."""
+    """A field of a row entry: a data attribute, else the cell under a header (of several names: the first column called so, else the first whose header has one in it), else the cell at a position."""
 
     name: str
     attr: str | None = None
-    header: str | None = None
+    header: str | Sequence[str] | None = None
     position: int | None = None
     type: str = "string"
 
 
 def plain(html: Column | str) -> Column:
-    """Text of a fragment: without tags, common character references decoded, white space collapsed."""
+    """Text of a fragment: without tags, character references decoded, white space collapsed."""
     t = F.regexp_replace(expr.col(html), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
-    for ref, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(ref), F.lit(ch))
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    return F.trim(F.regexp_replace(markup.unescaped(t), r"[\s\u00a0]+", " "))
 
 
-def extract_rows(pages: DataFrame, fields: Sequence[Field], row: str = "tr") -> DataFrame:
-    """(page_id, row_no, the fields, diagnostics) of every ``row`` element with cells.
+def table_rows(pages: DataFrame) -> DataFrame:
+    """Rows of all tables: (page_id, page, table, row, node, row_no, attrs, cells(col, th, text), heads(col, text)).
+
+    A cell's text is all that stands in it, tables inside included; their rows are rows of their own. A cell that reaches down is in each of
+    its rows. ``heads`` are the header cells of the first row of the same table that has any. ``row_no`` counts the page's rows, from 0.
+    """
+    n = markup.nodes(pages).repartition("page")  # all that follows is within a page
+    is_place, is_text = F.col("place").isNotNull(), F.col("kind").isin("text", "reference")
+    spot = F.explode(F.when(is_place, F.array("place")).when(is_text, F.col("cells")))
+    span = lambda c: F.coalesce(F.least(F.greatest(F.regexp_extract(F.element_at("attrs", c), r"^\s*([0-9]{1,4})", 1).try_cast("int"), F.lit(1)), F.lit(1000)), F.lit(1))
+    own = lambda c: F.max(F.when(is_place, c))
+    x = n.select("page_id", "page", "kind", "node", "place", "tag", "attrs", "text", spot.alias("x"), F.when(is_place, span("rowspan")).alias("down"), F.when(is_place, span("colspan")).alias("across"))
+    words = F.array_sort(F.collect_list(F.when(is_text, F.struct("node", "text"))))
+    cells = x.groupBy("page", F.col("x.table").alias("table"), F.col("x.row").alias("row"), F.col("x.col").alias("col"), F.col("x.cell").alias("cell")).agg(
+        F.first("page_id").alias("page_id"), own(F.col("tag")).alias("tag"), own(F.col("down")).alias("down"), own(F.col("across")).alias("across"), F.first(F.when(is_place, F.col("attrs")), True).alias("attrs"), F.array_join(F.transform(words, lambda w: w["text"]), " ").alias("text")
+    )
+    is_row = F.col("tag") == "tr"
+    seen = cells.withColumn("row", F.explode(F.sequence("row", F.col("row") + F.when(is_row, 1).otherwise(F.col("down")) - 1)))
+    cell = F.struct("col", (F.col("tag") == "th").alias("th"), "text", "across")
+    rows = seen.groupBy("page", "table", "row").agg(F.first("page_id").alias("page_id"), F.max(F.when(is_row, F.col("cell"))).alias("node"), F.first(F.when(is_row, F.col("attrs")), True).alias("attrs"), F.array_sort(F.collect_list(F.when(~is_row, cell))).alias("cells")).where("node IS NOT NULL")
+    heads = F.filter("cells", lambda c: c["th"])
+    first = F.min(F.when(F.size(heads) > 0, F.struct("row", heads.alias("heads")))).over(W.partitionBy("page", "table"))
+    wide = F.flatten(F.transform(first["heads"], lambda h: F.transform(F.sequence(h["col"], h["col"] + h["across"] - 1), lambda k: F.struct(k.alias("col"), h["text"].alias("text")))))
+    return rows.select("page_id", "page", "table", "row", "node", (F.row_number().over(W.partitionBy("page").orderBy("node")) - 1).alias("row_no"), "attrs", "cells", wide.alias("heads"))
+
+
+def _cell_at(col: Column) -> Column:
+    return F.get(F.filter("cells", lambda c: c["col"] == col), F.lit(0))["text"]
+
 
-    Headers are those of the page's first row with ``th``. Text that doesn't cast to the field's type is null and named in ``diagnostics``.
+def extract_rows(pages: DataFrame, fields: Sequence[Field], row: str = "tr") -> DataFrame:
+    """(page_id, row_no, the fields, diagnostics) of every table row with a data cell or a data attribute; or, with another ``row``, of every element of
+    that name, which has attributes only. Text that doesn't cast to the field's type is null and named in ``diagnostics``.
     """
-    rows = F.posexplode(F.regexp_extract_all("html", F.lit(rf"(?is)<{row}\b[^>]*>.*?(?=<{row}\b|</{row}>|</table>|$)"), 0))
-    cells = lambda c, tag: F.transform(F.regexp_extract_all(c, F.lit(rf"(?is)<(?:{tag})\b[^>]*>.*?(?=<(?:td|th)\b|</(?:td|th|tr)>|$)"), 0), plain)
-    heads = F.filter(F.transform(F.regexp_extract_all("html", F.lit(rf"(?is)<{row}\b[^>]*>.*?(?:</{row}>|$)"), 0), lambda r: cells(r, "th")), lambda h: F.size(h) > 0)
-    r = pages.select("page_id", F.transform(F.element_at(F.when(F.size(heads) > 0, heads), 1), lambda h: F.lower(h)).alias("heads"), rows.alias("row_no", "raw"))
-    r = r.withColumn("cells", cells(F.col("raw"), "td")).where("size(cells) > 0 OR raw RLIKE '(?i)^<[^>]*\\\\sdata-'")
-    tag = F.regexp_extract("raw", r"(?s)^(<[^>]*>)", 1)
+    if row == "tr":
+        r = table_rows(pages)
+        data = F.exists("cells", lambda c: ~c["th"])
+    else:
+        n = markup.nodes(pages).where((F.col("kind") == "element") & (F.col("tag") == row))
+        none = F.array().cast("array<struct<col:int,th:boolean,text:string,across:int>>")
+        r = n.select("page_id", "page", (F.row_number().over(W.partitionBy("page").orderBy("node")) - 1).alias("row_no"), "attrs", none.alias("cells"), F.array().cast("array<struct<col:int,text:string>>").alias("heads"))
+        data = F.lit(False)
+    r = r.where(data | F.exists(F.map_keys("attrs"), lambda k: k.startswith("data-")))
     out, bad = {}, []
     for f in fields:
         sources = []
         if f.attr:
-            sources.append(F.nullif(F.regexp_extract(tag, rf"(?i)\s{f.attr}\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit("")))
+            sources.append(F.nullif(F.element_at("attrs", f.attr.lower()), F.lit("")))
         if f.header:
-            sources.append(F.get("cells", F.when(F.array_position("heads", f.header.lower()) > 0, F.array_position("heads", f.header.lower()) - 1).cast("int")))
+            names = [h.lower() for h in ([f.header] if isinstance(f.header, str) else f.header)]
+            called = lambda test: F.get(F.filter("heads", lambda h: test(F.lower(h["text"]))), F.lit(0))["col"]
+            col = F.coalesce(called(lambda t, names=names: t.isin(*names)), called(lambda t, names=names: reduce(Column.__or__, (t.contains(n) for n in names))))
+            sources.append(_cell_at(col))
         if f.position is not None:
-            sources.append(F.get("cells", F.lit(f.position)))
+            sources.append(F.get("cells", F.lit(f.position))["text"])
         text = F.coalesce(*sources)
         value = text if f.type == "string" else expr.to_int(text) if f.type == "int" else expr.to_float(text) if f.type == "double" else expr.truthy(text)
         out[f.name] = value
@@ -114,37 +148,34 @@ def affinity_observations(titles: DataFrame, cells: DataFrame) -> DataFrame:
     return per.select("section_id", "status", "values", F.when(F.col("seen").isNull(), "unknown").otherwise(expr.value_state("values")).alias("state"))
 
 
-def structural_blocks(pages: DataFrame) -> DataFrame:
-    """Tokens (unit_id, block_ord, tok_ord, kind, depth, text, href, block_tag, parent_block, row, col) of list items, paragraphs, headings and cells.
+def structural_blocks(pages: DataFrame, unit: str | None = None) -> DataFrame:
+    """Tokens (unit_id, unit_no, block_ord, tok_ord, kind, depth, text, href, title, block_tag, parent_block, ancestry, row, col) of a page's blocks.
+
+    A page is a unit, or with a ``unit`` class each element that has it, numbered in ``unit_no``. A token belongs to the innermost block around it: a list item, paragraph,
+    heading or cell, numbered as they open; what stands in none is block 0, the root. Kinds are text, reference (a link, with href and title), icon (an image's alt
+    or title), line_break, and diagnostic for a unit without any. ``depth`` is the number of open lists, ``ancestry`` the list items and cells around with
+    their numbers, ``parent_block`` the list item around the block; row and col are a table cell's place in its table, from 1, and null elsewhere.
+    """
+    n = markup.nodes(pages, unit=unit).where("kind != 'element' AND unit IS NOT NULL")
+    tok = F.row_number().over(W.partitionBy("page", "unit", "block").orderBy("node"))
+    spot = lambda c: F.when(F.col("block_tag").isin("td", "th"), F.element_at("cells", -1)[c])
+    attr = lambda a: F.when(F.col("kind") == "reference", F.nullif(F.element_at("attrs", a), F.lit("")))
+    return n.select(F.col("page_id").alias("unit_id"), F.col("unit").alias("unit_no"), F.col("block").alias("block_ord"), tok.alias("tok_ord"), "kind", "depth", "text", attr("href").alias("href"), attr("title").alias("title"), "block_tag", F.col("item").alias("parent_block"), "ancestry", spot("row").alias("row"), spot("col").alias("col"))
+
+
+def grid_units(pages: DataFrame, entry: str, title: str, description: str, placeholder: str = "skill name") -> DataFrame:
+    """(page_id, entry_no, title, description, section, reason) of the elements of the ``entry`` class: the text of the first element of each of the other classes in it.
 
-    A page is a unit; kinds are text, reference (an anchor), icon (an image's alt) and line_break; depth is the number of open
-    lists. ``parent_block`` is the list item around the block, so that ancestors follow from parents; row and col are a table cell's
-    place in the page's rows, from 1, and null elsewhere.
+    An entry without a title, or with the table head's ``placeholder`` for one, or without a description, has a ``reason``: missing_title or missing_description.
     """
-    tokens = F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*>.*?</a>|<img\b[^>]*>|<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>|[^<]+"), 0))
-    t = pages.select(F.col("page_id").alias("unit_id"), tokens.alias("pos", "raw"))
-    low = F.lower("raw")
-    starts = lambda *tags: low.rlike(rf"^<(?:{'|'.join(tags)})[\s>]")
-    opens, shut = starts("ul", "ol"), low.rlike(r"^</(ul|ol)\s*>")
-    block = starts(*BLOCK_TAGS)
-    kind = F.when(low.rlike(r"^<a\b"), "reference").when(low.rlike(r"^<img\b"), "icon").when(low.rlike(r"^<br\b"), "line_break").when(~low.startswith("<"), "text")
-    w = W.partitionBy("unit_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    count = lambda c: F.sum(c.cast("int")).over(w)
-    t = t.withColumns({"depth": F.sum(F.when(opens, 1).when(shut, -1).otherwise(0)).over(w), "block_ord": count(block), "kind": kind, "_rows": count(starts("tr")), "_cells": count(starts("td", "th"))})
-    t = t.withColumns({"block_tag": F.last(F.when(block, F.regexp_extract(low, r"^<([a-z0-9]+)", 1)), True).over(w), "_before": F.coalesce(F.last(F.when(starts("tr"), F.col("_cells")), True).over(w), F.lit(0))})
-    # List items and the tokens that stand in them meet by the depth of the item.
-    item = starts("li")
-    within = F.col("depth") - F.when(F.col("block_tag") == "li", 1).otherwise(0)
-    level = lambda d, is_item: F.struct(d.alias("level"), F.lit(is_item).alias("item"))
-    t = t.select("*", F.explode(F.array_compact(F.array(F.when(item, level(F.col("depth"), True)), F.when(F.col("kind").isNotNull(), level(within, False))))).alias("x"))
-    at_level = W.partitionBy("unit_id", "x.level").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    t = t.withColumn("parent_block", F.when(F.col("x.level") > 0, F.last(F.when(F.col("x.item"), F.col("block_ord")), True).over(at_level))).where("NOT x.item")
-    text = F.when(F.col("kind") == "icon", F.regexp_extract("raw", r"(?i)alt\s*=\s*[\"']([^\"']*)", 1)).when(F.col("kind") == "line_break", "").otherwise(plain("raw"))
-    t = t.withColumn("text", text).where("block_ord > 0 AND (text != '' OR kind = 'line_break')")
-    href = F.nullif(F.regexp_extract("raw", r"(?i)^<a\b[^>]*href\s*=\s*[\"']([^\"']*)", 1), F.lit(""))
-    tok = F.row_number().over(W.partitionBy("unit_id", "block_ord").orderBy("pos"))
-    cell = lambda c: F.when(F.col("block_tag").isin("td", "th"), c)
-    return t.select("unit_id", "block_ord", tok.alias("tok_ord"), "kind", F.greatest(F.lit(0), "depth").alias("depth"), "text", href.alias("href"), "block_tag", "parent_block", cell(F.col("_rows")).alias("row"), cell(F.col("_cells") - F.col("_before")).alias("col"))
+    n = markup.nodes(pages, (entry, title, description)).where(F.element_at("within", entry).isNotNull()).repartition("page")
+    e = n.withColumns({"entry": F.element_at("within", entry), "t": F.element_at("within", title), "d": F.element_at("within", description)})
+    first = lambda c: F.min(F.when(F.col(c) > F.col("entry"), F.col(c))).over(W.partitionBy("page", "entry"))
+    e = e.withColumns({"t0": first("t"), "d0": first("d")})
+    said = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind").isin("text", "reference") & (F.col(c) == F.col(f"{c}0")), F.struct("node", "text")))), lambda x: x["text"]), " ")
+    g = e.groupBy("page", "entry").agg(F.first("page_id").alias("page_id"), F.max(F.when(F.col("node") == F.col("entry"), F.col("section"))).alias("section"), said("t").alias("title"), said("d").alias("description"), F.max("d0").alias("d0"))
+    reason = F.when(F.col("title") == "", "missing_title").when(F.col("d0").isNull() | (F.lower("title") == placeholder), "missing_description")
+    return g.select("page_id", (F.row_number().over(W.partitionBy("page").orderBy("entry")) - 1).alias("entry_no"), "title", "description", F.coalesce("section", F.lit("Unsectioned combat source")).alias("section"), reason.alias("reason"))
 
 
 def skill_rows(pages: DataFrame, specs: Mapping[str, Sequence[Field]], row: str = "tr") -> DataFrame:
