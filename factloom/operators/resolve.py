@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import expr
 from factloom.operators import validate
+from factloom.storage import Scratch
 
 
 def facts_for(requests: DataFrame, facts: DataFrame, key: str = "owner") -> DataFrame:
@@ -39,49 +44,140 @@ def resolve_exact(names: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def resolve_ranked(names: DataFrame, owners: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
-    """Exact, then alias, then containment; the shortest name, then the first; (input, canonical), canonical null when nothing fits.
+    """Exact, then alias, then containment in a name or alias; the shortest name, then the first; (input, canonical), canonical null when nothing fits.
 
-    Exact and alias matches are equi-joins; only inputs left over meet all names by containment. ``owners`` is the reference list.
+    Exact and alias matches are equi-joins; inputs left over are looked up by ``containing``. ``owners`` is the reference list.
     """
     pool = owners if exclude is None else owners.join(exclude.select("name"), "name", "left_anti")
     keyed = names.select("input", expr.folded("input").alias("k")).distinct()
+    called = pool.select("name", F.explode("aliases").alias("a")).where("a IS NOT NULL").select("name", expr.folded("a").alias("k"))
     exact = keyed.join(pool.select("name", expr.folded("name").alias("k")), "k").select("input", "name", F.lit(0).alias("how"))
-    alias = keyed.join(pool.select("name", F.explode_outer("aliases").alias("a")).select("name", expr.folded("a").alias("k")), "k").select("input", "name", F.lit(1).alias("how"))
+    alias = keyed.join(called, "k").select("input", "name", F.lit(1).alias("how"))
     direct = exact.unionByName(alias)
     rest = keyed.join(direct.select("input").distinct(), "input", "left_anti").where("k != ''")
-    inside = rest.join(pool.select("name", expr.folded("name").alias("n")), F.col("n").contains(F.col("k"))).select("input", "name", F.lit(2).alias("how"))
+    texts = pool.select("name", expr.folded("name").alias("text")).unionByName(called.select("name", F.col("k").alias("text")))
+    found = containing(rest.select("k").distinct(), texts.where("text IS NOT NULL"))
+    inside = rest.join(found, "k").select("input", "name", F.lit(2).alias("how"))
     best = direct.unionByName(inside).groupBy("input").agg(F.min(F.struct("how", F.length("name").alias("l"), "name"))["name"].alias("canonical"))
     return keyed.select("input").join(best, "input", "left")
 
 
-def mentions(texts: DataFrame, names: DataFrame, min_token: int = 4) -> DataFrame:
+def containing(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """keys(k) in texts(name, text) -> (k, name): the shortest name, then the first, of those with a text that has the key somewhere in it.
+
+    A text has a key if one of the text's suffixes begins with it. Suffixes, as long as the longest key, are range-partitioned in sorted order; a key is a
+    range of them and goes to the partitions that it meets. There keys and suffixes stream by in one order, and a stack of
+    the keys that begin the current string takes the least name: no pair of a key and a text is ever made.
+    """
+    scratch = Scratch(keys.sparkSession, "containing")
+    longest = keys.agg(F.max(F.length("k"))).first()[0] or 0  # one number
+    tails = texts.where("text != ''").select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring("text", i, longest))).alias("s"))
+    least = tails.groupBy("s").agg(F.min(F.struct(F.length("name").alias("l"), "name")).alias("best"))
+    ranged = scratch.save(least.repartitionByRange("s").sortWithinPartitions("s").withColumn("part", F.spark_partition_id()), "suffixes")
+    ends = [(r["part"], r["a"].encode(), r["b"].encode()) for r in ranged.groupBy("part").agg(F.min("s").alias("a"), F.max("s").alias("b")).orderBy("a").collect()]  # one row a partition
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows, highs = [a for _, a, _ in ends], [b for _, _, b in ends]
+        for batch in batches:
+            parts, out = [], []
+            for k in batch.column(0).to_pylist():
+                key = k.encode()
+                first, last = bisect_left(highs, key), bisect_left(lows, key + b"\xff")
+                parts += [p for p, _, _ in ends[first:last]]
+                out += [k] * (last - first)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(out, pa.string())], ["part", "s"])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: list[list] = []  # keys, each one beginning with the one below, and their least so far
+        part, out = None, []
+
+        def close(s: bytes | None) -> None:
+            while opened and (s is None or not s.startswith(opened[-1][0])):
+                key, best = opened.pop()
+                if best is not None:
+                    out.append((key.decode(), best[1]))
+                    if opened and (opened[-1][1] is None or best < opened[-1][1]):
+                        opened[-1][1] = best
+
+        def batch() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["k", "name"])
+            out.clear()
+            return rows
+
+        for b in batches:
+            for r in b.to_pylist():
+                if r["part"] != part:
+                    close(None)
+                    part = r["part"]
+                s = r["s"].encode()
+                close(s)
+                if r["best"] is None:
+                    opened.append([s, None])
+                elif opened and (opened[-1][1] is None or (r["best"]["l"], r["best"]["name"]) < opened[-1][1]):
+                    opened[-1][1] = (r["best"]["l"], r["best"]["name"])
+            yield batch()
+        close(None)
+        yield batch()
+
+    asked = keys.where("k != ''").select("k").mapInArrow(spread, "part int, s string")
+    rows = ranged.select("part", "s", "best").unionByName(asked, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", "s", F.col("best").isNotNull())
+    found = rows.mapInArrow(sweep, "k string, name string")
+    return found.groupBy("k").agg(F.min(F.struct(F.length("name").alias("l"), "name"))["name"].alias("name"))
+
+
+#: Characters of needles in one automaton, some 60 bytes each.
+AUTOMATON = 2_000_000
+_automata: dict[str, object] = {}
+
+
+def mentions(texts: DataFrame, names: DataFrame, min_token: int = 4, most: int = AUTOMATON) -> DataFrame:
     """texts(text_id, text) x names(name) -> (text_id, name): the lower-cased text contains the name, or one of the name's
     blank-separated tokens of ``min_token`` characters or more; the longest name wins.
 
-    Each needle is looked for by its longest word: an equi-join on up to three characters with the distinct words of all texts
-    finds the words that contain it, an equi-join on these the texts. A needle that is more than a word is then verified on the text.
+    All needles are one automaton (Aho-Corasick), sent to the tasks, which read each text once. Needles of more than ``most`` characters
+    are dealt to several automata by hash; each takes a pass over the texts. Nothing but the best name of a text is shuffled.
     """
-    split = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), 0))
-    tokens = texts.select("text_id", F.explode(split("text")).alias("w"))
     low = F.lower("name")
     long = F.filter(F.split(low, " "), lambda t: F.length(t) >= min_token)
     needles = names.select("name").distinct().where("name != ''").select("name", F.explode(F.array_union(F.array(low), long)).alias("needle"))
-    longest = F.element_at(F.array_sort(F.transform(split("needle"), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    needles = needles.withColumn("key", F.when(F.size(split("needle")) > 0, longest))
-
-    size = F.least(F.length("w"), F.lit(3))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda q: F.transform(F.sequence(F.lit(1), F.length("w") - q + 1), lambda i: F.substring("w", i, q)))))
-    vocabulary = tokens.select("w").distinct().select("w", F.explode(grams).alias("gram"))
-    keys = needles.where("key IS NOT NULL").withColumn("gram", F.substring("key", 1, 3))
-    holders = vocabulary.join(keys, "gram").where(F.col("w").contains(F.col("key"))).select("w", "name", "needle", "key")
-    inside = F.lower("text").contains(F.col("needle"))
-    single = tokens.join(holders.where("needle = key").select("w", "name").distinct(), "w").select("text_id", "name")
-    pairs = tokens.join(holders.where("needle != key").select("w", "name", "needle"), "w").select(F.col("text_id").alias("_id"), "name", "needle").distinct()
-    verified = texts.join(pairs, F.col("text_id").eqNullSafe(F.col("_id"))).where(inside).select("text_id", "name")
-    marks = texts.join(needles.where("key IS NULL").select("name", "needle"), inside).select("text_id", "name")  # needles without a letter or digit, a handful
-
-    hits = single.unionByName(verified).unionByName(marks)
-    return hits.groupBy("text_id").agg(F.min(F.struct((-F.length("name")).alias("l"), "name"))["name"].alias("name"))
+    needles = needles.groupBy("needle").agg(F.min(F.struct((-F.length("name")).alias("l"), "name")).alias("best"))
+    needles = Scratch(texts.sparkSession, "mentions").save(needles.select("needle", "best.*"), "needles")
+    size = needles.agg(F.sum(F.length("needle"))).first()[0] or 0  # one number
+    shards = max(1, -(-size // most))
+    hits = None
+    for k in range(shards):
+        mine = needles.where(F.pmod(F.xxhash64("needle"), F.lit(shards)) == k)
+        listed = [(r["needle"], (r["l"], r["name"])) for r in mine.collect()]  # some ``most`` characters
+        part = _matched(texts, listed) if listed else None
+        hits = part if hits is None else hits.unionByName(part) if part is not None else hits
+    if hits is None:
+        return texts.select("text_id", F.lit(None).cast("string").alias("name")).limit(0)
+    return hits.groupBy("text_id").agg(F.min(F.struct("l", "name"))["name"].alias("name"))
+
+
+def _matched(texts: DataFrame, needles: Sequence[tuple[str, tuple[int, str]]]) -> DataFrame:
+    """(text_id, l, name): the best name of each text that has one of the needles(needle, (rank, name))."""
+    sent, key = texts.sparkSession.sparkContext.broadcast(needles), uuid.uuid4().hex
+    kind = texts.schema["text_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key not in _automata:  # a worker serves several tasks
+            _automata.clear()
+            built = ahocorasick.Automaton()
+            for needle, best in sent.value:
+                built.add_word(needle, best)
+            built.make_automaton()
+            _automata[key] = built
+        find = _automata[key].iter
+        for b in batches:
+            rows, found = [], []
+            for i, t in enumerate(b.column(1)):
+                best = min((best for _, best in find(t.as_py() or "")), default=None)
+                if best is not None:
+                    rows.append(i), found.append(best)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.string())], ["text_id", "l", "name"])
+
+    return texts.select("text_id", F.lower("text").alias("text")).mapInArrow(run, f"text_id {kind}, l int, name string")
 
 
 def compatible_items(owners: DataFrame, items: DataFrame) -> DataFrame:
