@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import expr
+from factloom.storage import Scratch
 
 RECEIPT_COLUMNS = ("active_count", "family_count", "passive_count", "active_state", "passive_state", "awakening_state", "overall")
 
@@ -120,11 +121,50 @@ def set_diversity(candidates: DataFrame, request: str = "request_id", members: s
     return per.join(sim, request, "left").withColumn("warnings", warn)
 
 
+#: Ranges that a round of selection counts.
+BINS = 1024
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """(by, prob, value): exact quantiles, interpolated between neighbours, of each group's finite values; groups without any have no rows.
+
+    Selection by counting: a group's range is cut into ``BINS`` and values counted by range, with partial sums before anything is shuffled; the range that
+    holds the wanted rank is cut again, from its own least to its greatest value, until these are one. No task holds a group's values, and a round's result is
+    at most ``BINS`` rows for a rank. Few rounds are needed, as a range shrinks a thousandfold.
+    """
+    scratch = Scratch(df.sparkSession, "quantiles")
+    x = F.col(value).cast("double")
+    rows = scratch.save(df.select(*by, x.alias("x")).where("x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')"), "rows")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    place = F.col("prob") * (F.col("n") - 1)
+    wanted = scratch.save(sizes.withColumn("prob", F.explode(F.array(*map(F.lit, probs)))).withColumns({"low": F.floor(place), "part": place - F.floor(place)}).withColumn("high", F.least(F.col("low") + 1, F.col("n") - 1)), "wanted")
+    ranks = wanted.select(*by, "lo", "hi", F.explode(F.array("low", "high")).alias("rank")).distinct()
+    state, step = scratch.save(ranks.withColumn("before", F.lit(0).cast("long")), "state0"), 0
+    done = state.where("lo = hi")
+    while (left := state.where("lo < hi")).limit(1).count():
+        step += 1
+        within = rows.join(left.select(*(F.col(c).alias(f"_{c}") for c in by), "lo", "hi", "rank", "before"), reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))))
+        # Halves, so that the width of the widest range is a number; the last range is closed.
+        share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        counted = within.groupBy(*by, "rank", "before", F.least(F.floor(share * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        upto = F.sum("c").over(W.partitionBy(*by, "rank").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow)) + F.col("before")
+        inside = counted.withColumn("upto", upto).where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
+        state = scratch.save(inside.select(*by, "lo", "hi", "rank", (F.col("upto") - F.col("c")).alias("before")), f"state{step}")
+        done = done.unionByName(state.where("lo = hi"))
+    ends = wanted.select(*by, "prob", "part", F.explode(F.array(F.struct("low", F.lit(0).alias("high")), F.struct(F.col("high").alias("low"), F.lit(1).alias("high")))).alias("r")).select(*by, "prob", "part", F.col("r.low").alias("rank"), F.col("r.high").alias("upper"))
+    found = done.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("rank").alias("_rank"), F.col("lo").alias("x"))
+    met = ends.join(found, reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.col("rank") == F.col("_rank")))
+    got = met.groupBy(*by, "prob", "part").agg(F.max(F.when(F.col("upper") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("upper") == 1, F.col("x"))).alias("b"))
+    return got.select(*by, "prob", ((1 - F.col("part")) * F.col("a") + F.col("part") * F.col("b")).alias("value"))
+
+
 def distributions(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """(metric, min, median, max)."""
-    wide = df.agg(*(f(F.col(m).cast("double")).alias(f"{p}_{m}") for m in metrics for p, f in (("min", F.min), ("median", F.median), ("max", F.max))))
-    long = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), *(F.col(f"{p}_{m}").alias(p) for p in ("min", "median", "max"))) for m in metrics)))
-    return wide.select(long.alias("x")).select("x.*")
+    """(metric, min, median, max), by exact selection; null for a metric without values."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics)))
+    long = df.select(each.alias("x")).select("x.*")
+    ends = long.groupBy("metric").agg(F.min("v").alias("min"), F.max("v").alias("max"))
+    middle = quantiles(long, ["metric"], "v", [0.5]).select("metric", F.col("value").alias("median"))
+    return ends.join(middle, "metric", "left").select("metric", "min", "median", "max")
 
 
 def proposal_states(proposals: DataFrame) -> DataFrame:

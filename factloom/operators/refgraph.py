@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,24 +31,32 @@ def classify_destination(units: DataFrame, combat: Sequence[str], excluded: Sequ
 
 
 def topology(roots: DataFrame, edges: DataFrame, ceiling: int = 32) -> DataFrame:
-    """(n_edges, depth, pages, out_degree) of what roots(root) reach over edges(src, dst); pages are the most of any root.
+    """(n_edges, depth, pages, out_degree) of what roots(root) reach over edges(src, dst); pages are the most of any root, itself included.
 
-    Breadth first, one join a level on distinct (root, node) pairs, until nothing new is found or the ceiling is met; levels
-    are written to the shared folder.
+    Breadth first from all roots at once: what has reached a node is a set of roots, 64 to a word, so a table of pairs of a root and a node is
+    never made. A level is a join of the last one's new bits with the edges and a grouping with the words so far, until no bit is new or the
+    ceiling is met; it is written to the shared folder.
     """
     scratch = Scratch(roots.sparkSession, "topology")
     e = scratch.save(edges.select("src", "dst").distinct(), "edges")
-    seen = front = scratch.save(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "level0")
+    numbered = scratch.save(roots.select(F.col("root").alias("node")).distinct().withColumn("id", F.monotonically_increasing_id()), "roots")
+    bit = F.expr("shiftleft(1L, cast(id % 64 AS int))")
+    seen = scratch.save(numbered.groupBy("node", F.expr("id div 64").alias("word")).agg(F.bit_or(bit).alias("bits")).withColumn("fresh", F.col("bits")), "level0")
+    depth = 0
     for d in range(1, ceiling + 1):
-        new = front.join(e, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        front = scratch.save(new.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d)), f"level{d}")
-        if front.limit(1).count() == 0:
+        reached = seen.where("fresh != 0").join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("fresh").alias("now"))
+        both = seen.select("node", "word", "bits", F.lit(0).cast("long").alias("now")).unionByName(reached.withColumn("bits", F.lit(0).cast("long")))
+        merged = both.groupBy("node", "word").agg(F.bit_or("bits").alias("old"), F.bit_or("now").alias("now"))
+        merged = merged.select("node", "word", F.col("old").bitwiseOR(F.col("now")).alias("bits"), F.col("now").bitwiseAND(F.bitwise_not("old")).alias("fresh"))
+        seen = scratch.save(merged, f"level{d}")
+        scratch.drop(f"level{d - 1}")
+        if seen.where("fresh != 0").limit(1).count() == 0:
             break
-        seen = seen.unionByName(front)
-    depth = seen.agg(F.max("depth").alias("depth"))
-    pages = seen.groupBy("root").agg(F.count("*").alias("n")).agg(F.max("n").alias("pages"))
+        depth = d
+    each = seen.groupBy("word").agg(*(F.sum(F.expr(f"shiftrightunsigned(bits, {k}) & 1")).alias(f"n{k}") for k in range(64)))
+    pages = each.agg(F.max(F.greatest(*(f"n{k}" for k in range(64)))).alias("pages"), F.lit(depth).alias("depth"))
     degree = e.groupBy("src").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("out_degree"))
-    return e.agg(F.count("*").alias("n_edges")).crossJoin(depth).crossJoin(pages).crossJoin(degree)  # one row each
+    return e.agg(F.count("*").alias("n_edges")).crossJoin(pages).crossJoin(degree).select("n_edges", "depth", "pages", "out_degree")  # one row each
 
 
 def limits(top: DataFrame, ceilings: Sequence[int] = CEILINGS) -> DataFrame:
@@ -120,13 +128,78 @@ def anchors(tokens: DataFrame, ranges: DataFrame) -> DataFrame:
     return ranges.join(got, "anchor_id", "left")
 
 
+def _same(text: Column | str) -> Column:
+    """Lower case, where that keeps a text's length and so its places."""
+    t = F.col(text) if isinstance(text, str) else text
+    return F.when(F.length(F.lower(t)) == F.length(t), F.lower(t)).otherwise(t)
+
+
+_QUOTE_WORD = r"[\p{L}\p{N}]+"
+
+
+def word_index(blocks: DataFrame) -> DataFrame:
+    """blocks(unit_id, block_ord, text) -> (unit_id, block_ord, word, at): every word, without regard to case, and the character it begins at."""
+    pieces = F.regexp_extract_all(_same("text"), F.lit(rf"{_QUOTE_WORD}|[^\p{{L}}\p{{N}}]+"), 0)
+    each = blocks.select("unit_id", "block_ord", pieces.alias("p"))
+    w = W.partitionBy("unit_id", "block_ord").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    each = each.select("unit_id", "block_ord", F.posexplode("p").alias("i", "word")).withColumn("at", F.coalesce(F.sum(F.length("word")).over(w), F.lit(0)).cast("int"))
+    return each.where(F.col("word").rlike(r"[\p{L}\p{N}]")).select("unit_id", "block_ord", "word", "at")
+
+
 def quote_ranges(blocks: DataFrame, quotes: DataFrame) -> DataFrame:
-    """quotes(anchor_id, unit_id, quote) -> the range where blocks(unit_id, block_ord, text) have it exactly once: (anchor_id, block_ord, from, to, n)."""
-    j = quotes.join(blocks, "unit_id", "left").where("quote != ''")
-    times = F.size(F.split("text", F.concat(F.lit(r"\Q"), "quote", F.lit(r"\E")), -1)) - 1
-    per = j.withColumn("k", F.coalesce(times, F.lit(0))).groupBy("anchor_id").agg(F.sum("k").alias("n"), F.max(F.when(F.col("k") > 0, F.struct("block_ord", (F.instr("text", F.col("quote")) - 1).alias("from"), F.length("quote").alias("l")))).alias("h"))
+    """quotes(anchor_id, unit_id, quote) -> the range where blocks(unit_id, block_ord, text) have it exactly once: (anchor_id, block_ord, from, to, n); ``n`` counts all places, overlapping ones too, without regard to case.
+
+    A quote with words that don't touch its ends is looked up by the one that its unit has least often, in an index of all words and their places;
+    the place less the word's offset is where the quote may begin, and is verified on the text. Other quotes, mostly a word or
+    a part of one, are counted in the texts of their unit.
+    """
+    scratch = Scratch(blocks.sparkSession, "quotes")
+    b = scratch.save(blocks.select("unit_id", "block_ord", "text").where("text IS NOT NULL"), "blocks")
+    q = quotes.select("anchor_id", "unit_id", F.trim(F.regexp_replace("quote", r"\s+", " ")).alias("quote")).where("quote != ''")
+    q = scratch.save(q.withColumn("q", _same("quote")), "quotes")
+    index = scratch.save(word_index(b), "index")
+    inner = F.regexp_extract_all(F.regexp_replace("q", rf"^{_QUOTE_WORD}", " "), F.lit(rf"({_QUOTE_WORD})(?=[^\p{{L}}\p{{N}}])"), 1)
+    words = q.select("anchor_id", "unit_id", F.explode(F.array_distinct(inner)).alias("word"))
+    seen = index.join(words.select("unit_id", "word").distinct(), ["unit_id", "word"], "left_semi").groupBy("unit_id", "word").agg(F.count("*").alias("c"))
+    rare = words.join(seen, ["unit_id", "word"], "left").groupBy("anchor_id").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "word"))["word"].alias("word"))
+    asked = q.join(rare, "anchor_id")
+    # The word's first place in the quote: after one that is no part of a word, and before another such.
+    whole = F.regexp_instr(F.col("q"), F.concat(F.lit(r"(?<![\p{L}\p{N}])"), "word", F.lit(r"(?![\p{L}\p{N}])"))) - 1
+    begins = asked.withColumn("offset", whole).join(index, ["unit_id", "word"]).select("anchor_id", "unit_id", "block_ord", "q", (F.col("at") - F.col("offset")).alias("from")).where("`from` >= 0")
+    met = begins.join(b, ["unit_id", "block_ord"]).where(F.substring(_same("text"), F.col("from") + 1, F.length("q")) == F.col("q")).groupBy("anchor_id", "block_ord", F.length("q").alias("l")).agg(F.count("*").alias("k"), F.min("from").alias("from"))
+    literal = F.concat(F.lit("(?="), F.regexp_replace("q", r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])", r"\\$1"), F.lit(")"))
+    short = q.join(rare, "anchor_id", "left_anti").join(b, "unit_id").select("anchor_id", "block_ord", F.length("q").alias("l"), F.regexp_count(_same("text"), literal).cast("long").alias("k"), (F.regexp_instr(_same("text"), literal) - 1).alias("from")).where("k > 0")
+    per = met.select("anchor_id", "block_ord", "l", "k", "from").unionByName(short).groupBy("anchor_id").agg(F.sum("k").alias("n"), F.max(F.struct("block_ord", "from", "l")).alias("h"))
+    out = q.select("anchor_id").join(per, "anchor_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     one = F.col("n") == 1
-    return per.select("anchor_id", F.when(one, F.col("h.block_ord")).alias("block_ord"), F.when(one, F.col("h.from")).alias("from"), F.when(one, F.col("h.from") + F.col("h.l")).alias("to"), "n")
+    return out.select("anchor_id", F.when(one, F.col("h.block_ord")).alias("block_ord"), F.when(one, F.col("h.from")).alias("from"), F.when(one, F.col("h.from") + F.col("h.l")).alias("to"), "n")
+
+
+def quote_anchors(tokens: DataFrame, quotes: DataFrame) -> DataFrame:
+    """quotes(anchor_id, unit_id, quote) in tokens(unit_id, block_ord, tok_ord, kind, text) -> (anchor_id, unit_id, block_ord, from, to, tok_start, tok_end, tokens_sha256), null where the quote isn't in exactly one place.
+
+    Tokens of a block stand joined by blanks, line breaks and empty ones left out. A quote that isn't there exactly once is looked for again
+    in the text without icons; its range then spans the icons in between.
+    """
+    t = tokens.where("kind != 'line_break' AND text != ''").select("unit_id", "block_ord", "tok_ord", "kind", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    t = Scratch(tokens.sparkSession, "anchors").save(t, "tokens")
+    joined = lambda x: x.groupBy("unit_id", "block_ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_ord", "text"))), lambda y: y["text"]), " ").alias("text"))
+    readable = t.where("kind != 'icon'")
+    full = quote_ranges(joined(t), quotes)
+    again = quotes.join(full.where("n = 1").select("anchor_id"), "anchor_id", "left_anti")
+    plain = quote_ranges(joined(readable), again).where("n = 1").join(quotes.select("anchor_id", "unit_id"), "anchor_id")
+    # From places in the readable text to places in the whole one, by the tokens that the range begins and ends in.
+    at = token_offsets(readable).select("unit_id", "block_ord", "tok_ord", F.col("start").alias("s"), F.col("end").alias("e"))
+    inside = plain.join(at, ["unit_id", "block_ord"]).where((F.col("s") < F.col("to")) & (F.col("e") > F.col("from")))
+    ends = inside.groupBy("anchor_id", "unit_id", "block_ord", "from", "to").agg(F.min(F.struct("tok_ord", "s")).alias("a"), F.max(F.struct("tok_ord", "s")).alias("b"))
+    whole = token_offsets(t).select("unit_id", "block_ord", "tok_ord", "start")
+    first = whole.select("unit_id", "block_ord", F.col("tok_ord").alias("a_ord"), F.col("start").alias("a_start"))
+    last = whole.select("unit_id", "block_ord", F.col("tok_ord").alias("b_ord"), F.col("start").alias("b_start"))
+    ends = ends.withColumns({"a_ord": F.col("a.tok_ord"), "b_ord": F.col("b.tok_ord")}).join(first, ["unit_id", "block_ord", "a_ord"]).join(last, ["unit_id", "block_ord", "b_ord"])
+    moved = ends.select("anchor_id", "unit_id", "block_ord", (F.col("a_start") + F.col("from") - F.col("a.s")).cast("long").alias("from"), (F.col("b_start") + F.col("to") - F.col("b.s")).cast("long").alias("to"))
+    found = full.where("n = 1").join(quotes.select("anchor_id", "unit_id"), "anchor_id").select("anchor_id", "unit_id", "block_ord", F.col("from").cast("long").alias("from"), F.col("to").cast("long").alias("to")).unionByName(moved)
+    ranges = quotes.select("anchor_id", "unit_id").join(found.drop("unit_id"), "anchor_id", "left")
+    return anchors(t, ranges).select("anchor_id", "unit_id", "block_ord", "from", "to", "tok_start", "tok_end", "tokens_sha256")
 
 
 def validate_anchors(stored: DataFrame, tokens: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Pages, blocks and texts are made from rows of the given tables, so that SQL can
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from factloom.functions import expr
 from factloom.operators import aggregate, assemble, evaluate, ranked, reconcile, refgraph, resolve, rules, scoring, validate
 from factloom.plans.common import Registry
 from factloom.plans.contest import _CAPS, _FACT_SQL, _ROLES_SQL, _facts, _scores
+from factloom.plans.web import REGIONS_SQL, _edges
 from factloom.sources import pages, tables
 from factloom.storage import Scratch, table
 from factloom.streaming import jobs
@@ -512,14 +515,27 @@ def destination_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = "e AS (SELECT r_name AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON r_regionkey = n_regionkey UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier)"
 
 
-@R.add(f"""WITH {_EDGES}, a AS (SELECT src AS root, dst AS node FROM e JOIN region ON r_name = src), b AS (SELECT root, dst AS node FROM a JOIN e ON node = src), p AS (SELECT max(n) AS n FROM (SELECT root, 1 + count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY 1)), d AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM e GROUP BY src))
-  SELECT CAST(3 AS INTEGER) AS max_depth, CAST(least(p.n + 1, 8) AS INTEGER) AS max_pages, CAST(least(d.n + 1, 64) AS INTEGER) AS max_frontier FROM p, d""")
+@R.add(f"{REGIONS_SQL} SELECT CAST(least(depth + 1, 3) AS INTEGER) AS max_depth, CAST(least(pages + 1, 8) AS INTEGER) AS max_pages, CAST(least(out_degree + 1, 64) AS INTEGER) AS max_frontier FROM top")
 def traversal_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from factloom.plans.web import _edges
-
     return refgraph.limits(refgraph.topology(table(spark, sf_dir, "region").select(F.col("r_name").alias("root")), _edges(spark, sf_dir)))
 
 
+@R.add(f"""WITH {_LINES}, b AS (SELECT l_orderkey AS u, n, 'Line ' || l_linenumber || ' (' || l_returnflag || ') has ' || q || ' of a\\Eb aaa, it''s ' || l_linestatus AS t FROM li), a AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY n) AS k FROM b),
+  q AS (SELECT u * 10 + 1 AS anchor_id, u, lower(') HAS ' || q || ' of') AS q FROM (SELECT l_orderkey AS u, q FROM li WHERE n = 1) UNION ALL SELECT o_orderkey * 10 + 2, o_orderkey, x FROM orders, (SELECT 'a\\eb' AS x) UNION ALL SELECT o_orderkey * 10 + 3, o_orderkey, 'aa' FROM orders UNION ALL SELECT o_orderkey * 10 + 4, o_orderkey, 'line 1 (' FROM orders UNION ALL SELECT o_orderkey * 10 + 5, o_orderkey, 'not in it' FROM orders),
+  h AS (SELECT anchor_id, n AS block_ord, i FROM (SELECT anchor_id, n, lower(t) AS t, q, unnest(range(0, length(t))) AS i FROM q JOIN b USING (u)) WHERE substr(t, i + 1, length(q)) = q),
+  g AS (SELECT anchor_id, count(*) AS n, max(block_ord) AS block_ord, max(i) AS i FROM h GROUP BY 1)
+  SELECT q.anchor_id, CASE WHEN n = 1 THEN block_ord END AS block_ord, CASE WHEN n = 1 THEN CAST(i AS INTEGER) END AS "from", CASE WHEN n = 1 THEN CAST(i + length(q) AS INTEGER) END AS "to", coalesce(n, 0) AS n FROM q LEFT JOIN g USING (anchor_id)""")
+def quote_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five quotes of every order in the texts of its lines: of several words, with a backslash, overlapping, with a part of a word, and absent."""
+    li, o = _lines(spark, sf_dir), table(spark, sf_dir, "orders")
+    text = F.concat(F.lit("Line "), "l_linenumber", F.lit(" ("), "l_returnflag", F.lit(") has "), _q(), F.lit(" of a\\Eb aaa, it's "), "l_linestatus")
+    b = li.select(F.col("l_orderkey").alias("unit_id"), F.col("n").alias("block_ord"), text.alias("text"))
+    quote = lambda k, q: o.select((F.col("o_orderkey") * 10 + k).alias("anchor_id"), F.col("o_orderkey").alias("unit_id"), F.lit(q).alias("quote"))
+    first = li.where("n = 1").select((F.col("l_orderkey") * 10 + 1).alias("anchor_id"), F.col("l_orderkey").alias("unit_id"), F.concat(F.lit(") HAS  "), _q(), F.lit(" of")).alias("quote"))
+    quotes = reduce(DataFrame.unionByName, [first, quote(2, "a\\Eb"), quote(3, "aa"), quote(4, "line 1 ("), quote(5, "not in it")])
+    return refgraph.quote_ranges(b, quotes)
+
+
 @R.add(f"""WITH {_LINES} SELECT l_orderkey * 100 + n AS anchor_id, q >= 10 AND l_returnflag != 'R' AS ok FROM li""")
 def anchor_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors over three tokens of every line, stored, and checked where small quantities have changed and lines R were stored one token short."""

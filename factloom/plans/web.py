@@ -70,8 +70,13 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
-@R.add("""WITH e AS (SELECT r_name AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON r_regionkey = n_regionkey UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier), a AS (SELECT r_name AS root, dst AS node, 1 AS d FROM region JOIN e ON src = r_name), b AS (SELECT root, dst AS node, 2 AS d FROM a JOIN e ON node = src)
-  SELECT (SELECT count(*) FROM e) AS n_edges, CAST(2 AS INTEGER) AS depth, (SELECT max(n) FROM (SELECT root, 1 + count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) GROUP BY 1)) AS pages, (SELECT max(n) FROM (SELECT src, count(*) AS n FROM e GROUP BY 1)) AS out_degree""")
+#: Reach of roots r(root) over edges e(src, dst) by recursion, and its measures.
+TOPOLOGY_SQL = """s AS (SELECT root, root AS node, 0 AS d FROM r UNION SELECT s.root, e.dst, s.d + 1 FROM s JOIN e ON s.node = e.src WHERE s.d < {ceiling}),
+  f AS (SELECT root, node, min(d) AS d FROM s GROUP BY 1, 2), top AS (SELECT (SELECT count(*) FROM e) AS n_edges, CAST((SELECT max(d) FROM f) AS INTEGER) AS depth, (SELECT max(n) FROM (SELECT count(*) AS n FROM f GROUP BY root)) AS pages, (SELECT max(n) FROM (SELECT count(*) AS n FROM e GROUP BY src)) AS out_degree)"""
+REGIONS_SQL = "WITH RECURSIVE e AS (SELECT r_name AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON r_regionkey = n_regionkey UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier), r AS (SELECT r_name AS root FROM region), " + TOPOLOGY_SQL.format(ceiling=32)
+
+
+@R.add(f"{REGIONS_SQL} SELECT * FROM top")
 def reference_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refgraph.topology(table(spark, sf_dir, "region").select(F.col("r_name").alias("root")), _edges(spark, sf_dir))
 
@@ -93,6 +98,26 @@ def bounded_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("root", "depth", "status").agg(F.count("*").alias("n"))
 
 
+def _sold_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from each part to the parts on the lines after its first and its last sale: a graph with cycles."""
+    li = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("at"), F.col("l_partkey").alias("src"))
+    # The line after a line of an order: its number plus one.
+    after = li.select(F.struct(F.col("at.l_orderkey").alias("l_orderkey"), (F.col("at.l_linenumber") - 1).alias("l_linenumber")).alias("at"), F.col("src").alias("dst"))
+    pairs = li.join(after, "at").groupBy("src").agg(F.min_by("dst", F.struct("at", "dst")).alias("a"), F.max_by("dst", F.struct("at", "dst")).alias("b"))
+    return pairs.select("src", F.explode(F.array("a", "b")).alias("dst")).distinct()
+
+
+_SOLD_SQL = """p AS (SELECT a.l_partkey AS src, b.l_partkey AS dst, a.l_orderkey AS o, a.l_linenumber AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+  e AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY o, n, dst) AS x, row_number() OVER (PARTITION BY src ORDER BY o DESC, n DESC, dst DESC) AS y FROM p) WHERE x = 1 OR y = 1 GROUP BY 1, 2), r AS (SELECT DISTINCT min(p_partkey) AS root FROM part GROUP BY p_type, p_size)"""
+
+
+@R.add(f"WITH RECURSIVE {_SOLD_SQL}, {TOPOLOGY_SQL.format(ceiling=12)} SELECT * FROM top")
+def cyclic_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first part of each type and size leads to within twelve sales."""
+    roots = table(spark, sf_dir, "part").groupBy("p_type", "p_size").agg(F.min("p_partkey").alias("root")).select("root")
+    return refgraph.topology(roots, _sold_next(spark, sf_dir), 12)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     state = F.when(F.col("event_type") == "view", "cached").when(F.col("event_type") == "click", "parsed").when(F.col("event_type") == "purchase", "loaded").when(F.col("event_type") == "error", "failed").otherwise("pending")
@@ -120,6 +145,15 @@ def run_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.run_latency(e.select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts")), 3600, "6 hours").withColumn("started", F.unix_micros("started"))
 
 
+@R.add("""WITH o AS (SELECT user_id AS run_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS n FROM events), w AS (SELECT *, sum(n) OVER (PARTITION BY run_id ORDER BY ts) AS k FROM o),
+  r AS (SELECT min(ts) AS a, date_diff('microsecond', min(ts), max(ts)) / 1e6 AS l FROM w GROUP BY run_id, k)
+  SELECT epoch_us(time_bucket(INTERVAL 1 DAY, a)) AS "from", count(*) AS runs, round(quantile_cont(l, 0.5), 4) AS p50, round(quantile_cont(l, 0.95), 4) AS p95, count(*) FILTER (l > 3600) AS breaches FROM r GROUP BY time_bucket(INTERVAL 1 DAY, a)""")
+def latency_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    out = jobs.latency_rollup(jobs.run_latency(e.select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("ts")), 3600, "6 hours"))
+    return out.select(F.unix_micros("from").alias("from"), "runs", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "breaches")
+
+
 @R.add("SELECT conv_id AS run_id, turn AS call_number, length(text) AS tokens, CAST(sum(length(text)) OVER w AS BIGINT) AS used, CAST(greatest(0, 800 - sum(length(text)) OVER w) AS BIGINT) AS left, sum(length(text)) OVER w > 800 AS over FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)".replace(" AS left,", ' AS "left",').replace(" AS over ", ' AS "over" '))
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")

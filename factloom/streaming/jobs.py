@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from factloom.operators import ranked
+from factloom.operators import aggregate, ranked
 
 
 BUCKETS = 64
@@ -73,8 +73,19 @@ def run_latency(events: DataFrame, slo_seconds: float, gap: str = "30 minutes",
 
 
 def latency_rollup(runs: DataFrame, width: str = "1 day") -> DataFrame:
-    """Median and 95th percentile of latency by tumbling window of the start."""
-    return runs.groupBy(F.window("started", width).alias("w")).agg(F.count("*").alias("runs"), F.percentile("latency_s", 0.5).alias("p50"), F.percentile("latency_s", 0.95).alias("p95"), F.count_if("breach").alias("breaches")).select(F.col("w.start").alias("from"), "runs", "p50", "p95", "breaches")
+    """runs(started, latency_s, breach) -> (from, runs, p50, p95, breaches): median and 95th percentile of latency by tumbling window of the start.
+
+    In batches by exact selection (``aggregate.quantiles``), so that no task holds a window's latencies; on streams by Spark's own percentile.
+    """
+    w = F.window("started", width)["start"]
+    counts = [F.count("*").alias("runs"), F.count_if("breach").alias("breaches")]
+    if runs.isStreaming:
+        out = runs.groupBy(w.alias("from")).agg(*counts, F.percentile("latency_s", 0.5).alias("p50"), F.percentile("latency_s", 0.95).alias("p95"))
+        return out.select("from", "runs", "p50", "p95", "breaches")
+    r = runs.select(w.alias("from"), "latency_s", "breach")
+    q = aggregate.quantiles(r, ["from"], "latency_s", [0.5, 0.95])
+    wide = q.groupBy("from").agg(*(F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"))))
+    return r.groupBy("from").agg(*counts).join(wide, "from", "left").select("from", "runs", "p50", "p95", "breaches")
 
 
 def running_budget(calls: DataFrame, cap: int) -> DataFrame:
