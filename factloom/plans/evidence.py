@@ -563,7 +563,7 @@ def parsed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         stream = spark.readStream.schema(pages_.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
         jobs.start_incremental_parse(stream, lambda b: b.select("page_id", "url", F.sha2("html", 256).alias("sha256")), f"{root}/store", ["page_id"], f"{root}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{root}/store").select("page_id", "url", "sha256")
+    return jobs.Store(spark, f"{root}/store").read().select("page_id", "url", "sha256")
 
 
 _STATE = "CASE event_type WHEN 'view' THEN 'cached' WHEN 'click' THEN 'parsed' WHEN 'purchase' THEN 'loaded' WHEN 'error' THEN 'failed' ELSE 'pending' END"
@@ -583,3 +583,20 @@ def tracked_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     jobs.track_targets(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return ranked.top(spark.read.parquet(f"{root}/out/*"), ["target_id"], [F.desc("batch")]).drop("batch")
+
+
+@R.add("""SELECT conv_id AS run_id, turn AS call_number, CAST(length(text) AS BIGINT) AS tokens, CAST(sum(length(text)) OVER w AS BIGINT) AS used, CAST(greatest(0, 800 - sum(length(text)) OVER w) AS BIGINT) AS "left", sum(length(text)) OVER w > 800 AS "over" FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""")
+def streamed_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as a stream of calls, dealt to files out of order; a last call of no run, days later, lets the watermark pass them all."""
+    root = Scratch(spark, "budget").root
+    at = lambda c: F.timestamp_seconds(F.lit(1_700_000_000) + F.col(c))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("call_number"), F.length("text").cast("long").alias("tokens"), at("turn").alias("ts"))
+    c.repartition(4, "call_number").write.parquet(f"{root}/in/a")
+    spark.range(864_000, 864_001).select(F.lit(None).cast("long").alias("run_id"), F.lit(1).cast("long").alias("call_number"), F.lit(0).cast("long").alias("tokens"), at("id").alias("ts")).write.parquet(f"{root}/in/b")
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 3).parquet(f"{root}/in/*")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/b{n}")
+
+    jobs.running_budget(stream, 800, "1 day").writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out/*").where("run_id IS NOT NULL")
