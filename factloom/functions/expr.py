@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -237,7 +238,7 @@ def slug(text: Column | str) -> Column:
 
 
 def qualifiers(text: Column | str, domains: Mapping[str, Sequence[str]] | None = None, triggers: Sequence[str] = ()) -> Column:
-    """Struct of magnitude, turns, activations, max stacks, stacking, trigger, and the values of each domain that occur."""
+    """Struct of magnitude, turns, activations, max stacks, stacking, trigger, the values of each domain that occur, and the kinds of eligibility they speak of."""
     t = F.coalesce(col(text), F.lit(""))
     take = lambda p, g=1: F.regexp_extract(t, p, g)
     magnitude = take(r"(?<!\w)(\d+(?:\.\d+)?)\s*%")
@@ -246,10 +247,13 @@ def qualifiers(text: Column | str, domains: Mapping[str, Sequence[str]] | None =
         trigger = F.when(t.rlike(rf"(?i)\b{name.replace('_', ' ')}\b"), name).otherwise(trigger)
     stacks = F.coalesce(F.nullif(take(r"(?i)\bmax(?:imum)?\s+(\d+)\s+stacks?\b"), F.lit("")), take(r"(?i)\bup to\s+(\d+)\s+stacks?\b"))
     behaviour = F.when(t.rlike(r"(?i)\b(?:overwrite|replaces?)\b"), "overwrites").when(t.rlike(r"(?i)\bstacks?\b"), "stackable").otherwise("not_applicable")
-    hits = [F.array_compact(F.array(*(F.when(t.rlike(rf"(?i)\b{v}\b"), F.lit(v)) for v in values))).alias(d) for d, values in (domains or {}).items()]
+    hits = {d: F.array_compact(F.array(*(F.when(t.rlike(rf"(?i)\b{re.escape(v)}\b"), F.lit(v)) for v in values))) for d, values in (domains or {}).items()}
+    some = lambda d: F.size(hits[d]) > 0 if d in hits else F.lit(False)
+    kinds = [(some("equipment_class"), "weapon_class"), (some("element"), "element"), (t.rlike(r"(?i)\b[A-Za-z' -]+ personality\b"), "personality"), (some("recipient_status"), "status"), (t.rlike(r"(?i)\bstacks?\b"), "stack"), (some("recipient_position"), "position")]
     return F.struct(
         magnitude.alias("magnitude_value"), F.when(magnitude != "", "percent").otherwise("").alias("magnitude_unit"), take(r"(?i)\b(\d+)\s+(?:times?|activations?|uses?)\b").alias("activation_count"),
-        take(r"(?i)\bfor\s+(\d+)\s+turns?\b").alias("duration_turns"), trigger.alias("trigger"), behaviour.alias("stacking_behavior"), stacks.alias("max_stacks"), *hits,
+        take(r"(?i)\bfor\s+(\d+)\s+turns?\b").alias("duration_turns"), trigger.alias("trigger"), behaviour.alias("stacking_behavior"), stacks.alias("max_stacks"),
+        *(h.alias(d) for d, h in hits.items()), F.array_compact(F.array(*(F.when(c, F.lit(k)) for c, k in kinds))).alias("eligibility"),
     )
 
 

@@ -36,6 +36,14 @@ def labels_and_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", expr.fit_label(F.when(F.col("p_size") >= 40, 500).when(F.col("p_size") >= 20, 250).otherwise(1)).alias("fit"), expr.confidence_label(F.col("p_size") % 4).alias("confidence"), expr.cut("p_name", 8).alias("short"))
 
 
+@R.add("SELECT o_orderkey, array_to_string(list_slice(l, 1, 3), ',') AS items, CAST(greatest(0, len(l) - 3) AS INTEGER) AS omitted FROM (SELECT o_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS l FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)")
+def limited_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, li = _t(spark, sf_dir, "orders", "lineitem")
+    parts = li.join(o, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("l"))
+    x = expr.limit_items("l", 3)
+    return parts.select("o_orderkey", F.concat_ws(",", x["items"].cast("array<string>")).alias("items"), x["omitted"].alias("omitted"))
+
+
 @R.add("SELECT s_suppkey FROM supplier WHERE lower(trim(s_name)) NOT IN (SELECT lower(trim(s_name)) FROM supplier WHERE s_suppkey % 9 = 0)")
 def drop_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
@@ -70,18 +78,18 @@ def request_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.validate_requests(req)[1]
 
 
-@R.add("SELECT r_regionkey AS request_id, l_orderkey * 100 + l_linenumber AS fact_id, l_suppkey AS owner FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey WHERE l_quantity > 45")
+@R.add("SELECT r_regionkey AS request_id, l_orderkey * 100 + l_linenumber AS fact_id, l_suppkey AS owner FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey")
 def roster_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, s, li = _t(spark, sf_dir, "nation", "supplier", "lineitem")
     req = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_regionkey").alias("request_id")).agg(F.collect_list("s_suppkey").alias("roster"))
-    facts = li.where("l_quantity > 45").select(F.col("l_suppkey").alias("owner"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("fact_id"))
+    facts = li.select(F.col("l_suppkey").alias("owner"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("fact_id"))
     return resolve.facts_for(req, facts).select("request_id", "fact_id", "owner")
 
 
-@R.add("SELECT s_suppkey AS owner, coalesce(t, '') AS traits FROM supplier LEFT JOIN (SELECT l_suppkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS t FROM lineitem WHERE l_quantity > 48 GROUP BY 1) ON s_suppkey = l_suppkey")
+@R.add("SELECT s_suppkey AS owner, coalesce(t, '') AS traits FROM supplier LEFT JOIN (SELECT l_suppkey, string_agg(DISTINCT l_returnflag || CAST(l_quantity AS INTEGER), ',' ORDER BY l_returnflag || CAST(l_quantity AS INTEGER)) AS t FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey")
 def owner_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, li = _t(spark, sf_dir, "supplier", "lineitem")
-    edges = li.where("l_quantity > 48").select(F.col("l_suppkey").alias("owner"), F.col("l_returnflag").alias("trait"))
+    edges = li.select(F.col("l_suppkey").alias("owner"), F.concat("l_returnflag", F.col("l_quantity").cast("int")).alias("trait"))
     return resolve.with_traits(s.select(F.col("s_suppkey").alias("owner")), edges).select("owner", F.concat_ws(",", "traits").alias("traits"))
 
 
@@ -93,12 +101,12 @@ def bound_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.bind_units(units, facts)[0]
 
 
-@R.add("SELECT l_orderkey AS slot, p.p_partkey AS fact, CASE WHEN p.p_partkey % 2 = 0 THEN 'available' ELSE 'unavailable' END AS status FROM lineitem JOIN part p ON l_partkey = p.p_partkey WHERE l_quantity > 40")
+@R.add("SELECT l_orderkey AS slot, p.p_partkey AS fact, CASE WHEN p.p_partkey % 2 = 0 THEN 'available' ELSE 'unavailable' END AS status FROM lineitem JOIN part p ON l_partkey = p.p_partkey")
 def slot_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p = _t(spark, sf_dir, "lineitem", "part")
     even = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("fact"), F.array("p_name").alias("effects"))
     twice = p.where("p_partkey % 4 = 1").select(F.col("p_partkey").alias("fact"), F.array("p_name").alias("effects"))
-    slots = li.where("l_quantity > 40").select(F.col("l_orderkey").alias("slot"), F.col("l_partkey").alias("fact"))
+    slots = li.select(F.col("l_orderkey").alias("slot"), F.col("l_partkey").alias("fact"))
     return resolve.selected_evidence(slots, even.unionByName(twice).unionByName(twice)).drop("effects")
 
 
@@ -240,10 +248,10 @@ def stale_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.select_stale(t, a, "2").select("target_id", "reason")
 
 
-@R.add("SELECT s_suppkey AS sidekick, p AS placement, CASE p WHEN 'main' THEN coalesce(a, '') ELSE coalesce(b, '') END AS fact_ids FROM supplier, (VALUES ('main'), ('sub')) AS t(p), LATERAL (SELECT string_agg(DISTINCT f, ',' ORDER BY f) AS a, string_agg(DISTINCT CASE WHEN k THEN f END, ',' ORDER BY CASE WHEN k THEN f END) AS b FROM (SELECT CAST(l_partkey AS VARCHAR) AS f, l_returnflag = 'A' AS k FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 47))")
+@R.add("SELECT s_suppkey AS sidekick, p AS placement, CASE p WHEN 'main' THEN coalesce(a, '') ELSE coalesce(b, '') END AS fact_ids FROM supplier, (VALUES ('main'), ('sub')) AS t(p), LATERAL (SELECT string_agg(DISTINCT f, ',' ORDER BY f) AS a, string_agg(DISTINCT CASE WHEN k THEN f END, ',' ORDER BY CASE WHEN k THEN f END) AS b FROM (SELECT CAST(l_partkey AS VARCHAR) AS f, l_returnflag = 'A' AS k FROM lineitem WHERE l_suppkey = s_suppkey))")
 def sidekick_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, li = _t(spark, sf_dir, "supplier", "lineitem")
-    facts = li.where("l_quantity > 47").select(F.col("l_suppkey").alias("sidekick"), F.col("l_partkey").cast("string").alias("fact_id"), F.when(F.col("l_returnflag") == "A", "aura").otherwise("charge").alias("kind"))
+    facts = li.select(F.col("l_suppkey").alias("sidekick"), F.col("l_partkey").cast("string").alias("fact_id"), F.when(F.col("l_returnflag") == "A", "aura").otherwise("charge").alias("kind"))
     return scoring.sidekick_entities(s.select(F.col("s_suppkey").alias("sidekick")), facts).withColumn("fact_ids", F.concat_ws(",", "fact_ids"))
 
 
@@ -316,10 +324,10 @@ def dimension_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.dimension_status(w, ["length", "parity"])
 
 
-@R.add("SELECT o_orderkey AS occ_id, coalesce(d, '') AS dependencies, d IS NULL AS gap FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS d FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON l_orderkey = o_orderkey")
+@R.add("SELECT o_orderkey AS occ_id, coalesce(d, '') AS dependencies, d IS NULL AS gap FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS d FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
 def attached_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = _t(spark, sf_dir, "orders", "lineitem")
-    rel = li.where("l_quantity > 40").select(F.col("l_partkey").alias("rel_id"), F.col("l_orderkey").alias("owner_occ"), F.col("l_returnflag").alias("value"))
+    rel = li.select(F.col("l_partkey").alias("rel_id"), F.col("l_orderkey").alias("owner_occ"), F.col("l_returnflag").alias("value"))
     rows, _ = evaluate.attach_relationships(o.select(F.col("o_orderkey").alias("occ_id")), rel)
     return rows.withColumn("dependencies", F.concat_ws(",", "dependencies"))
 

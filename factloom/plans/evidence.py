@@ -181,6 +181,23 @@ def aura_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.aura_fields(_lines(spark, sf_dir).select(F.col("l_orderkey").alias("unit_id"), F.col("n").alias("ord"), t.alias("text")))
 
 
+@R.add(f"""WITH {_LINES} SELECT l_orderkey * 100 + n AS fact_id, CAST(q AS VARCHAR) || '.5' AS magnitude_value, 'percent' AS magnitude_unit, CASE WHEN l_linenumber = 3 THEN CAST(n AS VARCHAR) ELSE '' END AS activation_count, CASE WHEN l_returnflag = 'A' THEN CAST(n AS VARCHAR) ELSE '' END AS duration_turns,
+  CASE WHEN l_returnflag = 'R' THEN 'on_hit' WHEN l_linestatus = 'F' THEN 'battle_start' ELSE 'none' END AS "trigger", CASE WHEN q > 40 THEN 'overwrites' WHEN q <= 20 THEN 'stackable' ELSE 'not_applicable' END AS stacking_behavior,
+  CASE WHEN q > 10 AND q <= 20 THEN '5' WHEN q <= 10 THEN '10' ELSE '' END AS max_stacks, CASE WHEN q % 2 = 0 THEN 'fire' ELSE 'fire,water' END AS element, CASE WHEN l_linenumber = 1 THEN 'bow' ELSE '' END AS equipment_class,
+  concat_ws(',', CASE WHEN l_linenumber = 1 THEN 'weapon_class' END, 'element', CASE WHEN l_linenumber = 2 THEN 'personality' END, CASE WHEN q <= 20 THEN 'stack' END) AS eligibility FROM li""")
+def qualifier_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as effect texts that name every qualifier, or don't."""
+    said = lambda when, *text: F.when(when, F.concat(*text)).otherwise("")
+    line = lambda k: F.col("l_linenumber") == k
+    text = F.concat(
+        F.lit("X9% no; deals "), _q(), F.lit(".5 % Fire damage"), said(_q() % 2 == 1, F.lit(" or WATER damage")), said(line(3), F.lit(", "), "n", F.lit(" times")), said(_flag() == "A", F.lit(" for "), "n", F.lit(" turns")), said(_flag() == "R", F.lit(" on hit")),
+        said((_flag() != "R") & (F.col("l_linestatus") == "F"), F.lit(" at Battle Start")), said(line(1), F.lit(" with a bow")), said(line(2), F.lit(" by Quick personality")), said(_q() > 40, F.lit(", replaces others")), said((_q() > 10) & (_q() <= 20), F.lit(", max 5 stacks")), said(_q() <= 10, F.lit(", up to 10 stacks")), F.lit("."),
+    )
+    q = expr.qualifiers(text, {"element": ["fire", "water"], "equipment_class": ["bow", "sword"]}, ["none", "on_hit", "battle_start"])
+    li = _lines(spark, sf_dir).select((F.col("l_orderkey") * 100 + F.col("n")).alias("fact_id"), q.alias("q"))
+    return li.select("fact_id", "q.*").withColumns({c: F.concat_ws(",", c) for c in ("element", "equipment_class", "eligibility")})
+
+
 @R.add("SELECT o_orderkey AS id, o_orderstatus AS status, o_orderstatus != 'P' AS accepted FROM orders")
 def artifact_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as a report and read back under a version gate."""
@@ -349,11 +366,11 @@ def request_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.items_for(requests, p.select(F.col("p_partkey").alias("item_id"), slot.alias("slot"), F.col("p_brand").alias("weapon")))
 
 
-@R.add("""WITH a AS (SELECT l_suppkey, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS skills FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45 GROUP BY 1), b AS (SELECT s_suppkey, string_agg(n_name, ',' ORDER BY n_name) AS auras FROM supplier JOIN nation ON n_regionkey = s_suppkey % 7 GROUP BY 1)
+@R.add("""WITH a AS (SELECT l_suppkey, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS skills FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT s_suppkey, string_agg(n_name, ',' ORDER BY n_name) AS auras FROM supplier JOIN nation ON n_regionkey = s_suppkey % 7 GROUP BY 1)
   SELECT s.s_suppkey AS sidekick, coalesce(skills, '') AS skills, coalesce(auras, '') AS auras FROM supplier s LEFT JOIN a ON l_suppkey = s.s_suppkey LEFT JOIN b ON b.s_suppkey = s.s_suppkey""")
 def sidekick_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, li, n = (table(spark, sf_dir, t) for t in ("supplier", "lineitem", "nation"))
-    skills = li.where("l_returnflag = 'A' AND l_quantity > 45").select(F.col("l_suppkey").alias("sidekick"), F.col("l_partkey").cast("string").alias("skill")).distinct()
+    skills = li.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("sidekick"), F.col("l_partkey").cast("string").alias("skill")).distinct()
     auras = s.join(n, F.col("n_regionkey") == F.col("s_suppkey") % 7).select(F.col("s_suppkey").alias("sidekick"), F.col("n_name").alias("aura"))
     out = resolve.with_children(s.select(F.col("s_suppkey").alias("sidekick")), {"skills": (skills, ["skill"]), "auras": (auras, ["aura"])}, "sidekick")
     return out.select("sidekick", F.concat_ws(",", "skills.skill").alias("skills"), F.concat_ws(",", "auras.aura").alias("auras"))

@@ -151,10 +151,11 @@ def mechanic_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(",", expr.needle_tags("text", needles)).alias("tags"))
 
 
-@R.add("""SELECT doc_id, regexp_extract(text, '([0-9]+(?:\\.[0-9]+)?)\\s*%', 1) AS magnitude_value, regexp_extract(text, '(?i)version ([0-9]+)', 1) AS version,
-  CASE WHEN regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_])(?:overwrite|replaces?)(?:[^A-Za-z0-9_]|$)') THEN 'overwrites' WHEN regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_])stacks?(?:[^A-Za-z0-9_]|$)') THEN 'stackable' ELSE 'not_applicable' END AS stacking
-  FROM (SELECT doc_id, substr(regexp_replace(text, '[^ -~]', '.', 'g'), 1) AS text FROM documents WHERE lang = 'en')""")
+@R.add("""SELECT doc_id, m AS magnitude_value, CASE WHEN m != '' THEN 'percent' ELSE '' END AS magnitude_unit, regexp_extract(text, '(?i)(?:^|[^A-Za-z0-9_])([0-9]+)\\s+(?:times?|activations?|uses?)(?:[^A-Za-z0-9_]|$)', 1) AS activation_count,
+  regexp_extract(text, '(?i)(?:^|[^A-Za-z0-9_])for\\s+([0-9]+)\\s+turns?(?:[^A-Za-z0-9_]|$)', 1) AS duration_turns, CASE WHEN regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_])the(?:[^A-Za-z0-9_]|$)') THEN 'the' ELSE 'none' END AS "trigger",
+  CASE WHEN regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_])(?:overwrite|replaces?)(?:[^A-Za-z0-9_]|$)') THEN 'overwrites' WHEN regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9_])stacks?(?:[^A-Za-z0-9_]|$)') THEN 'stackable' ELSE 'not_applicable' END AS stacking_behavior,
+  coalesce(nullif(regexp_extract(text, '(?i)(?:^|[^A-Za-z0-9_])max(?:imum)?\\s+([0-9]+)\\s+stacks?(?:[^A-Za-z0-9_]|$)', 1), ''), regexp_extract(text, '(?i)(?:^|[^A-Za-z0-9_])up to\\s+([0-9]+)\\s+stacks?(?:[^A-Za-z0-9_]|$)', 1)) AS max_stacks
+  FROM (SELECT *, regexp_extract(text, '(?:^|[^A-Za-z0-9_])([0-9]+(?:\\.[0-9]+)?)\\s*%', 1) AS m FROM (SELECT doc_id, regexp_replace(text, '[^ -~]', '.', 'g') AS text FROM documents))""")
 def qualifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").withColumn("text", F.regexp_replace("text", "[^ -~]", "."))
-    q = expr.qualifiers("text")
-    return d.select("doc_id", F.regexp_extract("text", r"([0-9]+(?:\.[0-9]+)?)\s*%", 1).alias("magnitude_value"), F.regexp_extract("text", r"(?i)version ([0-9]+)", 1).alias("version"), q["stacking_behavior"].alias("stacking"))
+    d = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", "[^ -~]", "."))
+    return d.select("doc_id", expr.qualifiers("text", triggers=["none", "the"]).alias("q")).select("doc_id", "q.*").drop("eligibility")
