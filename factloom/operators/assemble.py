@@ -74,38 +74,54 @@ def limit_violations(lineup_items: DataFrame, limits: DataFrame) -> DataFrame:
 def allocate(options: DataFrame, limits: DataFrame, owners: int = 6, width: int = 256, search_on: bool = True) -> DataFrame:
     """options(lineup_id, owner, option, item_ids) -> (lineup_id, options, exhausted): the first feasible choice of one option an owner.
 
-    Owners go in order of fewest options, then by id; each step adds every option that keeps all items within their limit
-    and keeps the ``width`` smallest option vectors of a line-up, so that a vector found is the first one. Line-ups without
-    one whose vectors were cut off are searched again, sixteen times as wide, until they have one or none was cut off;
-    without ``search_on`` they are ``exhausted``, which leaves open whether there is one.
+    Owners go in order of fewest options, then by id; a step an owner. What can still follow depends only on how many copies of which items are used, so
+    of all vectors with the same use the least one stays: one pass finds the first vector of all. Items that no later owner has among the options are
+    left out of the use. ``exhausted`` is then false. Without ``search_on`` only the ``width`` smallest vectors of a line-up stay at each step;
+    a line-up without one whose vectors were cut off is ``exhausted``, which leaves open whether there is one.
     """
-    scratch = Scratch(options.sparkSession, "allocate")
-    done, k = None, 0
-    while True:
-        found = scratch.save(_allocate(options, limits, owners, width), f"round{k}")
-        if not search_on:
-            return found
-        open_ = found.where("exhausted").select("lineup_id")
-        done = found.where("NOT exhausted") if done is None else done.unionByName(found.where("NOT exhausted"))
-        if open_.limit(1).count() == 0:
-            return done
-        options, width, k = options.join(open_, "lineup_id", "left_semi"), width * 16, k + 1
+    return _by_use(options, limits, owners) if search_on else _allocate(options, limits, owners, width)
 
 
-def _allocate(options: DataFrame, limits: DataFrame, owners: int, width: int) -> DataFrame:
+_CAPPED = "array<struct<item_id:string,limit:int>>"
+
+
+def _stepped(options: DataFrame, limits: DataFrame) -> DataFrame:
+    """(lineup_id, owner, option, capped, o_step): the limited items of each option, and its owner's step."""
     n = options.groupBy("lineup_id", "owner").agg(F.count("*").alias("n"))
     at = n.withColumn("step", F.row_number().over(W.partitionBy("lineup_id").orderBy("n", "owner"))).drop("n")
-    caps = limits.where("limit IS NOT NULL")
-    none = F.array().cast("array<struct<item_id:string,limit:int>>")
-    items = options.select("lineup_id", "owner", "option", F.posexplode_outer("item_ids").alias("p", "item_id")).join(caps, "item_id", "left")
-    o = items.groupBy("lineup_id", "owner", "option").agg(F.sort_array(F.collect_list(F.when(F.col("limit").isNotNull(), F.struct("item_id", "limit")))).alias("capped"))
-    o = o.join(at, ["lineup_id", "owner"]).select("lineup_id", "owner", "option", "capped", F.col("step").alias("o_step"))
+    items = options.select("lineup_id", "owner", "option", F.posexplode_outer("item_ids").alias("p", "item_id")).join(limits.where("limit IS NOT NULL"), "item_id", "left")
+    o = items.groupBy("lineup_id", "owner", "option").agg(F.sort_array(F.collect_list(F.when(F.col("limit").isNotNull(), F.struct("item_id", "limit")))).cast(_CAPPED).alias("capped"))
+    return o.join(at, ["lineup_id", "owner"]).select("lineup_id", "owner", "option", "capped", F.col("step").alias("o_step"))
+
+
+def _by_use(options: DataFrame, limits: DataFrame, owners: int) -> DataFrame:
+    scratch = Scratch(options.sparkSession, "allocate")
+    o = scratch.save(_stepped(options, limits), "options")
+    last = o.select("lineup_id", "o_step", F.explode("capped.item_id").alias("item_id")).groupBy("lineup_id", "item_id").agg(F.max("o_step").alias("last"))
+    last = last.groupBy("lineup_id").agg(F.map_from_entries(F.collect_list(F.struct("item_id", "last"))).alias("last"))
+    lineups = scratch.save(options.select("lineup_id").distinct().join(last, "lineup_id", "left"), "lineups")
+    state = lineups.select("lineup_id", "last", F.array().cast(_CAPPED).alias("used"), F.struct(F.array().cast("array<int>").alias("vector"), F.array().cast("array<struct<owner:string,option:int>>").alias("chosen")).alias("best"))
+    for step in range(1, owners + 1):
+        j = state.join(o.where(F.col("o_step") == step).drop("o_step"), "lineup_id", "left")
+        now = F.concat("used", F.coalesce("capped", F.array().cast(_CAPPED)))
+        j = j.withColumn("now", now).where(F.forall("now", lambda x: F.size(F.filter("now", lambda y: y["item_id"] == x["item_id"])) <= x["limit"]))
+        picked = F.struct(F.col("owner").cast("string").alias("owner"), F.col("option").cast("int").alias("option"))
+        grown = F.struct(F.concat("best.vector", F.array(F.col("option").cast("int"))).alias("vector"), F.concat("best.chosen", F.array(picked)).alias("chosen"))
+        open_ = F.array_sort(F.filter("now", lambda x: F.element_at("last", x["item_id"]) > step))
+        state = scratch.save(j.select("lineup_id", "last", open_.alias("used"), F.when(F.col("option").isNull(), F.col("best")).otherwise(grown).alias("best")).groupBy("lineup_id", "used").agg(F.min("best").alias("best")).join(lineups, "lineup_id"), f"step{step}")
+    best = state.groupBy("lineup_id").agg(F.min("best").alias("b"))
+    return lineups.select("lineup_id").join(best, "lineup_id", "left").select("lineup_id", F.col("b.chosen").alias("options"), F.lit(False).alias("exhausted"))
+
+
+def _allocate(options: DataFrame, limits: DataFrame, owners: int, width: int) -> DataFrame:
+    o, none = _stepped(options, limits), F.array().cast(_CAPPED)
+    at = o.select("lineup_id", F.col("o_step").alias("step"))
     # Of each line-up one row that isn't live stays to the end and tells whether vectors were cut off.
     start = options.select("lineup_id").distinct().select("lineup_id", F.array().cast("array<struct<owner:string,option:int>>").alias("chosen"), F.array().cast("array<int>").alias("vector"), none.alias("used"), F.lit(False).alias("cut"), F.lit(0).alias("done"))
     state = start.withColumn("live", F.explode(F.array(F.lit(False), F.lit(True))))
     for step in range(1, owners + 1):
         j = state.join(o.where(F.col("o_step") == step).withColumn("live", F.lit(True)), ["lineup_id", "live"], "left")
-        used = F.concat("used", F.coalesce("capped", none)).cast("array<struct<item_id:string,limit:int>>")
+        used = F.concat("used", F.coalesce("capped", none)).cast(_CAPPED)
         j = j.withColumn("now", used).where(F.forall("now", lambda x: F.size(F.filter("now", lambda y: y["item_id"] == x["item_id"])) <= x["limit"]))
         has = F.col("option").isNotNull()
         picked = F.struct(F.col("owner").cast("string").alias("owner"), F.col("option").cast("int").alias("option"))

@@ -1,6 +1,8 @@
-from pyspark.sql import functions as F
+import itertools
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import aggregate, assemble, evaluate, ranked, reconcile, refgraph, resolve, rules, scoring, validate
 from factloom.sources import pages
@@ -106,6 +108,21 @@ def test_allocate_searches_on_where_vectors_were_cut(spark):
     assert [[x["option"] for x in r["options"]] for r in assemble.allocate(tight, caps, 2, width=1).collect()] == [[2, 1]]
 
 
+def test_allocate_equals_brute_force(spark):
+    r, rows_, want = random.Random(12), [], {}
+    caps = {"a": 1, "b": 2, "c": 1, "d": 3, "free": None}
+    for k in range(40):
+        owners = {f"o{i}": [sorted(r.choices([*caps, "unknown"], k=r.randrange(0, 4))) for _ in range(r.randrange(1, 5))] for i in range(r.randrange(1, 6))}
+        rows_ += [(k, o, i, items) for o, options in owners.items() for i, items in enumerate(options)]
+        order = sorted(owners, key=lambda o: (len(owners[o]), o))
+        fits = lambda v: all(sum(items.count(c) for items in v) <= n for c, n in caps.items() if n is not None)
+        want[k] = next(([(o, i) for o, i in zip(order, vector)] for vector in itertools.product(*(range(len(owners[o])) for o in order)) if fits([owners[o][i] for o, i in zip(order, vector)])), None)
+    o = spark.createDataFrame(rows_, "lineup_id int, owner string, option int, item_ids array<string>")
+    got = assemble.allocate(o, spark.createDataFrame(list(caps.items()), "item_id string, limit int"), 5).collect()
+    assert {r["lineup_id"]: r["options"] and [tuple(x) for x in r["options"]] for r in got} == want and not any(r["exhausted"] for r in got)
+    assert None in want.values()
+
+
 def test_rules_compiled_and_joined_agree(spark, monkeypatch):
     facts = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("a", "red fox"), ("a", "red dog"), ("b", "Red fox"), ("c", "fox"), ("a", None), (None, "red")])], "fact_id int, record_type string, text string")
     table = spark.createDataFrame([("r1", ["a", "b"], "(?i)red", ["dog"], "k", "v", "up", "t", "match"), ("r2", ["a"], "fox$", [], "k", "w", None, "t", "text"), ("r3", ["c", "a"], "o", ["cat", "red"], "k", "x", "up", "t", "match")], "rule_id string, record_types array<string>, pattern string, negatives array<string>, kind string, value string, direction string, target string, phase string")
