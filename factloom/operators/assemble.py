@@ -189,10 +189,12 @@ def score_lineups(lineups: DataFrame, scores: DataFrame, gaps: DataFrame, extras
     m = lineups.select("request_id", "lineup_id", F.posexplode("members").alias("pos", "owner")).join(scores.where("score > 0"), ["request_id", "owner"])
     in_front = F.col("pos") < front
     part = lambda c, *roles: F.sum(F.when(c & F.col("role").isin(*roles), F.col("score")).otherwise(0))
-    per = m.groupBy("lineup_id").agg(part(F.lit(True), "primary_damage").alias("primary"), part(in_front, *SURVIVAL).alias("sustain"), part(~in_front, "reserve_utility", "mp_sustain").alias("reserve"))
-    breadth = m.where(in_front).groupBy("lineup_id", "owner").agg(F.countDistinct("role").alias("n")).groupBy("lineup_id").agg(F.sum(F.col("n") - 1).alias("synergy"))
-    over = m.where(in_front).groupBy("lineup_id", "role").agg(F.countDistinct("owner").alias("n")).groupBy("lineup_id").agg(F.sum(F.greatest(F.lit(0), F.col("n") - 2)).alias("overlap"))
-    out = lineups.join(gaps.drop("request_id"), "lineup_id").join(per, "lineup_id", "left").join(breadth, "lineup_id", "left").join(over, "lineup_id", "left")
+    # By member, with the roles that one in front has; then by line-up.
+    each = m.groupBy("lineup_id", "owner").agg(part(F.lit(True), "primary_damage").alias("primary"), part(in_front, *SURVIVAL).alias("sustain"), part(~in_front, "reserve_utility", "mp_sustain").alias("reserve"), F.collect_set(F.when(in_front, F.col("role"))).alias("roles"))
+    per = each.groupBy("lineup_id").agg(*(F.sum(c).alias(c) for c in ("primary", "sustain", "reserve")), F.sum(F.greatest(F.lit(0), F.size("roles") - 1)).alias("synergy"), F.flatten(F.collect_list("roles")).alias("roles"))
+    crowd = lambda role: F.greatest(F.lit(0), F.size(F.filter("roles", lambda x: x == role)) - 2)
+    per = per.withColumn("overlap", F.aggregate(F.array_distinct("roles"), F.lit(0), lambda n, role: n + crowd(role))).drop("roles")
+    out = lineups.join(gaps.drop("request_id"), "lineup_id").join(per, "lineup_id", "left")
     names = ("weakness_bonus", "setup_needed", "setup_missing", "packages_ready", "sidekick_score", "assumptions", "uncertain")
     out = out.join(extras, "lineup_id", "left") if extras is not None else out.select("*", *(F.lit(0).alias(n) for n in names))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -155,15 +155,18 @@ def skill_packages(per_fact: DataFrame, families: DataFrame, profiles: DataFrame
     The profile's score is a sum over facts, so the best set is the set of the best. families(fact_id, family_id, bonus) names each
     fact's family; limits(request_id, owner, slots). Ties go to the larger family id.
     """
-    f = per_fact.join(families, "fact_id")
-    size = families.join(per_fact.select("request_id", "owner", "fact_id").distinct(), "fact_id").groupBy("request_id", "owner").agg(F.countDistinct("family_id").alias("n"))
-    own = f.join(profiles, "role").groupBy("request_id", "owner", "profile", "family_id").agg((F.sum(F.col("score") * F.col("weight")) + F.max("bonus")).alias("s"))
-    every = families.join(per_fact.select("request_id", "owner", "fact_id").distinct(), "fact_id").select("request_id", "owner", "family_id", "bonus").distinct()
-    listed = profiles.agg(F.sort_array(F.collect_set("profile")).alias("p"))  # one row: the handful of profiles
-    every = every.crossJoin(F.broadcast(listed)).withColumn("profile", F.explode("p")).drop("p")
-    own = every.join(own, ["request_id", "owner", "profile", "family_id"], "left").withColumn("s", F.coalesce("s", "bonus"))
+    # Facts meet their families once: the roles' scores of each family, and its bonus.
+    f = per_fact.join(families, "fact_id").groupBy("request_id", "owner", "family_id", "role").agg(F.sum("score").alias("score"), F.max("bonus").alias("bonus"))
+    scored = F.map_from_entries(F.collect_list(F.when(F.col("role").isNotNull(), F.struct("role", "score")))).alias("scores")
+    f = f.groupBy("request_id", "owner", "family_id").agg(scored, F.max("bonus").alias("bonus"))
+    f = f.withColumn("n", F.count("*").over(W.partitionBy("request_id", "owner")))
+    listed = profiles.groupBy("profile").agg(F.collect_list(F.struct("role", "weight")).alias("weights")).agg(F.collect_list(F.struct("profile", "weights")).alias("p"))  # one row: the handful of profiles
+    f = f.where(F.col("n") >= least).crossJoin(F.broadcast(listed)).withColumn("x", F.explode("p"))
+    kind = "long" if per_fact.schema["score"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "double"
+    s = F.aggregate("x.weights", F.lit(0).cast(kind), lambda t, w: (t + F.coalesce(F.element_at("scores", w["role"]), F.lit(0)) * w["weight"]).cast(kind))
+    own = f.select("request_id", "owner", F.col("x.profile").alias("profile"), "family_id", (s + F.col("bonus")).alias("s"))
     w = W.partitionBy("request_id", "owner", "profile").orderBy(F.desc("s"), F.desc("family_id"))
-    picked = own.withColumn("r", F.row_number().over(w)).join(limits, ["request_id", "owner"]).join(size, ["request_id", "owner"]).where((F.col("n") >= least) & (F.col("r") <= F.col("slots")))
+    picked = own.withColumn("r", F.row_number().over(w)).join(limits, ["request_id", "owner"]).where(F.col("r") <= F.col("slots"))
     return picked.groupBy("request_id", "owner", "profile").agg(F.sort_array(F.collect_list("family_id")).alias("family_ids"), F.sum("s").alias("score"))
 
 
