@@ -130,8 +130,8 @@ def _words(buf: np.ndarray, starts: np.ndarray, hasher: _Hasher, prefix: np.ndar
 
 
 class _Anchors:
-    def __init__(self) -> None:
-        self.bytes, self.words = _Hasher(), _Hasher()
+    def __init__(self, passages: bool) -> None:
+        self.bytes, self.words, self.passages = _Hasher(), _Hasher(), passages
 
     def __call__(self, docs: list[bytes]) -> Iterator[tuple[Unit, tuple[np.ndarray, ...]]]:
         """Of each unit (document number, position, anchor hash, context hash, context from, to) for every anchor."""
@@ -140,6 +140,8 @@ class _Anchors:
         symbols = _TABLE[buf]
         prefix = self.bytes(symbols)
         yield BYTES, self.find(BYTES, self.bytes, prefix, n)
+        if not self.passages:
+            return
         starts = np.cumsum(n) - n
         words, first = _words(buf, starts, self.bytes, prefix)
         of = np.searchsorted(first, np.append(starts, len(buf)))
@@ -210,9 +212,9 @@ _NAMES = ["kind", "a", "c", "key", "pos", "lo", "hi", "n"]
 _SCHEMA = "kind int, a long, c long, key long, pos int, lo int, hi int, n long"
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], limits: Limits, passages: bool) -> Iterator[pa.RecordBatch]:
     """(key, text) -> combined contexts."""
-    find, held, count = _Anchors(), [], 0
+    find, held, count = _Anchors(passages), [], 0
 
     def flush() -> pa.RecordBatch:
         nonlocal count
@@ -232,7 +234,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[
     size = 0
     for b in batches:
         for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if len(t) < 2 * WORDS - 1:  # neither a string nor a passage
+            if len(t) < (2 * WORDS - 1 if passages else LENGTH):  # neither a string nor a passage
                 continue
             keys.append(k), docs.append(t)
             size += len(t)
@@ -326,7 +328,7 @@ def _split(key: int, text: bytes, wanted: list[dict], parts: int) -> tuple[np.nd
             i = np.flatnonzero(x <= y)
             p = pos[i]
             common = hasher.of(prefix, p - d0, p - d1 + unit.length)
-            a = _of_unit(_mix(common + _U(d0 * 4096 + width) * _U(_BASES[2])), unit)
+            a = _of_unit(_mix(common + _U((d0 * 4096 + width) * _BASES[2] % (1 << 64))), unit)
             l, h = p - y[i], p - x[i] + unit.length
             found.append((np.full(len(i), key, np.int64), p, a, _context(hasher.of(prefix, l, h), p - l, h - l), l, h, n[i]))
     return tuple(map(np.concatenate, zip(*found, strict=True)))
@@ -520,8 +522,8 @@ def _merged(lo: list[int], hi: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", limits: Limits = Limits()) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept, passages) for every row: removed runs (from, to, in bytes), the other bytes, and runs of words (from, to) that other documents have."""
+def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", limits: Limits = Limits(), passages: bool = True) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept, passages) for every row: removed runs (from, to, in bytes), the other bytes, and runs of words (from, to) that other documents have; without ``passages`` these aren't looked for."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -566,15 +568,15 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", limi
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            sizes, runs, kept, passages = [], [], [], []
+            sizes, runs, kept, others = [], [], [], []
             for packed, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
                 t = expand(packed)
                 found, shared = (_merged([s["from"] for s in spans or () if s["unit"] == u], [s["to"] for s in spans or () if s["unit"] == u]) for u in (0, 1))
                 cuts = [0, *(x for run in found for x in run), len(t)]
-                sizes.append(len(t)), runs.append([{"from": x, "to": y} for x, y in found]), passages.append([{"from": x, "to": y} for x, y in shared])
+                sizes.append(len(t)), runs.append([{"from": x, "to": y} for x, y in found]), others.append([{"from": x, "to": y} for x, y in shared])
                 kept.append(b"".join(t[x:y] for x, y in zip(cuts[::2], cuts[1::2], strict=True)))
             run = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(runs, run), pa.array(kept, pa.binary()), pa.array(passages, run)], ["doc_id", "n_bytes", "spans", "kept", "passages"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(runs, run), pa.array(kept, pa.binary()), pa.array(others, run)], ["doc_id", "n_bytes", "spans", "kept", "passages"])
 
     packed = rows.select("doc_id", "key", "text").mapInArrow(pack, f"doc_id {kind}, key long, text binary")
 
@@ -600,7 +602,7 @@ def repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", limi
             return contexts, contexts.limit(0), False
         return contexts.join(large, "a", "left_anti"), contexts.join(large, "a", "left_semi"), True
 
-    found = scratch.save(rows.select("key", "text").mapInArrow(lambda b: _anchor_rows(b, limits), _SCHEMA), "anchors")
+    found = scratch.save(rows.select("key", "text").mapInArrow(lambda b: _anchor_rows(b, limits, passages), _SCHEMA), "anchors")
     contexts = found.where("kind = 1")
     counted = found.where("kind = 2").groupBy("a").agg(F.sum("n").alias("n"))
     heavy = scratch.save(counted.where(F.col("n") >= max(limits.heavy_all, contexts.count() // HEAVY_KEYS)).select("a"), "heavy")  # at most HEAVY_KEYS rows

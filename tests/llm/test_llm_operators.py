@@ -225,6 +225,14 @@ def test_suffix_dedup_equals_brute_force(spark, empty):
     assert suffix_dedup.repeats(empty).count() == 0
 
 
+def test_suffix_dedup_without_passages(spark):
+    df = spark.createDataFrame(edited_copies(), "doc_id long, text string")
+    key = lambda r: (r["doc_id"], r["n_bytes"], tuple(r["spans"]), bytes(r["kept"]))
+    both = [suffix_dedup.repeats(df, passages=p).collect() for p in (True, False)]
+    assert sorted(map(key, both[0]), key=repr) == sorted(map(key, both[1]), key=repr)
+    assert any(r["passages"] for r in both[0]) and not any(r["passages"] for r in both[1])
+
+
 def edited_copies():
     """Near copies with edits of their own, copies of some, a line with ever other words around it, and repeats within a text."""
     r, base, line = random.Random(9), words(21, 400, 900).split(), words(22, 45, 900)
