@@ -180,6 +180,10 @@ def _matched(texts: DataFrame, needles: Sequence[tuple[str, tuple[int, str]]]) -
     return texts.select("text_id", F.lower("text").alias("text")).mapInArrow(run, f"text_id {kind}, l int, name string")
 
 
+#: Parts that items without any requirement are dealt to.
+GENERIC_PARTS = 16
+
+
 def compatible_items(owners: DataFrame, items: DataFrame) -> DataFrame:
     """owners(owner, weapon, traits) x items(item_id, trait, weapon_req, weapon_group) on F06.
 
@@ -193,8 +197,9 @@ def compatible_items(owners: DataFrame, items: DataFrame) -> DataFrame:
     group = F.size(F.coalesce("weapon_group", F.array().cast(expr.STRINGS))) > 0
     loose = i.where("t IS NULL AND weapon_req IS NULL")
     by_group = o.join(loose.where(group).withColumn("g", F.explode(F.array_distinct("weapon_group"))), F.col("weapon") == F.col("g"))
-    always = loose.where(~group).agg(F.sort_array(F.collect_set("item_id")).alias("ids"))  # one row: the catalogue's generic items
-    free = o.crossJoin(F.broadcast(always)).withColumn("item_id", F.explode("ids"))
+    # Every owner has every generic item: the items are dealt to parts, and owners go to each of them.
+    always = loose.where(~group).select("item_id", F.pmod(F.xxhash64("item_id"), F.lit(GENERIC_PARTS)).alias("part")).distinct()
+    free = o.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GENERIC_PARTS - 1).cast("long")))).join(always, "part")
     parts = [x.select("owner", "item_id") for x in (by_trait, by_weapon, by_group, free)]
     return reduce(DataFrame.unionByName, parts).distinct()
 

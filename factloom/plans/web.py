@@ -63,6 +63,19 @@ def structural_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("unit_id", "kind").agg(F.count("*").alias("n"), F.max("depth").cast("long").alias("depth"), F.max("block_ord").cast("long").alias("blocks"))
 
 
+@R.add(f"""WITH RECURSIVE k AS (SELECT page_id, unnest(l) AS raw, generate_subscripts(l, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '{_TOKENS}') AS l FROM pages)), x AS (SELECT *, lower(regexp_extract(raw, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS n, starts_with(raw, '</') AS shut FROM k),
+  y AS (SELECT *, n != '' AND NOT shut AND n NOT IN ('br', 'meta', 'img', 'a', 'script', 'style') AS opens, NOT shut AND regexp_matches(n, '^(h[1-6]|p|li|td|th|dt|dd|blockquote|figcaption|title)$') AS block, NOT shut AND n IN ('p', 'div', 'ul', 'ol', 'nav', 'article', 'footer', 'h1', 'section', 'table') AS ends_p FROM x),
+  w AS (SELECT page_id, CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS names, CAST([] AS INTEGER[]) AS blocks, 0 AS nb FROM pages
+    UNION ALL SELECT page_id, pos, CASE WHEN opens THEN list_append(names[1:d], n) ELSE names[1:d] END, CASE WHEN opens THEN list_append(blocks[1:d], CASE WHEN block THEN nb + 1 ELSE 0 END) ELSE blocks[1:d] END, CASE WHEN block THEN nb + 1 ELSE nb END
+    FROM (SELECT w.page_id, y.pos, names, blocks, nb, n, opens, block, CASE WHEN shut AND list_contains(names, n) THEN len(names) - list_position(list_reverse(names), n) WHEN ends_p AND list_contains(names, 'p') THEN len(names) - list_position(list_reverse(names), 'p') ELSE len(names) END AS d FROM w JOIN y ON y.page_id = w.page_id AND y.pos = w.pos + 1)),
+  t AS (SELECT y.page_id, coalesce(list_last(list_filter(blocks, lambda b: b > 0)), 0) AS block_ord, CASE WHEN n = 'a' AND NOT shut THEN 'reference' WHEN n = 'img' THEN 'icon' WHEN n = 'br' THEN 'line_break' ELSE 'text' END AS kind FROM y JOIN w ON w.page_id = y.page_id AND w.pos = y.pos
+    WHERE n IN ('br', 'img') OR n = 'a' AND NOT shut AND trim(regexp_replace(raw, '<[^>]*>', '', 'g')) != '' OR NOT starts_with(raw, '<') AND trim(replace(regexp_replace(raw, '\s+', ' ', 'g'), '&nbsp;', ' ')) != '')
+  SELECT page_id AS unit_id, CAST(block_ord AS INTEGER) AS block_ord, kind, count(*) AS n FROM t GROUP BY ALL""")
+def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tokens of each kind each block of the pages has; some of their paragraphs and inline elements aren't closed."""
+    return pages.structural_blocks(table(spark, sf_dir, "pages")).groupBy("unit_id", "block_ord", "kind").agg(F.count("*").alias("n"))
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, n, s = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
     a = r.join(n, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
