@@ -7,7 +7,8 @@ share a variant, those that share one are verified on all 64 bits. Shuffling is
 emit once.
 
 A variant's fingerprints are joined into a spanning forest of verified links as they stream by in sorted order, so a
-dense group gives fewer links than it has members and never its pairs. A task passes its links on whenever it holds
+dense group gives fewer links than it has members and never its pairs; a key of more than ``PAIRS`` fingerprints is split by bits on
+which linked ones have to be equal somewhere. A task passes its links on whenever it holds
 ``HELD`` of them, and starts a new forest.
 
 Edge cases: a null text is empty; a text without words has fingerprint 0, which links like any other. Null ids belong
@@ -16,7 +17,7 @@ to their group but never name it, unless no member has an id. Repeated rows each
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,9 @@ SEED = 42
 _BLOCKS = ((0, 22), (22, 43), (43, 64))  # from bit, to bit
 _SMALL = 32
 HELD = 200_000
+#: Members of a group up to which each is compared with all before it; and bits of a set that larger groups are split by.
+PAIRS = 20_000
+SET = 6
 
 
 def fingerprint(text: str | None) -> int:
@@ -102,20 +106,66 @@ class _Forest:
             self.links.append((a, b))
 
     def group(self, fps: np.ndarray) -> None:
-        """A large group, row by row: a link to each tree that the row touches."""
-        if len({self.root(x) for x in fps.tolist()}) == 1:
+        """A large group of different fingerprints: links between all of it that is within the radius, none within a tree."""
+        if len({self.root(x) for x in fps.tolist()}) > 1:
+            _Dense(fps, self.link).split(np.arange(len(fps)), 0)
+
+
+class _Dense:
+    """Links of a group by splitting it: of ``RADIUS`` + 1 sets of bits, fingerprints within the radius are equal on one at least.
+
+    So those equal on a set are a part of the group, and a part that is still large is split again by other bits, the most even ones of it. Parts
+    whose members are in one tree already are left out.
+    """
+
+    def __init__(self, fps: np.ndarray, link: Callable[[int, int], None]):
+        self.fps, self.link, self.parent = fps, link, np.arange(len(fps))
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        r = self.parent[at]
+        while True:
+            up = self.parent[r]
+            if np.array_equal(up, r):
+                self.parent[at] = r
+                return r
+            r = up
+
+    def split(self, at: np.ndarray, fixed: int) -> None:
+        r = self.roots(at)
+        if (r == r[0]).all():
+            return
+        fps = self.fps[at]
+        masks = [np.uint64(sum(1 << b for b in bits)) for bits in self.sets(fps, fixed)] if len(at) > PAIRS else []
+        parts = [np.unique(fps & m, return_inverse=True, return_counts=True)[1:] for m in masks]
+        if not parts or sum(int((n * n).sum()) for _, n in parts) > len(at) ** 2 // 2:  # splitting has to halve the pairs
+            self.pairs(at)
             return
-        label = np.arange(len(fps))
-        for i in range(1, len(fps)):
-            near = np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= RADIUS)
-            if not len(near):
-                continue
-            trees, first = np.unique(label[near], return_index=True)
-            for j in near[first].tolist():
-                self.link(int(fps[i]), int(fps[j]))
-            label[i] = trees[0]
-            if len(trees) > 1:
-                label[:i][np.isin(label[:i], trees)] = trees[0]
+        for mask, (code, n) in zip(masks, parts, strict=True):
+            order = np.argsort(code, kind="stable")
+            for x, y in zip((np.cumsum(n) - n).tolist(), np.cumsum(n).tolist(), strict=True):
+                if y > x + 1:
+                    self.split(at[order[x:y]], fixed | int(mask))
+
+    def sets(self, fps: np.ndarray, fixed: int) -> list[list[int]]:
+        """``RADIUS`` + 1 sets of bits that split the group most evenly; none if too few bits differ."""
+        ones = np.array([np.count_nonzero(fps & np.uint64(1 << b)) for b in range(64)])
+        even = np.minimum(ones, len(fps) - ones)
+        best = [b for b in np.argsort(-even, kind="stable").tolist() if even[b] and not fixed >> b & 1][: SET * (RADIUS + 1)]
+        return [best[k :: RADIUS + 1] for k in range(RADIUS + 1)] if len(best) > RADIUS else []
+
+    def pairs(self, at: np.ndarray) -> None:
+        """Row by row: a link to each tree that the row touches."""
+        fps, label = self.fps[at], self.roots(at)
+        for i in range(1, len(at)):
+            near = np.flatnonzero((label[:i] != label[i]) & (np.bitwise_count(fps[:i] ^ fps[i]) <= RADIUS))
+            if len(near):
+                trees, first = np.unique(label[near], return_index=True)
+                for j in near[first].tolist():
+                    self.link(int(fps[i]), int(fps[j]))
+                all_trees = np.append(trees, label[i])
+                least = int(all_trees.min())
+                self.parent[all_trees] = least
+                label[np.isin(label, all_trees)] = least
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
