@@ -254,7 +254,7 @@ def rank(index: DataFrame, queries: DataFrame, scratch: Scratch, *, top: int = T
                     query, at, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                     for q, score in _evaluate(sent.value, terms, df, docs, tf, m):
                         best = least.setdefault(q, [0])  # the best scores so far, of which the last is to be met
-                        hit = np.flatnonzero(score > 0 if len(best) < top else score >= best[-1])
+                        hit = np.flatnonzero(score >= (1 if len(best) < top else max(1, best[-1])))
                         hit = hit[np.argsort(-score[hit], kind="stable")[:top]]
                         if len(hit):
                             query.append(np.full(len(hit), q)), at.append(hit), scores.append(score[hit])

@@ -55,10 +55,11 @@ def test_equals_plain_scores(spark, segment, block, partitions):
     assert sorted(map(tuple, got), key=repr) == sorted(plain(*texts()), key=repr)
 
 
-def test_few_places(spark):
+@pytest.mark.parametrize("top", [1, 2])
+def test_few_places(spark, top):
     docs, queries = frames(spark)
-    got = rs.search(docs, queries, top=2, segment=100).select("item_id", "rank", "doc_id", "score").collect()
-    assert sorted(map(tuple, got), key=repr) == sorted(plain(*texts(), top=2), key=repr)
+    got = rs.search(docs, queries, top=top, segment=100).select("item_id", "rank", "doc_id", "score").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(plain(*texts(), top=top), key=repr)
 
 
 def test_shared_terms_become_sets(spark):
