@@ -147,8 +147,8 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", n_max: int
 
 
 class _Judge:
-    def __init__(self, profiles: dict[str, list[int]], n_max: int, size: int, furthest: float | None = None):
-        self.langs, self.n_max, self.size, self.furthest = sorted(profiles), n_max, size, furthest
+    def __init__(self, profiles: dict[str, list[int]], n_max: int, size: int, furthest: float | None = None, cache: int = CACHE):
+        self.langs, self.n_max, self.size, self.furthest, self.cache = sorted(profiles), n_max, size, furthest, cache
         self.listed = np.unique(np.concatenate([np.array(x, np.int64) for x in profiles.values()])) if profiles else np.empty(0, np.int64)
         self.listed_ranks = np.full((len(self.listed) + 1, len(self.langs)), -1, np.int32)  # the last row for all other n-grams
         for j, name in enumerate(self.langs):
@@ -161,7 +161,7 @@ class _Judge:
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         found = [[w for w in WORDS.findall(t.lower()) if w.isalpha() or any(map(str.isalpha, w))] if t and self.langs else [] for t in texts]
-        if len(self.words) > CACHE:
+        if len(self.words) > self.cache:
             self.forget()
         for words in found:  # numbers first, so that all new words of the texts are worked out at once
             for _ in map(self.words.__getitem__, words):
@@ -196,17 +196,17 @@ class _Judge:
         return self.langs[best], second / (second + float(far[best])) if second else 0.5
 
 
-def identify(docs: DataFrame, profiles: dict[str, list[int]], *, text: str = "text", n_max: int = N_MAX, profile_size: int = PROFILE_SIZE, furthest: float | None = None) -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, list[int]], *, text: str = "text", n_max: int = N_MAX, profile_size: int = PROFILE_SIZE, furthest: float | None = None, cache: int = CACHE) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0.5 to 1 for a language: the runner-up's share of the two best distances).
 
-    ``furthest``: texts beyond this share of the largest distance to every profile are ``und``.
+    ``furthest``: texts beyond this share of the largest distance to every profile are ``und``. ``cache``: words whose n-grams a worker remembers; fewer take less memory and more time.
     """
     given = docs.select("*", F.col(text).alias("_t"))
     keep = [f for f in given.schema.fields if f.name != "_t" and f.name not in ("lang_pred", "score")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", lang_pred string, score double"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        j = _Judge(profiles, n_max, profile_size, furthest)
+        j = _Judge(profiles, n_max, profile_size, furthest, cache)
         for batch in batches:
             for k in range(0, len(batch), 256):
                 b = batch.slice(k, 256)
