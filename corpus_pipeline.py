@@ -21,12 +21,15 @@ from pyspark.sql import functions as F
 from factloom.llm import decontaminate, language_id, mixing, simhash, token_files
 from factloom.storage import Scratch, table, unused
 
+#: Words that a worker of language ID remembers: half of the operator's own number, for the pipeline's memory.
+CACHE = 300_000
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = language_id.learn(docs)
     if not profiles:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = language_id.identify(docs, profiles, furthest=language_id.FURTHEST)
+    found = language_id.identify(docs, profiles, furthest=language_id.FURTHEST, cache=CACHE)
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 
