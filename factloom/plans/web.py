@@ -69,7 +69,7 @@ def structural_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT page_id, pos, CASE WHEN opens THEN list_append(names[1:d], n) ELSE names[1:d] END, CASE WHEN opens THEN list_append(blocks[1:d], CASE WHEN block THEN nb + 1 ELSE 0 END) ELSE blocks[1:d] END, CASE WHEN block THEN nb + 1 ELSE nb END
     FROM (SELECT w.page_id, y.pos, names, blocks, nb, n, opens, block, CASE WHEN shut AND list_contains(names, n) THEN len(names) - list_position(list_reverse(names), n) WHEN ends_p AND list_contains(names, 'p') THEN len(names) - list_position(list_reverse(names), 'p') ELSE len(names) END AS d FROM w JOIN y ON y.page_id = w.page_id AND y.pos = w.pos + 1)),
   t AS (SELECT y.page_id, coalesce(list_last(list_filter(blocks, lambda b: b > 0)), 0) AS block_ord, CASE WHEN n = 'a' AND NOT shut THEN 'reference' WHEN n = 'img' THEN 'icon' WHEN n = 'br' THEN 'line_break' ELSE 'text' END AS kind FROM y JOIN w ON w.page_id = y.page_id AND w.pos = y.pos
-    WHERE n IN ('br', 'img') OR n = 'a' AND NOT shut AND trim(regexp_replace(raw, '<[^>]*>', '', 'g')) != '' OR NOT starts_with(raw, '<') AND trim(replace(regexp_replace(raw, '\s+', ' ', 'g'), '&nbsp;', ' ')) != '')
+    WHERE n IN ('br', 'img') OR n = 'a' AND NOT shut AND trim(regexp_replace(raw, '<[^>]*>', '', 'g')) != '' OR NOT starts_with(raw, '<') AND trim(replace(regexp_replace(raw, '\\s+', ' ', 'g'), '&nbsp;', ' ')) != '')
   SELECT page_id AS unit_id, CAST(block_ord AS INTEGER) AS block_ord, kind, count(*) AS n FROM t GROUP BY ALL""")
 def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many tokens of each kind each block of the pages has; some of their paragraphs and inline elements aren't closed."""
