@@ -161,3 +161,8 @@ def test_long_flat_and_deep_pages(spark):
     flat, deep = "<p>x<td>" * 20_000, "<div><ul><li>" * 300 + "x"
     t = pages.structural_blocks(frame(spark, flat, deep))
     assert t.where("unit_id = 0").count() == 20_000 and [r["depth"] for r in t.where("unit_id = 1").collect()] == [300]
+
+
+def test_references_without_a_semicolon_stay(spark):
+    b = pages.page_blocks(frame(spark, "<h1>R &amp; D &eacute; &#65; &amp;lt; &nosuch; &ampx; cut&amp</h1>"))
+    assert rows(b, "text") == [("R & D é A &lt; &nosuch; &ampx; cut&amp",)]
