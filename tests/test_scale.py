@@ -21,3 +21,11 @@ def test_compatible_pairs_are_not_shuffled(spark):
     got = resolve.compatible_items(owners, items)
     assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 2), (2, 4)]
     assert not plan(got).startswith("Aggregate")
+
+
+def test_request_pairs_are_not_shuffled(spark):
+    requests = spark.createDataFrame([(1, "bow"), (1, "axe"), (2, "axe"), (2, "axe"), (3, None)], "request_id int, weapon string")
+    items = spark.createDataFrame([(1, "weapon", "bow"), (1, "weapon", "axe"), (1, "armor", None), (2, "weapon", "axe"), (3, "armor", "bow"), (3, "armor", None), (4, "other", "axe")], "item_id int, slot string, weapon string")
+    got = resolve.items_for(requests, items)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 1), (3, 3)]
+    assert not plan(got).startswith("Aggregate")
