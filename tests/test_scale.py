@@ -29,3 +29,11 @@ def test_request_pairs_are_not_shuffled(spark):
     got = resolve.items_for(requests, items)
     assert sorted(map(tuple, got.collect())) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 1), (3, 3)]
     assert not plan(got).startswith("Aggregate")
+
+
+def test_pairs_of_one_trait_are_made_by_several_tasks(spark):
+    owners = spark.range(20).select(F.col("id").alias("owner"), F.lit("t").alias("trait"))
+    items = spark.range(200).select(F.col("id").alias("item_id"), F.lit("t").alias("trait"), F.lit(True).alias("shareable"))
+    got = resolve.shared_path(owners, owners, items)
+    assert got.count() == got.distinct().count() == 4000
+    assert tasks(got) > 4
