@@ -313,14 +313,20 @@ def lineup_context(requests: DataFrame, parts: dict[str, tuple[DataFrame, Sequen
 
 def legality_context(lineups: DataFrame, owners: DataFrame, edges: DataFrame, limits: DataFrame) -> DataFrame:
     """lineups(lineup_id, owner, item_id) with weapon, traits and the item's limit; null where unknown."""
-    return lineups.join(with_traits(owners, edges), "owner", "left").join(limits, "item_id", "left")
+    return lineups.join(limits, "item_id", "left").join(with_traits(owners, edges), "owner", "left")  # the wide side last
 
 
 def items_for(requests: DataFrame, items: DataFrame) -> DataFrame:
     """requests(request_id, weapon) x items(item_id, slot, weapon): armor for every request, weapons of its kinds; distinct."""
-    weapons = requests.join(items.where("slot = 'weapon'"), "weapon").select("request_id", "item_id")
-    ids = requests.select("request_id").distinct().withColumn("slot", F.lit("armor"))
-    return weapons.unionByName(ids.join(items.where("slot = 'armor'").select("slot", "item_id"), "slot").select("request_id", "item_id")).distinct()
+    asked = requests.select("request_id", F.struct("weapon").alias("kind"))
+    had = items.where("slot IN ('weapon', 'armor')").select("item_id", F.struct("slot", F.when(F.col("slot") == "weapon", F.col("weapon")).alias("weapon")).alias("kind"))
+
+    def match(q: DataFrame, i: DataFrame) -> DataFrame:
+        q, i = q.select("l", "kind.weapon"), i.select("r", "kind.*")
+        weapons = q.join(i.where("slot = 'weapon'"), "weapon").select("l", "r")
+        return weapons.unionByName(q.select("l").distinct().crossJoin(i.where("slot = 'armor'").select("r")))  # classes
+
+    return dealt.pairs(asked, had, "request_id", "item_id", match)
 
 
 def with_children(parents: DataFrame, children: dict[str, tuple[DataFrame, Sequence[str]]], key: str) -> DataFrame:

@@ -37,3 +37,7 @@ def test_pairs_of_one_trait_are_made_by_several_tasks(spark):
     got = resolve.shared_path(owners, owners, items)
     assert got.count() == got.distinct().count() == 4000
     assert tasks(got) > 4
+
+
+def test_traits_of_owners_come_from_distinct_brands(spark):
+    assert "Aggregate [p_size" in plan(evidence.R.queries["legality_context"](spark, "/root/testdata/sf0.001"))
