@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import expr
-from factloom.operators import ranked
+from factloom.operators import dealt, ranked
 from factloom.storage import Scratch
 
 # The roles that each step of a template fills, and the weights of a line-up's score.
@@ -269,9 +269,10 @@ def closed_world_errors(proposals: DataFrame, ids: DataFrame, kinds: Sequence[st
 
 
 def allowed_swaps(candidates: DataFrame, pools: DataFrame) -> DataFrame:
-    """candidates(request_id, candidate_id, members), pools(request_id, owner) -> (candidate_id, slot, owner) for every other member of the pool, which is short."""
+    """candidates(request_id, candidate_id, members), pools(request_id, owner) -> (request_id, candidate_id, slot, old, owner) for every other member of the pool, which is short."""
     m = candidates.select("request_id", "candidate_id", "members", F.posexplode("members").alias("slot", "old"))
-    return m.join(pools.select("request_id", "owner").distinct(), "request_id").where(~F.array_contains("members", F.col("owner"))).select("candidate_id", "slot", "old", "owner")
+    j = dealt.join(m, pools.select("request_id", "owner").distinct(), "request_id", "owner")
+    return j.where(~F.array_contains("members", F.col("owner"))).select("request_id", "candidate_id", "slot", "old", "owner")
 
 
 def accept_refinements(candidates: DataFrame, refined: DataFrame) -> DataFrame:

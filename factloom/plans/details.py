@@ -280,7 +280,7 @@ def allowed_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     cand = s.select(F.col("s_nationkey").alias("request_id"), F.col("s_suppkey").alias("candidate_id"), F.array("s_suppkey").alias("members"))
     out = assemble.allowed_swaps(cand, s.select(F.col("s_nationkey").alias("request_id"), F.col("s_suppkey").alias("owner")))
-    return out.join(cand.drop("members"), "candidate_id").select("request_id", "candidate_id", F.col("owner").alias("old"))
+    return out.select("request_id", "candidate_id", F.col("owner").alias("old"))
 
 
 @R.add("SELECT o_orderkey AS candidate_id, o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS accepted FROM orders")

@@ -39,5 +39,12 @@ def test_pairs_of_one_trait_are_made_by_several_tasks(spark):
     assert tasks(got) > 4
 
 
+def test_swaps_of_one_pool_are_made_by_several_tasks(spark):
+    pool = spark.range(100).select(F.lit(1).alias("request_id"), F.col("id").alias("owner"))
+    got = assemble.allowed_swaps(pool.select("request_id", F.col("owner").alias("candidate_id"), F.array("owner").alias("members")), pool)
+    assert got.count() == got.distinct().count() == 9900
+    assert tasks(got) > 4
+
+
 def test_traits_of_owners_come_from_distinct_brands(spark):
     assert "Aggregate [p_size" in plan(evidence.R.queries["legality_context"](spark, "/root/testdata/sf0.001"))
