@@ -48,3 +48,12 @@ def test_swaps_of_one_pool_are_made_by_several_tasks(spark):
 
 def test_traits_of_owners_come_from_distinct_brands(spark):
     assert "Aggregate [p_size" in plan(evidence.R.queries["legality_context"](spark, "/root/testdata/sf0.001"))
+
+
+def test_references_of_a_class_are_cut_before_they_meet_requests(spark):
+    requests = spark.createDataFrame([(1, ["a", "b"], ["x"]), (2, ["b"], [])], "request_id int, tags array<string>, types array<string>")
+    refs = spark.range(50).select("id", F.when(F.col("id") % 2 == 0, F.array(F.lit("a"), F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"))).alias("tags"), F.when(F.col("id") == 7, "x").alias("mechanic_type"))
+    refs = refs.unionByName(spark.createDataFrame([(3, ["a"], None)], "id long, tags array<string>, mechanic_type string"))
+    got = ranked.topk_references(requests, refs, 3)
+    assert sorted(map(tuple, got.select("request_id", "rank", "id", "hits").collect())) == [(1, 1, 0, 2), (1, 2, 2, 2), (1, 3, 3, 2), (2, 1, 0, 1), (2, 2, 1, 1), (2, 3, 2, 1)]
+    assert "WindowGroupLimit [c" in plan(got)
