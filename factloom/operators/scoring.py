@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import expr
 from factloom.operators import ranked
+from factloom.storage import listed
 
 # Role -> capabilities that count for it.
 ROLE_CAPABILITIES: dict[str, tuple[str, ...]] = {
@@ -62,11 +63,11 @@ ATTACKS = ("slash", "pierce", "blunt", "magic")
 
 
 def role_map(spark, roles: Mapping[str, Sequence[str]] = ROLE_CAPABILITIES) -> DataFrame:
-    return spark.createDataFrame([(r, c) for r, cs in roles.items() for c in cs], "role string, capability string")
+    return listed(spark, [(r, c) for r, cs in roles.items() for c in cs], "role string, capability string")
 
 
 def profile_table(spark, profiles: Mapping[str, Mapping[str, int]] = PROFILES) -> DataFrame:
-    return spark.createDataFrame([(p, r, w) for p, rs in profiles.items() for r, w in rs.items()], "profile string, role string, weight int")
+    return listed(spark, [(p, r, w) for p, rs in profiles.items() for r, w in rs.items()], "profile string, role string, weight int")
 
 
 def required_counters(targets: DataFrame, references: DataFrame, tag_counters: Mapping[str, str], vocabulary: Sequence[str]) -> DataFrame:

@@ -57,3 +57,13 @@ def test_references_of_a_class_are_cut_before_they_meet_requests(spark):
     got = ranked.topk_references(requests, refs, 3)
     assert sorted(map(tuple, got.select("request_id", "rank", "id", "hits").collect())) == [(1, 1, 0, 2), (1, 2, 2, 2), (1, 3, 3, 2), (2, 1, 0, 1), (2, 2, 1, 1), (2, 3, 2, 1)]
     assert "WindowGroupLimit [c" in plan(got)
+
+
+def test_short_lists_have_a_known_size(spark):
+    for df in (scoring.role_map(spark), scoring.profile_table(spark), listed(spark, [("a", 1)], "label string, n int")):
+        assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 100_000
+
+
+def test_labels_are_not_shuffled_to_their_few_keys(spark):
+    got = evidence.R.queries["labeled_fields"](spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
