@@ -166,3 +166,16 @@ def test_long_flat_and_deep_pages(spark):
 def test_references_without_a_semicolon_stay(spark):
     b = pages.page_blocks(frame(spark, "<h1>R &amp; D &eacute; &#65; &amp;lt; &nosuch; &ampx; cut&amp</h1>"))
     assert rows(b, "text") == [("R & D é A &lt; &nosuch; &ampx; cut&amp",)]
+
+
+def test_parsing_shuffles_nothing_within_a_page(spark):
+    df = frame(spark, "<table><tr><th>A<tr><td rowspan=2>x<td>y<tr><td>z</table><p>t")
+    for got in (pages.extract_rows(df, [pages.Field("a", header="a")]), pages.structural_blocks(df)):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Aggregate" not in plan and "Repartition" not in plan
+
+
+def test_nodes_make_the_asked_columns_alone(spark):
+    n = markup.nodes(frame(spark, "<div class=u>a<p>b</p></div>"), ("u",), elements="marked", columns=("node", "kind", "text"))
+    assert n.columns == ["page_id", "page", "node", "kind", "text"]
+    assert rows(n, "node", "kind", "text") == [(1, "element", None), (2, "text", "a"), (4, "text", "b")]
