@@ -92,13 +92,18 @@ def attach_relationships(occurrences: DataFrame, relationships: DataFrame) -> tu
 
 
 def cohort_errors(pred: DataFrame, exp: DataFrame, cohort: DataFrame, key: str = "witness_id") -> DataFrame:
-    """(error, witness_id): witnesses missing from a side, foreign to the cohort, or with an incomplete anchor."""
-    row = lambda df, e: df.select(F.lit(e).alias("error"), F.col(key).cast("string").alias(key))
-    c = cohort.select(key).distinct()
-    parts = [row(c.join(df.select(key).distinct(), key, "left_anti"), f"{n}_missing") for n, df in (("pred", pred), ("exp", exp))]
-    parts += [row(df.select(key).distinct().join(c, key, "left_anti"), f"{n}_foreign") for n, df in (("pred", pred), ("exp", exp))]
-    parts.append(row(exp.where("start IS NULL OR end IS NULL OR end <= start").select(key).distinct(), "anchor_incomplete"))
-    return reduce(DataFrame.unionByName, parts)
+    """(error, witness_id): witnesses missing from a side, foreign to the cohort, or with an incomplete anchor. One grouping by witness tells all."""
+    sides = ("pred", "exp", "cohort")
+    open_ = F.col("start").isNull() | F.col("end").isNull() | (F.col("end") <= F.col("start"))
+    rows = lambda df, side, bad=F.lit(False): df.select(key, *(F.lit(side == s).alias(f"in_{s}") for s in sides), F.coalesce(bad, F.lit(False)).alias("open"))
+    every = rows(pred, "pred").unionByName(rows(exp, "exp", open_)).unionByName(rows(cohort, "cohort"))
+    per = every.groupBy(key).agg(*(F.max(c).alias(c) for c in (*(f"in_{s}" for s in sides), "open")))
+    # A null is no witness of the other side.
+    lacks = lambda side: F.col(key).isNull() | ~F.col(f"in_{side}")
+    found = [F.when(F.col("in_cohort") & lacks(n), f"{n}_missing") for n in ("pred", "exp")]
+    found += [F.when(F.col(f"in_{n}") & lacks("cohort"), f"{n}_foreign") for n in ("pred", "exp")]
+    found.append(F.when(F.col("open"), "anchor_incomplete"))
+    return per.select(F.explode(F.array_compact(F.array(*found))).alias("error"), F.col(key).cast("string").alias(key))
 
 
 def acceptance(cases: DataFrame, candidates: DataFrame) -> DataFrame:

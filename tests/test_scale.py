@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from factloom.operators import assemble, ranked, resolve, scoring
+from factloom.operators import assemble, evaluate, ranked, resolve, scoring
 from factloom.plans import evidence
 from factloom.storage import listed
 
@@ -63,3 +63,12 @@ def test_short_lists_have_a_known_size(spark):
 def test_labels_are_not_shuffled_to_their_few_keys(spark):
     got = evidence.R.queries["labeled_fields"](spark, "/root/testdata/sf0.001")
     assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cohort_errors_come_from_one_grouping(spark):
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "witness_id string")
+    exp = spark.createDataFrame([("a", 1, 2), ("b", 2, 2), ("b", None, 3), ("d", 1, 2), (None, 1, 2)], "witness_id string, start int, end int")
+    got = evaluate.cohort_errors(rows("a", "a", "e", None), exp, rows("a", "b", "c", None))
+    want = [("anchor_incomplete", "b"), ("exp_foreign", "d"), ("exp_foreign", None), ("exp_missing", "c"), ("exp_missing", None), ("pred_foreign", "e"), ("pred_foreign", None), ("pred_missing", "b"), ("pred_missing", "c"), ("pred_missing", None)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert "Join" not in plan(got) and plan(got).count("Aggregate") == 1
