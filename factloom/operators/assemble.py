@@ -171,10 +171,32 @@ def sidekick_pairs(entities: DataFrame, n: int = 12) -> DataFrame:
     return ranked.top(pairs, ["request_id"], [F.desc("score"), "main", "sub"], n, "rank").select("request_id", "main", "sub", "score", "rank")
 
 
+#: Roles that one number has a bit for.
+_BITS = 60
+
+
+def _owners(scores: DataFrame) -> tuple[list[str], DataFrame]:
+    """The roles with a score, in order, and (request_id, owner, primary, survival, reserve, m0, ...): sums by owner, and a bit a role. One row an owner, so that members aren't multiplied by roles."""
+    some, role = scores.where("score > 0"), F.col("role")
+    names = sorted(r["role"] for r in some.select("role").where("role IS NOT NULL").distinct().collect())  # roles, a handful
+    part = lambda *roles: F.sum(F.when(role.isin(*roles), F.col("score")).otherwise(0))
+    masks = [F.bit_or(reduce(lambda c, i: F.when(role == names[i], F.lit(1 << (i - k)).cast("long")).otherwise(c), range(k, min(k + _BITS, len(names))), F.lit(0).cast("long"))).alias(f"m{k // _BITS}") for k in range(0, len(names), _BITS)]
+    own = some.groupBy("request_id", "owner").agg(part("primary_damage").alias("primary"), part(*SURVIVAL).alias("survival"), part("reserve_utility", "mp_sustain").alias("reserve"), *masks)
+    return names, own
+
+
+def _has(i: int) -> Column:
+    """Whether the role of this place has its bit set."""
+    return F.col(f"m{i // _BITS}").bitwiseAND(F.lit(1 << (i % _BITS)).cast("long")) != 0
+
+
 def coverage_gaps(lineups: DataFrame, scores: DataFrame, required: DataFrame) -> DataFrame:
     """lineups(request_id, lineup_id, members), scores(request_id, owner, role, score), required(request_id, roles) -> (lineup_id, covered, missing)."""
-    m = lineups.select("request_id", "lineup_id", F.explode("members").alias("owner")).join(scores.where("score > 0"), ["request_id", "owner"])
-    got = m.groupBy("lineup_id").agg(F.sort_array(F.collect_set("role")).alias("covered"))
+    names, own = _owners(scores)
+    masks = [c for c in own.columns if c.startswith("m")]
+    m = lineups.select("request_id", "lineup_id", F.explode("members").alias("owner")).join(own.select("request_id", "owner", *masks), ["request_id", "owner"])
+    got = m.groupBy("lineup_id").agg(F.count("*").alias("n"), *(F.bit_or(c).alias(c) for c in masks))
+    got = got.select("lineup_id", F.array_compact(F.array(*(F.when(_has(i), F.lit(n)) for i, n in enumerate(names)))).cast(expr.STRINGS).alias("covered"))
     none = F.array().cast(expr.STRINGS)
     out = lineups.join(got, "lineup_id", "left").join(required, "request_id", "left").withColumns({"covered": F.coalesce("covered", none), "roles": F.coalesce("roles", none)})
     return out.select("request_id", "lineup_id", "covered", F.sort_array(F.array_except("roles", "covered")).alias("missing"), F.size("roles").alias("n_required"))
@@ -186,14 +208,17 @@ def score_lineups(lineups: DataFrame, scores: DataFrame, gaps: DataFrame, extras
     Role scores by place (front or reserve) are summed over the exploded members; extras(lineup_id, weakness_bonus, setup_needed,
     setup_missing, packages_ready, sidekick_score, assumptions, uncertain) default to 0.
     """
-    m = lineups.select("request_id", "lineup_id", F.posexplode("members").alias("pos", "owner")).join(scores.where("score > 0"), ["request_id", "owner"])
+    names, own = _owners(scores)
+    masks = [c for c in own.columns if c.startswith("m")]
     in_front = F.col("pos") < front
-    part = lambda c, *roles: F.sum(F.when(c & F.col("role").isin(*roles), F.col("score")).otherwise(0))
-    # By member, with the roles that one in front has; then by line-up.
-    each = m.groupBy("lineup_id", "owner").agg(part(F.lit(True), "primary_damage").alias("primary"), part(in_front, *SURVIVAL).alias("sustain"), part(~in_front, "reserve_utility", "mp_sustain").alias("reserve"), F.collect_set(F.when(in_front, F.col("role"))).alias("roles"))
-    per = each.groupBy("lineup_id").agg(*(F.sum(c).alias(c) for c in ("primary", "sustain", "reserve")), F.sum(F.greatest(F.lit(0), F.size("roles") - 1)).alias("synergy"), F.flatten(F.collect_list("roles")).alias("roles"))
-    crowd = lambda role: F.greatest(F.lit(0), F.size(F.filter("roles", lambda x: x == role)) - 2)
-    per = per.withColumn("overlap", F.aggregate(F.array_distinct("roles"), F.lit(0), lambda n, role: n + crowd(role))).drop("roles")
+    m = lineups.select("request_id", "lineup_id", F.posexplode("members").alias("pos", "owner")).join(own, ["request_id", "owner"])
+    m = m.select("lineup_id", "owner", "primary", *(F.when(c, F.col(n)).otherwise(0).alias(n) for n, c in (("survival", in_front), ("reserve", ~in_front), *((k, in_front) for k in masks))))
+    # By member, with the roles that one in front has; then by line-up. Both by one shuffle.
+    each = m.repartition("lineup_id").groupBy("lineup_id", "owner").agg(*(F.sum(c).alias(c) for c in ("primary", "survival", "reserve")), *(F.max(k).alias(k) for k in masks))
+    n_roles = sum((F.bit_count(k) for k in masks), F.lit(0))
+    per = each.groupBy("lineup_id").agg(*(F.sum(c).alias(c) for c in ("primary", "survival", "reserve")), F.sum(F.greatest(F.lit(0), n_roles - 1)).alias("synergy"), *(F.count_if(_has(i)).alias(f"n{i}") for i in range(len(names))))
+    overlap = sum((F.greatest(F.lit(0), F.col(f"n{i}") - 2) for i in range(len(names))), F.lit(0))
+    per = per.select("lineup_id", "primary", F.col("survival").alias("sustain"), "reserve", "synergy", overlap.alias("overlap"))
     out = lineups.join(gaps.drop("request_id"), "lineup_id").join(per, "lineup_id", "left")
     names = ("weakness_bonus", "setup_needed", "setup_missing", "packages_ready", "sidekick_score", "assumptions", "uncertain")
     out = out.join(extras, "lineup_id", "left") if extras is not None else out.select("*", *(F.lit(0).alias(n) for n in names))
@@ -224,7 +249,7 @@ def dedupe_lineups(lineups: DataFrame, keys: Sequence[str] = ("request_id", "arc
 
 def diverse(lineups: DataFrame, n: int = 10) -> DataFrame:
     """The best of each archetype, then by score the best of every other set of members, at most n a request, with ``rank``."""
-    marked = lineups.withColumn("_set", F.sort_array("members"))
+    marked = Scratch(lineups.sparkSession, "diverse").save(lineups.withColumn("_set", F.sort_array("members")), "lineups")  # read three times
     first = ranked.top(marked, ["request_id", "archetype"], [F.desc("score"), "lineup_id"]).withColumn("_tier", F.lit(0))
     rest = ranked.top(marked, ["request_id", "_set"], [F.desc("score"), "lineup_id"]).join(first.select("request_id", "_set").distinct(), ["request_id", "_set"], "left_anti").withColumn("_tier", F.lit(1))
     return ranked.top(first.unionByName(rest), ["request_id"], ["_tier", F.desc("score"), "lineup_id"], n, "rank").drop("_set", "_tier")

@@ -114,9 +114,34 @@ def matchups(facts: DataFrame, targets: DataFrame) -> DataFrame:
     return facts.join(targets, "boss_id").select("request_id", "fact_id", state.alias("state"))
 
 
-def fact_roles(facts: DataFrame, roles: DataFrame, counters: DataFrame | None = None, usable_bonus: int = 2, counter_bonus: int = 2) -> DataFrame:
+def _own_roles(facts: DataFrame, roles: DataFrame, counters: DataFrame | None, usable_bonus: int, counter_bonus: int) -> DataFrame:
+    """The roles of facts that have one row each, told row by row: no grouping."""
+    none = F.array().cast(expr.STRINGS)
+    of = roles.where("capability IS NOT NULL AND role IS NOT NULL").groupBy("capability").agg(F.collect_list("role").alias("roles"))
+    of = of.agg(F.map_from_entries(F.collect_list(F.struct("capability", "roles"))).alias("of"))  # one row: the short list of roles
+    c = facts.select("request_id", "owner", "fact_id", "matchup", F.array_distinct("capabilities").alias("caps")).crossJoin(F.broadcast(of))
+    filled = lambda caps: F.flatten(F.transform(caps, lambda x: F.coalesce(F.element_at("of", x), none)))
+    countered = none
+    if counters is not None:
+        asked = counters.groupBy("request_id").agg(F.collect_set("capability").alias("asked"))
+        c = c.join(asked, "request_id", "left")
+        countered = F.filter("caps", lambda x: F.array_contains(F.coalesce("asked", none), x))
+    c = c.select("request_id", "owner", "fact_id", "matchup", filled("caps").alias("found"), filled(countered).alias("countered"))
+    c = c.select("*", F.explode(F.array_distinct("found")).alias("role"))
+    times = lambda roles_: F.size(F.filter(roles_, lambda x: x == F.col("role")))
+    bonus = F.when(F.col("role") == "boss_counter", times("countered") * counter_bonus).otherwise(0)
+    usable = F.when((F.col("role") == "primary_damage") & F.col("matchup").isin("weak", "neutral"), usable_bonus).otherwise(0)
+    return c.select("request_id", "owner", "fact_id", "role", (times("found") + bonus + usable).cast("int").alias("score"))
+
+
+def fact_roles(facts: DataFrame, roles: DataFrame, counters: DataFrame | None = None, usable_bonus: int = 2, counter_bonus: int = 2, unique: bool = False) -> DataFrame:
     """facts(request_id, owner, fact_id, capabilities, matchup) -> (request_id, owner, fact_id, role, score): matched capabilities of a role,
-    plus a bonus for primary damage that is weak or neutral against the target, and one for each required counter(request_id, capability)."""
+    plus a bonus for primary damage that is weak or neutral against the target, and one for each required counter(request_id, capability).
+
+    ``unique`` says that a fact has one row a request and owner; else its rows are added up.
+    """
+    if unique:
+        return _own_roles(facts, roles, counters, usable_bonus, counter_bonus)
     c = facts.select("request_id", "owner", "fact_id", "matchup", F.explode(F.array_distinct("capabilities")).alias("capability"))
     out = c.join(roles, "capability")
     if counters is not None:

@@ -1,5 +1,7 @@
 """What keeps work in proportion to the input: no shuffle of pairs, short lists that are broadcast."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from factloom.operators import assemble, evaluate, ranked, refgraph, resolve, scoring
@@ -91,3 +93,34 @@ def test_quotes_are_looked_for_directly_in_small_units(spark):
     for direct in (0, 12, 1000):  # by the index; one unit so, the other directly; all directly
         assert sorted(map(tuple, refgraph.quote_ranges(blocks, quotes, direct).collect())) == want
     assert plan(refgraph.quote_ranges(blocks, quotes)).count("Join") == 2  # units that are larger, and the blocks
+
+
+def test_roles_of_unique_facts_need_no_grouping(spark):
+    r = random.Random(3)
+    caps = ["shield", "heal_hp", "recover_mp", "hold_ground", "direct_damage", "unknown", None]
+    rows = [(r.randrange(3), r.randrange(4), i, [r.choice(caps) for _ in range(r.randrange(5))] if i else None, r.choice(["weak", "neutral", "resisted", None])) for i in range(60)]
+    facts = spark.createDataFrame(rows, "request_id int, owner int, fact_id int, capabilities array<string>, matchup string")
+    counters = spark.createDataFrame([(1, "shield"), (1, "recover_mp"), (1, "shield"), (2, None)], "request_id int, capability string")
+    for c in (counters, None):
+        one, many = (scoring.fact_roles(facts, scoring.role_map(spark), c, unique=u) for u in (True, False))
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    assert "fact_id" not in "".join(x for x in plan(one).splitlines() if "Aggregate [" in x)
+
+
+def test_members_meet_one_row_an_owner(spark):
+    r = random.Random(4)
+    roles = [f"r{i:02d}" for i in range(64)] + ["primary_damage", "reserve_utility", *assemble.SURVIVAL]
+    scores = [(1, o, x, r.randrange(-1, 4)) for o in range(6) for x in r.sample(roles, r.randrange(40, 60))]
+    teams = [(1, i, [r.randrange(8) for _ in range(r.randrange(8))]) for i in range(20)]
+    of = lambda o: {x: s for _, p, x, s in scores if p == o and s > 0}
+    want = []
+    for _, i, m in teams:
+        front = set(m[:4])
+        add = lambda ms, names: float(sum(s for o in ms for x, s in of(o).items() if x in names))
+        overlap = sum(max(0, sum(x in of(o) for o in front) - 2) for x in roles)
+        want.append((i, sorted({x for o in m for x in of(o)}), add(m, ["primary_damage"]), add(m[:4], assemble.SURVIVAL), add(m[4:], ["reserve_utility", "mp_sustain"]), float(sum(max(0, len(of(o)) - 1) for o in front)), float(overlap)))
+    lu, s = spark.createDataFrame(teams, "request_id int, lineup_id int, members array<int>"), spark.createDataFrame(scores, "request_id int, owner int, role string, score int")
+    got = assemble.score_lineups(lu, s, assemble.coverage_gaps(lu, s, spark.createDataFrame([(1, ["r01"])], "request_id int, roles array<string>")))
+    cols = ["lineup_id", "covered", *(f"c_{c}" for c in ("boss_matchup", "sustain_mitigation", "reserve_utility", "synergy", "role_overlap"))]
+    assert sorted(map(tuple, got.select(*cols).collect())) == want
+    assert "collect_" not in plan(got)
