@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from factloom.operators import assemble, evaluate, ranked, refgraph, resolve, scoring
+from factloom.operators import assemble, dealt, evaluate, ranked, refgraph, resolve, scoring
 from factloom.plans import evidence
 from factloom.storage import listed
 
@@ -124,3 +124,10 @@ def test_members_meet_one_row_an_owner(spark):
     cols = ["lineup_id", "covered", *(f"c_{c}" for c in ("boss_matchup", "sustain_mitigation", "reserve_utility", "synergy", "role_overlap"))]
     assert sorted(map(tuple, got.select(*cols).collect())) == want
     assert "collect_" not in plan(got)
+
+
+def test_pairs_are_made_by_many_tasks(spark):
+    left = spark.range(300).select(F.col("id").alias("a"), F.lit("k").alias("kind"))
+    got = dealt.pairs(left, left.withColumnRenamed("a", "b"), "a", "b", lambda x, y: x.join(y, "kind"))
+    assert got.count() == got.distinct().count() == 90_000
+    assert got.select(F.spark_partition_id()).distinct().count() > 4  # not the one that Spark would join so few rows in
