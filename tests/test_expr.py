@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -74,3 +75,19 @@ def test_normalize_and_tokens(spark):
 def test_corpus_fingerprint_is_independent_of_partitions(spark):
     df = spark.range(100).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
     assert expr.corpus_fingerprint(df, "h").collect() == expr.corpus_fingerprint(df.repartition(7), "h").collect()
+
+
+def test_qualifiers_read_a_long_run_once(spark):
+    """From each word of a run without a sign the rest of the run was read again: 200,000 characters took minutes."""
+    rows = [("a b " * 50_000 + "personalitys",), ("a b " * 50_000 + "Quick Personality",), ("9. personality",), ("é- personality",), ("x - personality",)]
+    began = time.time()
+    df = spark.createDataFrame(rows, "text string").select(expr.qualifiers("text")["eligibility"].alias("e"), F.length("text").alias("n"))
+    assert [r["e"] for r in df.collect()] == [[], ["personality"], [], ["personality"] if one(spark, F.lit("é-").rlike(r"\b-")) else [], ["personality"]]
+    assert time.time() - began < 30
+
+
+def test_the_text_of_qualifier_fields_is_made_once(spark):
+    from factloom.plans import evidence
+
+    plan = evidence.R.queries["qualifier_fields"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(".5 % Fire damage") == 1
