@@ -8,7 +8,7 @@ is one entry a segment. The segments themselves stay where they are: their table
 ids move. A text's ids are its words' ids, gathered by place.
 
 Decoding. Ids join the token-byte table by id: in the tasks, as the table is sent within ``VOCABULARY`` rows, by a Spark
-join of exploded ids beyond that.
+join of exploded ids beyond that. Where both are asked for at once, the tasks that gather ids spell them too.
 
 Pieces of white space, contractions and the rest are split as the public pattern says; a piece splits into itself alone, so
 encoding it apart gives the ids it has in its text.
@@ -23,7 +23,7 @@ from __future__ import annotations
 import base64
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 import tiktoken
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,8 +149,16 @@ def _bucketed(df: DataFrame, scratch: Scratch, name: str, key: str) -> DataFrame
     return spark.table(entry)
 
 
-def encode(docs: DataFrame, ranks: str, *, text: str = "text", doc_id: str = "doc_id", pattern: str | None = None, segment: int = SEGMENT, shards: int = SHARDS) -> DataFrame:
-    """(doc_id, n_tokens long, ids binary) of every row; ids as little-endian unsigned 32-bit integers. ranks: a file of tokens and ids, read by the driver."""
+def encode(docs: DataFrame, ranks: str, *, text: str = "text", doc_id: str = "doc_id", pattern: str | None = None, segment: int = SEGMENT, shards: int = SHARDS, vocabulary: DataFrame | None = None, most: int = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens long, ids binary) of every row; ids as little-endian unsigned 32-bit integers. ranks: a file of tokens and ids, read by the driver.
+
+    With a ``vocabulary``, ``decoded`` is the fourth column, as ``decode`` makes it of the ids; within ``most`` rows by the workers that gather them, as a
+    task that decodes after another Python step holds two workers.
+    """
+    spelling = None if vocabulary is None else _sent(vocabulary, most)
+    if vocabulary is not None and spelling is None:
+        tokens = encode(docs, ranks, text=text, doc_id=doc_id, pattern=pattern, segment=segment, shards=shards)
+        return _joined(tokens.withColumn("kept", F.col("ids")), vocabulary).withColumnRenamed("kept", "ids")
     spark = docs.sparkSession
     scratch = Scratch(spark, "bpe")
     pattern = pattern or globals()["pattern"]()
@@ -183,6 +191,7 @@ def encode(docs: DataFrame, ranks: str, *, text: str = "text", doc_id: str = "do
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell = None if spelling is None else _speller(spelling.value)
         for b in batches:
             for r in range(len(b)):
                 row = b.slice(r, 1)
@@ -195,15 +204,18 @@ def encode(docs: DataFrame, ranks: str, *, text: str = "text", doc_id: str = "do
                 starts[order] = np.cumsum(in_order) - in_order
                 flat = np.concatenate([np.empty(0, "<u4"), *(unpack(x["ids"]) for x in coded)])
                 places, n = unpack(row.column("places")[0].as_py()), row.column("n").flatten().to_numpy(zero_copy_only=False)
-                names, at, done, out, held = row.column("doc_ids").flatten(), 0, 0, [], 0
+                names, at, done, out, spelt, held = row.column("doc_ids").flatten(), 0, 0, [], [], 0
                 for k, m in enumerate(n.tolist()):
                     out.append(b"".join(_taken(flat, starts, sizes, places[x : min(x + STEP, at + m)]) for x in range(at, at + m, STEP)))
+                    if spell is not None:
+                        spelt.append(spell(out[-1]))
                     at, held = at + m, held + len(out[-1])
                     if held > 4_000_000 or k == len(n) - 1:
-                        yield pa.RecordBatch.from_arrays([names.slice(done, len(out)), pa.array([len(x) // 4 for x in out]), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
-                        done, out, held = k + 1, [], 0
+                        made = {"doc_id": names.slice(done, len(out)), "n_tokens": pa.array([len(x) // 4 for x in out]), "ids": pa.array(out, pa.binary())}
+                        yield pa.RecordBatch.from_pydict(made if spell is None else made | {"decoded": pa.array(spelt, pa.binary())})
+                        done, out, spelt, held = k + 1, [], [], 0
 
-    return both.mapInArrow(gather, f"doc_id {kind}, n_tokens long, ids binary")
+    return both.mapInArrow(gather, f"doc_id {kind}, n_tokens long, ids binary" + ("" if spelling is None else ", decoded binary"))
 
 
 def _taken(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> bytes:
@@ -220,32 +232,48 @@ def token_table(spark: SparkSession, ranks: str) -> DataFrame:
     return spark.createDataFrame(rows, "id long, token binary")
 
 
-def decode(tokens: DataFrame, vocabulary: DataFrame, *, most: int = VOCABULARY) -> DataFrame:
-    """tokens(ids, and others) with ``decoded``, the bytes of their ids' tokens, in place of the ids. An id that the vocabulary(id, token) doesn't have is an error."""
+def _sent(vocabulary: DataFrame, most: int) -> Broadcast | None:
+    """The vocabulary(id, token) for ``_speller``, sent to all tasks; None beyond ``most`` rows."""
     held = vocabulary.select("id", "token").limit(most + 1).collect()  # a bounded table
     if len(held) > most:
-        return _joined(tokens, vocabulary)
+        return None
     size = max((r["id"] for r in held), default=-1) + 1
     length, named = np.full(size, -1, np.int64), sorted((r["id"], bytes(r["token"])) for r in held)
     for i, t in named:
         length[i] = len(t)
     starts = np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)
-    sent = tokens.sparkSession.sparkContext.broadcast((b"".join(t for _, t in named), starts, length))
+    return vocabulary.sparkSession.sparkContext.broadcast((b"".join(t for _, t in named), starts, length))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled, starts, length = sent.value
-        flat = np.frombuffer(spelled, np.uint8)
 
-        def spell(ids: np.ndarray) -> bytes:
-            if len(ids) and (int(ids.max()) >= len(length) or (length[ids] < 0).any()):
-                raise ValueError("an id that the vocabulary doesn't have")
-            return _taken(flat, starts, length, ids)
+def _speller(sent: tuple[bytes, np.ndarray, np.ndarray]) -> Callable[[bytes], bytes]:
+    """Ids, as little-endian unsigned 32-bit integers -> the bytes of their tokens."""
+    spelled, starts, length = sent
+    flat = np.frombuffer(spelled, np.uint8)
+
+    def some(ids: np.ndarray) -> bytes:
+        if len(ids) and (int(ids.max()) >= len(length) or (length[ids] < 0).any()):
+            raise ValueError("an id that the vocabulary doesn't have")
+        return _taken(flat, starts, length, ids)
+
+    def spell(x: bytes) -> bytes:
+        ids = np.frombuffer(x, "<u4")
+        return b"".join(some(ids[i : i + STEP]) for i in range(0, len(ids), STEP))
 
+    return spell
+
+
+def decode(tokens: DataFrame, vocabulary: DataFrame, *, most: int = VOCABULARY) -> DataFrame:
+    """tokens(ids, and others) with ``decoded``, the bytes of their ids' tokens, in place of the ids. An id that the vocabulary(id, token) doesn't have is an error."""
+    sent = _sent(vocabulary, most)
+    if sent is None:
+        return _joined(tokens, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spell = _speller(sent.value)
         for b in batches:
             for k in range(0, len(b), 256):
                 part = b.slice(k, 256)
-                ids = [np.frombuffer(x, "<u4") for x in part.column("ids").to_pylist()]
-                decoded = [b"".join(spell(x[i : i + STEP]) for i in range(0, len(x), STEP)) for x in ids]
+                decoded = [spell(x) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(decoded, pa.binary())], [*others, "decoded"])
 
     others = [c for c in tokens.columns if c != "ids"]
@@ -266,6 +294,5 @@ def _joined(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = encode(table(spark, sf_dir, "documents"), ranks_file())
-    out = decode(tokens.withColumn("ids_sha256", F.sha2("ids", 256)), token_table(spark, ranks_file()))
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    tokens = encode(table(spark, sf_dir, "documents"), ranks_file(), vocabulary=token_table(spark, ranks_file()))
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

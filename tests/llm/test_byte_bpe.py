@@ -60,6 +60,17 @@ def test_joined_decoding_equals_sent(spark, docs):
     assert key(byte_bpe.decode(tokens, table, most=10)) == key(byte_bpe.decode(tokens, table))
 
 
+@pytest.mark.parametrize("most", [10, byte_bpe.VOCABULARY])
+def test_encoding_decodes_in_the_same_workers(spark, docs, most):
+    """The query's last tasks each held two Python workers, one to gather ids and one to decode them."""
+    both = byte_bpe.encode(docs, byte_bpe.ranks_file(), vocabulary=byte_bpe.token_table(spark, byte_bpe.ranks_file()), most=most)
+    assert both.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    want = [(i, len(plain(t)) // 4, plain(t), (t or "").encode()) for i, t in texts()]
+    assert sorted(((r.doc_id, r.n_tokens, bytes(r.ids), bytes(r.decoded)) for r in both.collect()), key=repr) == sorted(want, key=repr)
+    plan = byte_bpe.op13_byte_bpe(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # words' ids, then texts
+
+
 def test_unknown_id_is_an_error(spark):
     tokens = spark.createDataFrame([(1, 1, bytearray(np.array([60000], "<u4").tobytes()))], "doc_id long, n_tokens long, ids binary")
     table = byte_bpe.token_table(spark, byte_bpe.ranks_file())
