@@ -185,35 +185,45 @@ def latency_rollup(runs: DataFrame, width: str = "1 day") -> DataFrame:
 
 
 class _Calls(StatefulProcessor):
-    """Calls of a run that wait for the watermark, by number; and what the released ones have used."""
+    """Calls of a run that wait for the watermark, in order of arrival; and what the released ones have used. All in one value with one timer, at the earliest
+    waiting call, as each use of the state is a question to another process: a few a run and micro-batch, not a few a call."""
 
     def __init__(self, cap: int):
         self.cap = cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "call_number long, n int", "ms long, tokens array<long>")
-        self.used = handle.getValueState("used", "used long")
+        self.run = handle.getValueState("run", "used long, ms array<long>, number array<long>, tokens array<long>, known array<boolean>")
+
+    def _read(self) -> tuple[int, list]:
+        used, *waiting = self.run.get() if self.run.exists() else (0, (), (), (), ())
+        return used, list(zip(*waiting, strict=True))
+
+    def _write(self, used: int, waiting: list) -> None:
+        self.run.update((used, *([w[k] for w in waiting] for k in range(4))))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for r in rows:
-            # Calls of one number are apart: each is an entry of the next free place.
-            n = 0
-            while self.waiting.containsKey((r["call_number"], n)):
-                n += 1
-            self.waiting.updateValue((r["call_number"], n), (r["ms"], [] if r["tokens"] is None else [r["tokens"]]))
-            self.handle.registerTimer(r["ms"])
+        used, waiting = self._read()
+        first = min((w[0] for w in waiting), default=None)
+        waiting += [(r["ms"], r["call_number"], 0 if r["tokens"] is None else r["tokens"], r["tokens"] is not None) for r in rows]
+        self._write(used, waiting)
+        if first is None or min(w[0] for w in waiting) < first:
+            self.handle.registerTimer(min(w[0] for w in waiting))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator() if v[0] <= now)
-        used = self.used.get()[0] if self.used.exists() else 0
-        for (number, n), (_, tokens) in due:
-            used += sum(tokens)
-            self.waiting.removeKey((number, n))
-            yield Row(run_id=key[0], call_number=number, tokens=tokens[0] if tokens else None, used=used, left=max(0, self.cap - used), over=used > self.cap)
-        self.used.update((used,))
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        used, waiting = self._read()
+        left = [w for w in waiting if w[0] > now]
+        out = []
+        for _, number, tokens, known in sorted((w for w in waiting if w[0] <= now), key=lambda w: w[:2]):
+            used += tokens
+            out.append(Row(run_id=key[0], call_number=number, tokens=tokens if known else None, used=used, left=max(0, self.cap - used), over=used > self.cap))
+        if out:
+            self._write(used, left)
+            if left:
+                self.handle.registerTimer(min(w[0] for w in left))
+        return iter(out)
 
     def close(self) -> None:
         pass

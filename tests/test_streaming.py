@@ -116,3 +116,22 @@ def test_latency_and_budget(spark):
     assert sorted((r["latency_s"], r["breach"]) for r in jobs.run_latency(e, 15).collect()) == [(0.0, False), (20.0, True)]
     c = spark.createDataFrame([(1, 1, 60), (1, 2, 50), (1, 3, None)], "run_id int, call_number int, tokens long")
     assert [(r["used"], r["left"], r["over"]) for r in jobs.running_budget(c, 100).orderBy("call_number").collect()] == [(60, 40, False), (110, 0, True), (110, 0, True)]
+
+
+def test_a_run_asks_for_its_state_once_a_batch():
+    """Each call asked for its place, wrote it and set a timer; each timer read all that waited."""
+    from unittest.mock import MagicMock
+
+    handle = MagicMock()
+    handle.getMapState.return_value.containsKey.return_value = False
+    handle.getValueState.return_value.exists.return_value = False
+    calls = jobs._Calls(100)
+    calls.init(handle)
+    assert list(calls.handleInputRows((1,), iter([{"call_number": k, "ms": 1000 - k, "tokens": 5} for k in range(50)]), None)) == []
+    assert handle.registerTimer.call_count == 1 and handle.getValueState.return_value.update.call_count == 1
+    state, times = handle.getValueState.return_value, MagicMock()
+    state.exists.return_value, state.get.return_value = True, state.update.call_args[0][0]
+    times.getCurrentWatermarkInMs.return_value, times.getExpiryTimeInMs.return_value = 980, 951
+    out = list(calls.handleExpiredTimer((1,), times, times))
+    assert [r["call_number"] for r in out] == list(range(49, 19, -1)) and out[-1]["used"] == 150 and out[-1]["over"]
+    assert handle.registerTimer.call_args[0] == (981,) and len(state.update.call_args[0][0][1]) == 20
