@@ -71,15 +71,88 @@ def limit_violations(lineup_items: DataFrame, limits: DataFrame) -> DataFrame:
     return used.join(limits, "item_id").where(F.col("used") > F.col("limit")).select("lineup_id", "item_id", "used", "limit")
 
 
-def allocate(options: DataFrame, limits: DataFrame, owners: int = 6, width: int = 256, search_on: bool = True) -> DataFrame:
+#: States that the passes over a line-up's row keep at a step; each pass is made where the one before left the line-up open.
+STATES = (1, 8, 64)
+
+
+def allocate(options: DataFrame, limits: DataFrame, owners: int | None = 6, width: int = 256, search_on: bool = True, members: DataFrame | None = None) -> DataFrame:
     """options(lineup_id, owner, option, item_ids) -> (lineup_id, options, exhausted): the first feasible choice of one option an owner.
 
-    Owners go in order of fewest options, then by id; a step an owner. What can still follow depends only on how many copies of which items are used, so
+    With members(lineup_id, owner, kind), a row an owner, options(kind, option, item_ids) are given once a kind. Owners go in order of fewest options, then by id;
+    a step an owner, ``owners`` steps at most (None: all). A line-up is one row, over which the least vectors of each step are followed: first one, then, where
+    all end and others were left out, more of different use (``STATES``). A vector left out comes after all that were kept, so the least that gets to the
+    end is the first of all. Line-ups that this leaves open are searched whole: what can still follow depends only on how many copies of which items are used, so
     of all vectors with the same use the least one stays: one pass finds the first vector of all. Items that no later owner has among the options are
     left out of the use. ``exhausted`` is then false. Without ``search_on`` only the ``width`` smallest vectors of a line-up stay at each step;
     a line-up without one whose vectors were cut off is ``exhausted``, which leaves open whether there is one.
     """
-    return _by_use(options, limits, owners) if search_on else _allocate(options, limits, owners, width)
+    every = options if members is None else members.join(options, members["kind"].eqNullSafe(options["kind"])).select("lineup_id", "owner", "option", "item_ids")
+    if not search_on:
+        return _allocate(every, limits, owners, width)
+    scratch = Scratch(options.sparkSession, "allocate")
+    if members is None:
+        rows = _choices(options, limits, ["lineup_id", "owner"])
+    else:
+        kinds = scratch.save(_choices(options, limits, ["kind"]), "kinds")  # a table of known size
+        rows = members.join(kinds, members["kind"].eqNullSafe(kinds["kind"])).select("lineup_id", "owner", "n", "choices")
+    found = scratch.save(_followed(rows, owners), "found")
+    done, rest = found.where("NOT open").select("lineup_id", "options", "exhausted"), found.where("open").select("lineup_id")
+    return done if rest.isEmpty() else done.unionByName(_by_use(every.join(rest, "lineup_id", "left_semi"), limits, owners))
+
+
+def _choices(options: DataFrame, limits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, n, choices): number of options, and those that fit by themselves: their items with one copy, and those with more copies."""
+    items = options.select(*keys, F.col("option").cast("int").alias("option"), F.posexplode_outer("item_ids").alias("p", "item_id")).join(limits.where("limit IS NOT NULL"), "item_id", "left")
+    item = F.struct(F.col("item_id").cast("string").alias("item_id"), F.col("limit").cast("int").alias("limit"))
+    o = items.groupBy(*keys, "option").agg(F.count_if(F.coalesce("p", F.lit(0)) == 0).alias("n"), F.collect_list(F.when(F.col("limit").isNotNull(), item)).alias("held"))
+    need = F.transform(F.array_distinct("held"), lambda x: F.struct(x["item_id"].alias("item_id"), F.size(F.filter("held", lambda y: y == x)).alias("copies"), x["limit"].alias("limit")))
+    o = o.withColumn("need", need)
+    single = F.transform(F.filter("need", lambda x: x["limit"] == 1), lambda x: x["item_id"])
+    choice = F.struct("option", single.alias("single"), F.filter("need", lambda x: x["limit"] > 1).alias("more"))
+    fits = F.forall("need", lambda x: x["copies"] <= x["limit"])
+    return o.groupBy(*keys).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.when(fits, choice))).alias("choices"))
+
+
+def _follow(steps: Column, width: int) -> Column:
+    """(states, cut): the ``width`` least vectors of different use that get through all steps, and whether others may have been left out."""
+
+    def fits(used: Column, choice: Column) -> Column:
+        return ~F.arrays_overlap(used, choice["single"]) & F.forall(choice["more"], lambda x: F.size(used) - F.size(F.array_remove(used, x["item_id"])) + x["copies"] <= x["limit"])
+
+    def grown(state: Column, choice: Column) -> Column:
+        used = F.concat(state["used"], choice["single"], F.flatten(F.transform(choice["more"], lambda x: F.array_repeat(x["item_id"], x["copies"]))))
+        return F.struct((F.sort_array(used) if width > 1 else used).alias("used"), F.concat(state["vector"], F.array(choice["option"])).alias("vector"))
+
+    def least(states: Column) -> Column:
+        of_use = F.transform(F.array(F.sort_array(states)), lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1)["used"] != x["used"])))[0]
+        by_vector = F.sort_array(F.transform(of_use, lambda x: F.struct(x["vector"].alias("vector"), x["used"].alias("used"))))
+        return F.transform(by_vector, lambda x: F.struct(x["used"].alias("used"), x["vector"].alias("vector")))
+
+    def merge(acc: Column, step: Column) -> Column:
+        of = lambda s: F.transform(F.slice(F.filter(step["choices"], lambda c: fits(s["used"], c)), 1, width), lambda c: grown(s, c))
+        every = F.flatten(F.transform(acc["states"], of))
+        cut = acc["cut"] | (F.size(step["choices"]) > width)
+        if width == 1:
+            return F.struct(every.alias("states"), cut.alias("cut"))
+        return F.transform(F.array(least(every)), lambda x: F.struct(F.slice(x, 1, width).alias("states"), (cut | (F.size(x) > width)).alias("cut")))[0]
+
+    start = F.struct(F.array(F.struct(F.array().cast("array<string>").alias("used"), F.array().cast("array<int>").alias("vector"))).alias("states"), F.lit(False).alias("cut"))
+    return F.aggregate(steps, start, merge)
+
+
+def _followed(rows: DataFrame, owners: int | None) -> DataFrame:
+    """rows(lineup_id, owner, n, choices) -> (lineup_id, options, exhausted, open): the first vector of each line-up, where following the least ones tells it; the others are open."""
+    step = F.struct("n", F.col("owner").isNull().alias("nameless"), "owner", "choices")
+    steps = F.sort_array(F.collect_list(step))
+    rows = rows.groupBy("lineup_id").agg((steps if owners is None else F.slice(steps, 1, owners)).alias("steps"))
+    ended = (F.size(F.col("last")["states"]) == 0) & F.col("last")["cut"]
+    rows = rows.withColumn("last", _follow(F.col("steps"), STATES[0]))
+    for width in STATES[1:]:
+        rows = rows.withColumn("last", F.when(ended, _follow(F.col("steps"), width)).otherwise(F.col("last")))
+    rows = rows.select("lineup_id", F.transform("steps", lambda s: s["owner"].cast("string")).alias("owners"), F.get(F.col("last")["states"], F.lit(0))["vector"].alias("vector"), ended.alias("open"))
+    known = F.col("lineup_id").isNotNull()
+    chosen = F.transform("owners", lambda w, i: F.struct(w.alias("owner"), F.get("vector", i).alias("option")))
+    return rows.select("lineup_id", F.when(known & F.col("vector").isNotNull(), chosen).alias("options"), F.lit(False).alias("exhausted"), (known & F.col("open")).alias("open"))
 
 
 _CAPPED = "array<struct<item_id:string,limit:int>>"
@@ -88,15 +161,20 @@ _CAPPED = "array<struct<item_id:string,limit:int>>"
 def _stepped(options: DataFrame, limits: DataFrame) -> DataFrame:
     """(lineup_id, owner, option, capped, o_step): the limited items of each option, and its owner's step."""
     n = options.groupBy("lineup_id", "owner").agg(F.count("*").alias("n"))
-    at = n.withColumn("step", F.row_number().over(W.partitionBy("lineup_id").orderBy("n", "owner"))).drop("n")
+    at = n.withColumn("step", F.row_number().over(W.partitionBy("lineup_id").orderBy("n", F.asc_nulls_last("owner")))).select(F.col("lineup_id").alias("at"), F.col("owner").alias("who"), "step")
     items = options.select("lineup_id", "owner", "option", F.posexplode_outer("item_ids").alias("p", "item_id")).join(limits.where("limit IS NOT NULL"), "item_id", "left")
     o = items.groupBy("lineup_id", "owner", "option").agg(F.sort_array(F.collect_list(F.when(F.col("limit").isNotNull(), F.struct("item_id", "limit")))).cast(_CAPPED).alias("capped"))
-    return o.join(at, ["lineup_id", "owner"]).select("lineup_id", "owner", "option", "capped", F.col("step").alias("o_step"))
+    return o.join(at, (F.col("lineup_id") == F.col("at")) & F.col("owner").eqNullSafe(F.col("who"))).select("lineup_id", "owner", "option", "capped", F.col("step").alias("o_step"))
+
+
+def _steps(stepped: DataFrame) -> int:
+    return stepped.agg(F.max("o_step")).first()[0] or 0  # one number
 
 
-def _by_use(options: DataFrame, limits: DataFrame, owners: int) -> DataFrame:
+def _by_use(options: DataFrame, limits: DataFrame, owners: int | None) -> DataFrame:
     scratch = Scratch(options.sparkSession, "allocate")
     o = scratch.save(_stepped(options, limits), "options")
+    owners = _steps(o) if owners is None else owners
     last = o.select("lineup_id", "o_step", F.explode("capped.item_id").alias("item_id")).groupBy("lineup_id", "item_id").agg(F.max("o_step").alias("last"))
     last = last.groupBy("lineup_id").agg(F.map_from_entries(F.collect_list(F.struct("item_id", "last"))).alias("last"))
     lineups = scratch.save(options.select("lineup_id").distinct().join(last, "lineup_id", "left"), "lineups")
@@ -113,8 +191,9 @@ def _by_use(options: DataFrame, limits: DataFrame, owners: int) -> DataFrame:
     return lineups.select("lineup_id").join(best, "lineup_id", "left").select("lineup_id", F.col("b.chosen").alias("options"), F.lit(False).alias("exhausted"))
 
 
-def _allocate(options: DataFrame, limits: DataFrame, owners: int, width: int) -> DataFrame:
+def _allocate(options: DataFrame, limits: DataFrame, owners: int | None, width: int) -> DataFrame:
     o, none = _stepped(options, limits), F.array().cast(_CAPPED)
+    owners = _steps(o) if owners is None else owners
     at = o.select("lineup_id", F.col("o_step").alias("step"))
     # Of each line-up one row that isn't live stays to the end and tells whether vectors were cut off.
     start = options.select("lineup_id").distinct().select("lineup_id", F.array().cast("array<struct<owner:string,option:int>>").alias("chosen"), F.array().cast("array<int>").alias("vector"), none.alias("used"), F.lit(False).alias("cut"), F.lit(0).alias("done"))

@@ -1,11 +1,14 @@
 """What keeps work in proportion to the input: no shuffle of pairs, short lists that are broadcast."""
 
+import itertools
 import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import assemble, dealt, evaluate, ranked, refgraph, resolve, scoring
-from factloom.plans import evidence
+from factloom.plans import evidence, registry
 from factloom.storage import listed
 
 
@@ -131,3 +134,43 @@ def test_pairs_are_made_by_many_tasks(spark):
     got = dealt.pairs(left, left.withColumnRenamed("a", "b"), "a", "b", lambda x, y: x.join(y, "kind"))
     assert got.count() == got.distinct().count() == 90_000
     assert got.select(F.spark_partition_id()).distinct().count() > 4  # not the one that Spark would join so few rows in
+
+
+@pytest.mark.parametrize("states", [(1, 8, 64), (1, 2), (1,)])
+def test_lineups_are_searched_by_use_only_where_least_vectors_end(spark, monkeypatch, states):
+    r, caps = random.Random(7), {"a": 1, "b": 2, "c": 1, "d": 1, "none": 0, "free": None}
+    kinds = {k: [sorted(r.choices([*caps, "unknown"], weights=[6, 3, 6, 6, 1, 2, 1], k=r.randrange(1, 4))) for _ in range(r.randrange(1, 5))] for k in range(12)}
+    members = [(k, o if o < 4 else None, r.randrange(12)) for k in range(80) for o in range(r.randrange(1, 6))]
+    want = {}
+    for k in range(80):
+        own = sorted(((o, kinds[kind]) for i, o, kind in members if i == k), key=lambda x: (len(x[1]), x[0] is None, x[0] or 0))
+        fits = lambda v: all(sum(items.count(c) for items in v) <= n for c, n in caps.items() if n is not None)
+        vectors = (v for v in itertools.product(*(range(len(x)) for _, x in own)) if fits([x[i] for (_, x), i in zip(own, v)]))
+        want[k] = next(([(None if o is None else str(o), i) for (o, _), i in zip(own, v)] for v in vectors), None)
+    assert None in want.values() and sum(v is not None for v in want.values()) > 10
+    m = spark.createDataFrame(members, "lineup_id int, owner int, kind int")
+    o = spark.createDataFrame([(k, i, items) for k, options in kinds.items() for i, items in enumerate(options)], "kind int, option int, item_ids array<string>")
+    limits = listed(spark, list(caps.items()), "item_id string, limit int")
+    asked, by_use = [], assemble._by_use
+    monkeypatch.setattr(assemble, "_by_use", lambda *a: asked.append(a) or by_use(*a))
+    monkeypatch.setattr(assemble, "STATES", states)
+    plain = m.join(o, "kind").select("lineup_id", "owner", "option", "item_ids")
+    for got in (assemble.allocate(o, limits, None, members=m), assemble.allocate(plain, limits, 5)):
+        got = got.collect()
+        assert {x["lineup_id"]: x["options"] and [tuple(y) for y in x["options"]] for x in got} == want and len(got) == 80 and not any(x["exhausted"] for x in got)
+    assert len(asked) == (0 if len(states) == 3 else 2)
+
+
+@pytest.mark.parametrize("states", [(1, 8, 64), (1,)])
+def test_allocation_of_odd_lines_equals_sql(spark, tmp_path, monkeypatch, states):
+    monkeypatch.setattr(assemble, "STATES", states)
+    r = random.Random(3)
+    lines = [(k, r.choice([None, 1, 2, 3, 4, 5, 6, 7]), r.randrange(-9, 30)) for k in range(40) for _ in range(r.randrange(1, 14))] + [(99, i, 4) for i in range(4)] + [(None, 1, 4), (None, 2, 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    cols = ["lineup_id", "options", "exhausted"]
+    want = c.sql(registry.oracle_sql()["allocate_items"]).select(*cols).fetchall()
+    got = list(map(tuple, registry.queries()["allocate_items"](spark, str(tmp_path)).select(*cols).collect()))
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert any(x[1] is None and x[0] is not None for x in want)
