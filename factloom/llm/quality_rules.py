@@ -6,6 +6,7 @@ Columns of the input other than the id and the text are dropped unless they are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -83,6 +84,11 @@ def _covered() -> Column:
           a -> a.n)""")
 
 
+def _measure(metric: str) -> Column:
+    """A rule's metric, null where it divides by zero; with spark.sql.ansi.enabled, Spark's default, a text without words would end the job."""
+    return F.expr(re.sub(r"/\s*(\w*\([^()]*\)|[\w.]+)", r"/ nullif(\1, 0)", f"({metric})"))
+
+
 def rate(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text", keep: Sequence[str] = ("doc_id",), min_words: int = 20, max_repeat_percent: int = 30) -> DataFrame:
     """Each row with its metrics, ``base_failed``, ``failed_rules`` (names) and ``kept``.
 
@@ -92,7 +98,7 @@ def rate(docs: DataFrame, rules: Sequence[Rule] = RULES, *, text: str = "text",
     m = _metrics(docs, text, keep)
     failed = []
     for r in rules:
-        x, bad = F.expr(f"({r.metric})"), F.lit(False)
+        x, bad = _measure(r.metric), F.lit(False)
         if r.low is not None:
             bad = bad | (x < r.low)
         if r.high is not None:
