@@ -44,6 +44,10 @@ CACHE = 1_000_000
 ROUNDS = 12
 #: Documents in a segment at most; an accumulator has a number for each.
 DOCS = 8192
+#: Segments in a row group of the index: some 6 MB each as Parquet, 24 at most as arrays.
+GROUP = 2
+#: Bytes of accumulators of shared sets that a worker holds, about: with many sets, a segment's documents are taken in slices, of LEAST documents or more.
+ACCUMULATORS, LEAST = 64 << 20, 64
 SATURATION, LENGTH_PERCENT = 12, 25
 
 
@@ -104,7 +108,7 @@ def build_index(docs: DataFrame, scratch: Scratch, *, text: str = "text", doc_id
             yield flush()
 
     schema = f"segment long, doc_ids array<{kind}>, n array<long>, terms array<long>, df array<long>, docs binary, tf binary"
-    return scratch.save(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema), "index")
+    return scratch.save(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema), "index", rows=GROUP)
 
 
 def query_terms(items: DataFrame, *, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -176,8 +180,8 @@ def graph(sequences: DataFrame, leaves: DataFrame, sets: DataFrame) -> Graph:
     return Graph(terms, np.searchsorted(terms, [r["term"] for r in first]).tolist(), [r["weight"] for r in first], pairs, sorted(queries.items()))
 
 
-def _evaluate(g: Graph, terms: np.ndarray, df: np.ndarray, docs: np.ndarray, tf: np.ndarray, m: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, score of each document) of a segment, for queries with a match. A node's accumulator is made once."""
+def _evaluate(g: Graph, terms: np.ndarray, df: np.ndarray, docs: np.ndarray, tf: np.ndarray, m: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(query, first document, score of each document from there on) of a segment's slices, in order, for queries with a match. A node's accumulator is made once a slice."""
     ends, at = np.cumsum(df), np.searchsorted(terms, g.terms)
     at[at == len(terms)] = 0
     have = (terms[at] == g.terms) if len(terms) else np.zeros(len(g.terms), bool)
@@ -189,6 +193,20 @@ def _evaluate(g: Graph, terms: np.ndarray, df: np.ndarray, docs: np.ndarray, tf:
             base.append((d, 1_000_000_000 * n // (1000 * n + SATURATION * m[d])))
         else:
             base.append(None)
+    width = max(LEAST, ACCUMULATORS // (8 * max(1, len(g.sets))))
+    if width >= len(m):
+        yield from ((query, 0, score) for query, score in _slice(g, base, len(m)))
+        return
+    for first in range(0, len(m), width):
+        part: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for x in base:
+            a, b = np.searchsorted(x[0], (first, first + width)) if x else (0, 0)
+            part.append((x[0][a:b] - first, x[1][a:b]) if a < b else None)
+        yield from ((query, first, score) for query, score in _slice(g, part, min(width, len(m) - first)))
+
+
+def _slice(g: Graph, base: list[tuple[np.ndarray, np.ndarray] | None], size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, score of each of ``size`` documents), from each term's documents and parts of scores."""
     leaves = len(g.leaf_term)
     made: list[np.ndarray | None] = [None] * len(g.sets)
 
@@ -203,17 +221,17 @@ def _evaluate(g: Graph, terms: np.ndarray, df: np.ndarray, docs: np.ndarray, tf:
         to[x[0]] += g.leaf_weight[node] * x[1]
         return True
 
-    spare = np.zeros(len(m), np.int64)
+    spare = np.zeros(size, np.int64)
     for k, (a, b) in enumerate(g.sets):
         if add(a, spare) | add(b, spare):
-            made[k], spare = spare, np.zeros(len(m), np.int64)
+            made[k], spare = spare, np.zeros(size, np.int64)
     for query, nodes in g.queries:
         some = False
         for node in nodes:
             some |= add(node, spare)
         if some:
             yield query, spare
-            spare = np.zeros(len(m), np.int64)
+            spare = np.zeros(size, np.int64)
 
 
 def search(docs: DataFrame, items: DataFrame, *, top: int = TOP, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK, segment: int = SEGMENT) -> DataFrame:
@@ -252,12 +270,12 @@ def rank(index: DataFrame, queries: DataFrame, scratch: Scratch, *, top: int = T
                     docs, tf = (np.frombuffer(row.column(c)[0].as_py(), "<i4") for c in ("docs", "tf"))
                     m = 100 - LENGTH_PERCENT + LENGTH_PERCENT * n * n_docs // n_terms
                     query, at, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                    for q, score in _evaluate(sent.value, terms, df, docs, tf, m):
+                    for q, first, score in _evaluate(sent.value, terms, df, docs, tf, m):
                         best = least.setdefault(q, [0])  # the best scores so far, of which the last is to be met
                         hit = np.flatnonzero(score >= (1 if len(best) < top else max(1, best[-1])))
                         hit = hit[np.argsort(-score[hit], kind="stable")[:top]]
                         if len(hit):
-                            query.append(np.full(len(hit), q)), at.append(hit), scores.append(score[hit])
+                            query.append(np.full(len(hit), q)), at.append(hit + first), scores.append(score[hit])
                             least[q] = sorted([*(x for x in best if x), *score[hit].tolist()], reverse=True)[:top]
                     at = np.concatenate(at)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(query)), ids.take(pa.array(at)), pa.array(np.concatenate(scores))], ["query", "doc_id", "score"])

@@ -4,7 +4,10 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +103,30 @@ def test_empty_tables(spark):
     docs, queries = frames(spark)
     assert rs.search(docs.limit(0), queries).count() == 0
     assert rs.search(docs, queries.limit(0)).count() == 0
+
+
+def test_readers_hold_few_segments_at_a_time(spark):
+    docs, _ = frames(spark)
+    scratch = rs.Scratch(spark, "t")
+    assert rs.build_index(docs.coalesce(1), scratch, segment=40).count() > 20
+    held = [f.row_group(k).num_rows for p in Path(scratch.root.removeprefix("file:")).glob("index/*.parquet") for f in [pq.ParquetFile(p).metadata] for k in range(f.num_row_groups)]
+    assert sum(held) > 20 and max(held) <= rs.GROUP
+
+
+@pytest.mark.parametrize("least", [1, 7, 64])
+def test_slices_of_a_segment_add_up(monkeypatch, least):
+    rng = np.random.default_rng(5)
+    terms, n = np.arange(0, 60, 2), 50
+    held = [np.sort(rng.choice(n, rng.integers(1, 12), replace=False)).astype("<i4") for _ in terms]
+    df, docs = np.array([len(h) for h in held]), np.concatenate(held)
+    tf, m = rng.integers(1, 9, len(docs)).astype("<i4"), rng.integers(75, 150, n)
+    asked = np.arange(0, 40)  # every other one is in no document
+    g = rs.Graph(asked, list(range(40)), rng.integers(1, 99, 40).tolist(), [(0, 2), (1, 3), (40, 4)], [(7, [42, 6]), (8, [41]), (9, [40, 10, 12])])
+    whole = {q: s for q, _, s in rs._evaluate(g, terms, df, docs, tf, m)}
+    monkeypatch.setattr(rs, "ACCUMULATORS", 1)
+    monkeypatch.setattr(rs, "LEAST", least)
+    sliced = {q: np.zeros(n, np.int64) for q in whole}
+    for q, first, s in rs._evaluate(g, terms, df, docs, tf, m):
+        assert len(s) <= max(least, 1) and first % least == 0
+        sliced[q][first : first + len(s)] = s
+    assert set(whole) == {7, 9} and all(np.array_equal(whole[q], sliced[q]) for q in whole)
