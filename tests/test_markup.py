@@ -4,6 +4,7 @@ import random
 from html.parser import HTMLParser
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.sources import markup, pages
 
@@ -179,3 +180,34 @@ def test_nodes_make_the_asked_columns_alone(spark):
     n = markup.nodes(frame(spark, "<div class=u>a<p>b</p></div>"), ("u",), elements="marked", columns=("node", "kind", "text"))
     assert n.columns == ["page_id", "page", "node", "kind", "text"]
     assert rows(n, "node", "kind", "text") == [(1, "element", None), (2, "text", "a"), (4, "text", "b")]
+
+
+def test_pages_of_one_template_are_walked_once(spark):
+    """Texts, attributes and icons are each page's own; a cell that is empty, or has another span, is another structure."""
+    made = []
+    read = markup._Reader((), None, lambda said, shapes: made.append(shapes) or len(made))
+    row = "<table><tr data-x={}><td colspan={}>{}</td><td>b</table>"
+    got = [read(row.format(*x))[0] for x in [(1, 1, "a"), (2, 1, "c &amp; d"), (1, 2, "a"), (1, 1, ""), (1, 1, "&nbsp;"), (3, 1, "<img alt=i>"), (3, 1, "<img alt=''>")]]
+    assert got == [1, 1, 2, 3, 3, 4, 5] and len(made) == 5
+    html = ["<p>{} <a href=/{}>{}</a><img alt={}><h2>{}</h2>t".format(*f"abcde{k}" if k else "vwxyz") for k in range(3)]
+    n = markup.nodes(frame(spark, *html).coalesce(1), elements="", columns=("kind", "attrs", "text", "section"))
+    assert rows(n, "page_id", "kind", "text", "section") == sorted(
+        [(p, "icon", d, None) for p, d in enumerate("ydd")] + [(p, "reference", c, None) for p, c in enumerate("xcc")] + [(p, "text", t, None) for p, a in enumerate("vaa") for t in (a,)]
+        + [(p, "text", e, None) for p, e in enumerate("zee")] + [(p, "text", "t", e) for p, e in enumerate("zee")]
+    )
+
+
+def test_cells_are_found_past_gaps_and_ties(spark):
+    """Spans leave columns without a cell, and overlapping ones put two cells in one column: the first by text counts."""
+    html = "<table><tr><th>a<th>b<th>c<tr><td colspan=2>wide<td>x</table><table><tr><th>a<th>b<th>c<tr><td>1<td rowspan=3>low<td>3<tr><td colspan=2>over<tr><td>5<td>in<td>6</table>"
+    fields = [pages.Field(c, header=c) for c in "abc"]
+    assert rows(pages.extract_rows(frame(spark, html), fields), "row_no", "a", "b", "c") == [(1, "wide", None, "x"), (3, "1", "low", "3"), (4, "over", "low", None), (5, "5", "in", "6")]
+
+
+def test_record_types_read_pages_once(spark):
+    html = "<table><tr><th>Name<th>MP<tr data-lv=3><td>N1<td>7 MP<tr data-lv=x><td>N2<td>none</table>"
+    specs = {"active": [pages.Field("name", header="name"), pages.Field("mp", header="mp", type="int")], "passive": [pages.Field("level", attr="data-lv", type="int"), pages.Field("name", header="name")]}
+    out = pages.skill_rows(frame(spark, html), specs)
+    assert out.columns == ["page_id", "row_no", "name", "mp", "diagnostics", "record_type", "level", "gated"]
+    assert rows(out.withColumn("d", F.concat_ws(",", "diagnostics")), "row_no", "record_type", "name", "mp", "level", "d") == [(1, "active", "N1", 7, None, ""), (1, "passive", "N1", None, 3, ""), (2, "active", "N2", None, None, "mp"), (2, "passive", "N2", None, None, "level")]
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
