@@ -211,3 +211,9 @@ def test_record_types_read_pages_once(spark):
     assert out.columns == ["page_id", "row_no", "name", "mp", "diagnostics", "record_type", "level", "gated"]
     assert rows(out.withColumn("d", F.concat_ws(",", "diagnostics")), "row_no", "record_type", "name", "mp", "level", "d") == [(1, "active", "N1", 7, None, ""), (1, "passive", "N1", None, 3, ""), (2, "active", "N2", None, None, "mp"), (2, "passive", "N2", None, None, "level")]
     assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_single_attributes_are_columns(spark):
+    n = markup.nodes(frame(spark, "<a href='/x?a=1&amp;b=2' title=''>t</a> u<img alt=i href=z>"), elements="", columns=("kind", "@href", "@title"))
+    assert n.columns == ["page_id", "page", "kind", "@href", "@title"]
+    assert rows(n, "kind", "@href", "@title") == [("icon", "z", None), ("reference", "/x?a=1&b=2", ""), ("text", None, None)]
