@@ -174,3 +174,12 @@ def test_allocation_of_odd_lines_equals_sql(spark, tmp_path, monkeypatch, states
     got = list(map(tuple, registry.queries()["allocate_items"](spark, str(tmp_path)).select(*cols).collect()))
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert any(x[1] is None and x[0] is not None for x in want)
+
+
+def test_shared_path_is_made_by_many_tasks(spark):
+    owners = spark.range(300).select(F.col("id").alias("owner"))
+    edges = owners.select("owner", F.concat(F.lit("n"), F.col("owner") % 3).alias("trait"))
+    items = spark.range(400).select(F.col("id").alias("item_id"), F.concat(F.lit("n"), F.col("id") % 4).alias("trait"), (F.col("id") % 2 == 0).alias("shareable"))
+    made = resolve.shared_path(owners, edges, items).withColumn("task", F.spark_partition_id()).collect()
+    assert len(made) == 2 * 100 * 100 and {r["trait"] for r in made} == {"n0", "n2"}
+    assert len({(r["owner"], r["item"]) for r in made}) == len(made) and len({r["task"] for r in made}) > 8
